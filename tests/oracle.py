@@ -19,7 +19,7 @@ def connect(folder: str):
 def plain(value):
     """Values in a form in which equal results are equal."""
     if isinstance(value, float):
-        return None if math.isnan(value) else float(f"{value:.9g}")
+        return None if math.isnan(value) else value
     if isinstance(value, datetime):
         return value.replace(tzinfo=None)
     return value

@@ -13,16 +13,27 @@ def node(text: Column, path: str) -> Column:
     return F.try_variant_get(F.try_parse_json(text), path, "variant")
 
 
-def scalar(text: Column, path: str) -> Column:
-    """Scalar at ``path`` as text; NULL when the node is an object or an array.
+def is_container(document: Column, path: str) -> Column:
+    """True if the node at ``path`` of a variant is an object or an array."""
+    return (
+        F.try_variant_get(document, path, "array<variant>").isNotNull()
+        | F.try_variant_get(document, path, "map<string,variant>").isNotNull()
+    )
+
+
+def unless_container(found: Column, document: Column, path: str) -> Column:
+    """``found``, the text at ``path``, or NULL if that node is no scalar.
 
-    ``get_json_object`` keeps numbers as written.  It also prints containers, so
-    only results that look like one pay for a variant parse to tell a real
-    container from a string such as ``"[1]"``.
+    Only text that looks like a container is checked against the variant, which
+    tells a real array from a string such as ``"[1]"``.
     """
-    found = F.get_json_object(text, path)
-    container = found.rlike(r"^\s*[\[{]") & ~F.to_json(node(text, path)).startswith('"')
-    return F.when(~F.coalesce(container, F.lit(False)), found)
+    suspect = found.startswith("[") | found.startswith("{")
+    return F.when(~suspect, found).when(~is_container(document, path), found)
+
+
+def scalar(text: Column, path: str) -> Column:
+    """Scalar at ``path`` as text, numbers as written; NULL for other nodes."""
+    return unless_container(F.get_json_object(text, path), F.try_parse_json(text), path)
 
 
 def json_text(text: Column, path: str) -> Column:

@@ -114,17 +114,17 @@ def review_messages(
         "response", F.col(RESULT)
     )
     df = df.withColumn("safety_attributes", F.col(RATING))
+    asked = df.where(F.col(STATUS) == "")
     embedders = embedders or {}
+    vectors = {}
     if "text" in embedders:
-        for source, target in (
-            ("review_text", "review_embedding"),
-            ("prompt", "prompt_embedding"),
-            ("response", "response_embedding"),
-        ):
-            df = embed(df, source, embedders["text"], target)
+        vectors["review_embedding"] = ("review_text", embedders["text"])
+        vectors["prompt_embedding"] = ("prompt", embedders["text"])
+        vectors["response_embedding"] = ("response", embedders["text"])
     if "image" in embedders:
-        df = embed(df, "review_image_uri", embedders["image"], "image_embedding")
-    asked = df.where(F.col(STATUS) == "")
+        vectors["image_embedding"] = ("review_image_uri", embedders["image"])
+    if vectors:
+        asked = embed(asked, vectors)
     return (
         message(asked, REVIEW_PROMPT, ("review_id",)),
         message(asked, REVIEW_RESPONSE, ("review_id",)),

@@ -3,7 +3,8 @@
 A provider is ``provider(inputs: list[str], **options) -> list``.  Each answer is
 a string (or a list of floats for an embedding), or a ``(answer, rating)`` pair
 where ``rating`` is JSON text about the answer's safety.  It runs inside tasks on
-Arrow batches, so Spark spreads the calls over the executors.
+Arrow batches, so Spark spreads the calls over the executors and the other
+columns pass through untouched.
 """
 
 from __future__ import annotations
@@ -11,11 +12,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from typing import Any
 
-import pandas as pd
+import pyarrow as pa
 import voxcart
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from voxcart.session import materialize
 
@@ -34,44 +36,62 @@ RESULT, RATING, STATUS = (
 NULL_INPUT = "null_input"
 
 
-def _answer_one(provider: Provider, text: str, options: dict) -> tuple[Any, Any, str]:
+def _pair(answer: Any) -> tuple[Any, Any, str]:
+    return (*answer, "") if isinstance(answer, tuple) else (answer, None, "")
+
+
+def _ask_one(provider: Provider, text: str, options: dict) -> tuple[Any, Any, str]:
     try:
-        answer = provider([text], **options)[0]
+        return _pair(provider([text], **options)[0])
     except Exception as error:  # a provider failure is data, not a job failure
         return None, None, f"{type(error).__name__}: {error}"
-    return (*answer, "") if isinstance(answer, tuple) else (answer, None, "")
 
 
-def _answer_batch(provider: Provider, inputs: list[str], options: dict) -> list[tuple]:
-    """One call for the batch; if it fails, one call per row to find the culprit."""
-    try:
-        answers = provider(inputs, **options)
-        if len(answers) != len(inputs):
-            raise ValueError(f"{len(answers)} answers for {len(inputs)} inputs")
-    except Exception:
-        return [_answer_one(provider, text, options) for text in inputs]
-    return [(*a, "") if isinstance(a, tuple) else (a, None, "") for a in answers]
-
-
-def _calls(provider: Provider, options: dict, batch_size: int):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            inputs = frame["input"].tolist()
-            for at in range(0, len(inputs), batch_size):
-                part = inputs[at : at + batch_size]
-                rows = _answer_batch(provider, part, options)
-                yield pd.DataFrame(
-                    {
-                        "input": part,
-                        "result": [r[0] for r in rows],
-                        "rating": [r[1] for r in rows],
-                        "status": [r[2] for r in rows],
-                    }
-                )
+def _ask(provider: Provider, inputs: list, options: dict, batch_size: int) -> dict:
+    """Input -> (answer, rating, status); equal inputs of a batch are asked once.
+
+    A failing call is repeated input by input, so one bad input fails alone.
+    """
+    known: dict = {None: (None, None, NULL_INPUT)}
+    pending = [text for text in dict.fromkeys(inputs) if text is not None]
+    for at in range(0, len(pending), batch_size):
+        part = pending[at : at + batch_size]
+        try:
+            answers = provider(part, **options)
+            if len(answers) != len(part):
+                raise ValueError(f"{len(answers)} answers for {len(part)} inputs")
+            rows = [_pair(answer) for answer in answers]
+        except Exception:
+            rows = [_ask_one(provider, text, options) for text in part]
+        known.update(zip(part, rows))
+    return known
+
+
+def _calls(columns: list[tuple], options: dict, batch_size: int):
+    """Task body: ``columns`` are ``(input, provider, result type, output names)``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            arrays, names = list(batch.columns), list(batch.schema.names)
+            for source, provider, kind, outputs in columns:
+                inputs = batch.column(source).to_pylist()
+                known = _ask(provider, inputs, options, batch_size)
+                kinds = (kind, pa.string(), pa.string())
+                for position, (name, kind_of) in enumerate(zip(outputs, kinds)):
+                    if name:
+                        values = [known[text][position] for text in inputs]
+                        arrays.append(pa.array(values, kind_of))
+                        names.append(name)
+            yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     return run
 
 
+def _extended(df: DataFrame, *fields: tuple[str | None, T.DataType]) -> T.StructType:
+    extra = [T.StructField(name, kind) for name, kind in fields if name]
+    return T.StructType([*df.schema.fields, *extra])
+
+
 def apply_model(
     df: DataFrame,
     input_col: str,
@@ -79,51 +99,62 @@ def apply_model(
     result_col: str = RESULT,
     rating_col: str | None = RATING,
     status_col: str | None = STATUS,
-    result_type: str = "string",
     batch_size: int = 64,
     parallelism: int | None = None,
+    distinct: bool = False,
     keep: bool = True,
     **options: Any,
 ) -> DataFrame:
     """``df`` plus answer, safety rating and status columns.
 
-    Equal inputs are asked once: they are reduced to distinct values (combined on
-    the map side), answered, and joined back on the input.  The status is empty
-    for an answer, ``null_input`` for a NULL input and the error text otherwise.
+    The status is empty for an answer, ``null_input`` for a NULL input and the
+    error text otherwise.  By default the rows are mapped in place: no shuffle,
+    and equal inputs are asked once per Arrow batch.  With ``distinct`` equal
+    inputs are asked once in all: they are reduced to distinct values (combined on
+    the map side), answered, and joined back; use it where inputs repeat a lot.
 
     ``parallelism`` bounds the number of concurrent callers.  With ``keep`` the
     answers are checkpointed, so later consumers, retries of later stages and lost
     executors read them instead of asking again.
     """
-    asked = df.select(F.col(input_col).alias("input")).where("input IS NOT NULL").distinct()
-    if parallelism:
-        asked = asked.repartition(parallelism)
-    answers = asked.mapInPandas(
-        _calls(provider, options, batch_size),
-        f"input string, result {result_type}, rating string, status string",
-    )
-    if keep:
-        answers = materialize(answers)
-    joined = df.join(answers, df[input_col] == answers["input"], "left")
-    status = F.when(df[input_col].isNull(), F.lit(NULL_INPUT)).otherwise(answers["status"])
-    added = {result_col: answers["result"], rating_col: answers["rating"], status_col: status}
-    return joined.select(
-        *[df[c] for c in df.columns],
-        *[column.alias(name) for name, column in added.items() if name],
+    if distinct:
+        asked = df.select(input_col).where(F.col(input_col).isNotNull()).distinct()
+        answers = apply_model(
+            asked, input_col, provider, result_col, rating_col, "answer_status",
+            batch_size, parallelism, keep=keep, **options,
+        )
+        joined = df.join(answers, input_col, "left")
+        status = F.when(F.col(input_col).isNull(), NULL_INPUT).otherwise(F.col("answer_status"))
+        added = [F.col(c) for c in (result_col, rating_col) if c]
+        if status_col:
+            added.append(status.alias(status_col))
+        return joined.select(*df.columns, *added)
+    source = df.repartition(parallelism) if parallelism else df
+    outputs = (result_col, rating_col, status_col)
+    string = T.StringType()
+    answered = source.mapInArrow(
+        _calls([(input_col, provider, pa.string(), outputs)], options, batch_size),
+        _extended(df, (result_col, string), (rating_col, string), (status_col, string)),
     )
+    return materialize(answered) if keep else answered
 
 
 def embed(
-    df: DataFrame, input_col: str, provider: Provider, output_col: str, **options: Any
+    df: DataFrame,
+    columns: dict[str, tuple[str, Provider]],
+    batch_size: int = 64,
+    keep: bool = True,
+    **options: Any,
 ) -> DataFrame:
-    """``df`` plus an ``array<double>`` embedding of a text or image-URI column."""
-    return apply_model(
-        df,
-        input_col,
-        provider,
-        result_col=output_col,
-        rating_col=None,
-        status_col=None,
-        result_type="array<double>",
-        **options,
+    """``df`` plus ``array<double>`` embeddings, all in one pass over the rows.
+
+    ``columns`` maps an output column to its input column (a text or an image URI)
+    and its provider.  A NULL input and a failed call give NULL.
+    """
+    vector = pa.list_(pa.float64())
+    calls = [(source, provider, vector, (name,)) for name, (source, provider) in columns.items()]
+    kind = T.ArrayType(T.DoubleType())
+    embedded = df.mapInArrow(
+        _calls(calls, options, batch_size), _extended(df, *[(name, kind) for name in columns])
     )
+    return materialize(embedded) if keep else embedded

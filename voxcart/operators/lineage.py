@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxcart.functions.measures import cosine, hours_since, instant
-from voxcart.functions.payload import flat_vector_text, scalar, unwrap
+from voxcart.functions.payload import flat_vector_text, unless_container, unwrap
 from voxcart.functions.text import trim_space
 
 # Embedding keys, published name first, then the name older
@@ -24,24 +24,37 @@ RESPONSE_VECTORS = {"response_embedding": ("response_embedding", "embedding")}
 SAFETY_CATEGORIES = ("hate_speech", "dangerous_content", "harassment", "sexually_explicit")
 
 
-def _envelope(messages: DataFrame) -> bool:
-    return "data" in messages.columns
+def _open(messages: DataFrame, *keys: str) -> tuple[DataFrame, dict[str, Column]]:
+    """Message rows with an ``original`` variant, and the scalar text of each key.
+
+    An envelope is parsed once for the variant and once for all keys together.  The
+    generator keeps the filter on an embedding above the parse instead of letting
+    it repeat the parse below.
+    """
+    if "data" not in messages.columns:
+        body = [c for c in messages.columns if c not in ("attributes", "subscription_name")]
+        rows = messages.withColumn("original", F.to_variant_object(F.struct(*body)))
+        have = [k for k in keys if k in messages.columns]
+        return rows, {
+            k: F.col(k).cast("string") if k in have else F.lit(None).cast("string") for k in keys
+        }
+    rows = messages.withColumn("original", F.try_parse_json("data")).select(
+        "*", F.json_tuple("data", *keys).alias(*[f"body_{k}" for k in keys])
+    )
+    return rows, {
+        k: unless_container(F.col(f"body_{k}"), F.col("original"), f"$.{k}") for k in keys
+    }
 
 
-def _value(messages: DataFrame, *names: str) -> Column:
-    """First value found under ``names``: keys of the body, or flat columns."""
-    if _envelope(messages):
-        return F.coalesce(*[scalar(F.col("data"), f"$.{name}") for name in names])
-    have = [F.col(n).cast("string") for n in names if n in messages.columns]
-    return F.coalesce(*have, F.lit(None).cast("string"))
+def _vectors(values: dict[str, Column], names: dict[str, tuple[str, ...]]) -> list[Column]:
+    return [
+        flat_vector_text(F.coalesce(*[values[k] for k in keys])).alias(name)
+        for name, keys in names.items()
+    ]
 
 
-def _original(messages: DataFrame) -> Column:
-    """The body as a variant; flat rows are put together again."""
-    if _envelope(messages):
-        return F.try_parse_json("data")
-    body = [c for c in messages.columns if c not in ("attributes", "subscription_name")]
-    return F.to_variant_object(F.struct(*body))
+def _all_keys(names: dict[str, tuple[str, ...]]) -> list[str]:
+    return [k for keys in names.values() for k in keys]
 
 
 def clean_prompts(messages: DataFrame, as_of=None) -> DataFrame:
@@ -50,41 +63,40 @@ def clean_prompts(messages: DataFrame, as_of=None) -> DataFrame:
     ``messages`` is either an envelope with the JSON body in ``data`` or the flat
     landing table.  Rows without a prompt embedding are dropped.
     """
-    vectors = {name: flat_vector_text(_value(messages, *keys))
-               for name, keys in PROMPT_VECTORS.items()}
-    return messages.select(
-        _original(messages).alias("original_message"),
+    plain = ("review_id", "prompt", "model_version", "policy_version")
+    rows, values = _open(messages, *plain, *_all_keys(PROMPT_VECTORS))
+    return rows.select(
+        F.col("original").alias("original_message"),
         "publish_time",
-        _value(messages, "review_id").alias("review_id"),
-        trim_space(_value(messages, "prompt")).alias("prompt"),
-        _value(messages, "model_version").alias("model_version"),
-        _value(messages, "policy_version").alias("policy_version"),
+        values["review_id"].alias("review_id"),
+        trim_space(values["prompt"]).alias("prompt"),
+        values["model_version"].alias("model_version"),
+        values["policy_version"].alias("policy_version"),
         "subscription_name",
         "attributes",
         hours_since(F.col("publish_time"), instant(as_of)).alias("hours_since_prompt"),
-        *[column.alias(name) for name, column in vectors.items()],
+        *_vectors(values, PROMPT_VECTORS),
     ).where("prompt_embedding IS NOT NULL")
 
 
 def clean_responses(messages: DataFrame, as_of=None) -> DataFrame:
     """Typed response rows; rows without a response embedding are dropped."""
-    if _envelope(messages):
-        safety = F.try_variant_get(F.try_parse_json("data"), "$.safety_attributes", "variant")
+    rows, values = _open(messages, "review_id", "response", *_all_keys(RESPONSE_VECTORS))
+    if "data" in messages.columns:
+        safety = F.try_variant_get("original", "$.safety_attributes", "variant")
     else:
         safety = F.col("safety_attributes")
-    vectors = {name: flat_vector_text(_value(messages, *keys))
-               for name, keys in RESPONSE_VECTORS.items()}
-    return messages.select(
-        _original(messages).alias("original_message"),
+    return rows.select(
+        F.col("original").alias("original_message"),
         "publish_time",
-        _value(messages, "review_id").alias("review_id"),
-        _value(messages, "response").alias("response"),
+        values["review_id"].alias("review_id"),
+        values["response"].alias("response"),
         safety.alias("safety_attributes"),
         "message_id",
         "subscription_name",
         "attributes",
         hours_since(F.col("publish_time"), instant(as_of)).alias("hours_since_prompt"),
-        *[column.alias(name) for name, column in vectors.items()],
+        *_vectors(values, RESPONSE_VECTORS),
     ).where("response_embedding IS NOT NULL")
 
 
@@ -136,7 +148,7 @@ def pair_with_response(
         F.count("*").alias("responses"),
     )
     return prompts.join(latest, list(keys), "left").select(
-        *[prompts[c] for c in prompts.columns],
+        *prompts.columns,
         F.col("latest.response_time").alias("response_time"),
         F.col("latest.response").alias("response"),
         F.coalesce("responses", F.lit(0)).alias("responses"),

@@ -180,11 +180,13 @@ def claim_messages(
         F.col(RATING).alias("safety_attributes"),
     )
     if embedder is not None:
-        for source, target in (
-            ("review_text", "feedback_embedding"),
-            ("prompt", "prompt_embedding"),
-            ("response", "response_embedding"),
-        ):
-            df = embed(df, source, embedder, target)
+        df = embed(
+            df,
+            {
+                "feedback_embedding": ("review_text", embedder),
+                "prompt_embedding": ("prompt", embedder),
+                "response_embedding": ("response", embedder),
+            },
+        )
     key = ("order_id", "product_id", "user_id")
     return message(df, REFUND_PROMPT, key), message(df, REFUND_RESPONSE, key)

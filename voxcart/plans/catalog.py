@@ -552,9 +552,16 @@ def apply_model_local(s):
     )
 
 
+@query
+def apply_model_distinct(s):
+    """The same with every distinct text asked once and joined back."""
+    out = apply_model(s.table("documents"), "text", models.echo_digest, distinct=True)
+    return out.select("doc_id", F.col(RESULT).alias("answer"), F.col(STATUS).alias("status"))
+
+
 @query
 def embed_local(s):
-    out = embed(s.table("documents"), "text", models.length_vector, "vector")
+    out = embed(s.table("documents"), {"vector": ("text", models.length_vector)})
     return out.select("doc_id", F.col("vector")[0].alias("length"))
 
 

@@ -274,16 +274,14 @@ VIEWS = {
         SELECT * FROM fx_policy
         WHERE version_number = (SELECT max(version_number) FROM fx_policy)""",
     "fx_refund_requests": f"""
-        SELECT email, order_id, product_id, max(note) AS review_text
+        SELECT DISTINCT email, order_id, product_id,
+               ' "item ' || product_id || ' arrived broken" ' AS review_text
         FROM (SELECT {email('o_custkey')} AS email, {key('l_orderkey')} AS order_id,
-                     {key('l_partkey')} AS product_id,
-                     ' "' || l_returnflag || ' arrived broken" ' AS note
+                     {key('l_partkey')} AS product_id
               FROM lineitem JOIN orders ON l_orderkey = o_orderkey
               UNION ALL
-              SELECT {email('l_suppkey')}, {key('l_orderkey')}, {key('l_partkey')},
-                     ' "' || l_returnflag || ' arrived broken" '
-              FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
-        GROUP BY email, order_id, product_id""",
+              SELECT {email('l_suppkey')}, {key('l_orderkey')}, {key('l_partkey')}
+              FROM lineitem JOIN orders ON l_orderkey = o_orderkey)""",
     "recent_orders": f"""
         SELECT user_id, count(DISTINCT order_id) AS orders_recent FROM fx_order_items
         WHERE created_at BETWEEN TIMESTAMP '{AS_OF}' - INTERVAL 90 DAY AND TIMESTAMP '{AS_OF}'
@@ -600,6 +598,7 @@ BODIES = {
                {scalar('data', '$.prompt')} AS prompt, CAST(1 AS DOUBLE) AS policy_version
         FROM fx_prompts""",
     "apply_model_local": "SELECT doc_id, md5(text) AS answer, '' AS status FROM documents",
+    "apply_model_distinct": "SELECT doc_id, md5(text) AS answer, '' AS status FROM documents",
     "embed_local": "SELECT doc_id, CAST(length(text) AS DOUBLE) AS length FROM documents",
     "text_functions": f"""
         SELECT doc_id, {trim_space('''chr(9) || ' ' || text || ' " ' ''')} AS trimmed,

@@ -61,9 +61,12 @@ class StandIns:
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
+        self._tables: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        if name not in self._tables:
+            self._tables[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return self._tables[name]
 
     @cached_property
     def order_items(self) -> DataFrame:
@@ -249,14 +252,16 @@ class StandIns:
         lines = self.table("lineitem").join(
             self.table("orders"), F.col("l_orderkey") == F.col("o_orderkey")
         )
-        note = F.concat(F.lit(' "'), F.col("l_returnflag"), F.lit(' arrived broken" '))
-        shared = [key("l_orderkey").alias("order_id"), key("l_partkey").alias("product_id")]
-        own = lines.select(email(F.col("o_custkey")).alias("email"), *shared, note.alias("note"))
-        other = lines.select(email(F.col("l_suppkey")).alias("email"), *shared, note.alias("note"))
-        return (
-            own.unionByName(other)
-            .groupBy("email", "order_id", "product_id")
-            .agg(F.max("note").alias("review_text"))
+        pairs = lines.select("l_orderkey", "l_partkey", F.explode(
+            F.array(email(F.col("o_custkey")), email(F.col("l_suppkey")))
+        ).alias("email"))
+        return pairs.distinct().select(
+            "email",
+            key("l_orderkey").alias("order_id"),
+            key("l_partkey").alias("product_id"),
+            F.concat(F.lit(' "item '), key("l_partkey"), F.lit(' arrived broken" ')).alias(
+                "review_text"
+            ),
         )
 
     def _envelope(self, body: Column) -> DataFrame:
