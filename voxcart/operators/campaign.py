@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from voxcart.functions.payload import json_text
 from voxcart.functions.text import KEY_DIGITS, fill_template, trim_space, uri_key
 from voxcart.operators.customers import Segmentation, assign_segments
-from voxcart.operators.inference import RATING, RESULT, Provider, apply_model
+from voxcart.operators.inference import RATING, RESULT, STATUS, Provider, apply_model
+from voxcart.operators.joins import small_side
 
 COPY_PROMPT = (
     "You write product texts for {company}. Describe the product in this image anew for "
@@ -74,9 +75,8 @@ def campaign_context(
         "last_name",
         F.col("email").alias("user_email"),
     )
-    joined = assigned.join(
-        personas.withColumnRenamed("cluster", "centroid_id"), "centroid_id", "inner"
-    ).join(people, "user_id", "inner")
+    titles = small_side(personas.withColumnRenamed("cluster", "centroid_id"))
+    joined = assigned.join(titles, "centroid_id", "inner").join(people, "user_id", "inner")
     with_products = joined.withColumn("p1", chosen(product_1)).withColumn("p2", chosen(product_2))
     return with_products.select(
         "centroid_id",
@@ -127,37 +127,31 @@ def copy_prompts(
 
 
 def rewrite_product_copy(prompts: DataFrame, provider: Provider, **options) -> DataFrame:
-    """New product text per prompted row: cluster, title, rating, output, uri.
-
-    ``user_id`` is kept in front, because all customers are done at once.
-    """
+    """Prompted rows with the new product text as ``output`` and its rating."""
     defaults = {"max_output_tokens": 2048, "temperature": 1.0, "top_k": 40, "top_p": 1.0}
     asked = apply_model(prompts, "prompt", provider, **{**defaults, **options})
-    return asked.select(
-        "user_id",
-        F.col("centroid_id").alias("cluster"),
-        "persona_title",
-        RATING,
-        F.col(RESULT).alias("output"),
-        "uri",
+    return asked.withColumnRenamed(RESULT, "output").drop("prompt", STATUS)
+
+
+def product_descriptions(rewritten: DataFrame) -> DataFrame:
+    """New product text with cluster, persona title, rating and image.
+
+    ``user_id`` stands in front, because all customers are done at once.
+    """
+    return rewritten.select(
+        "user_id", F.col("centroid_id").alias("cluster"), "persona_title", RATING, "output", "uri"
     )
 
 
-def email_prompts(context: DataFrame, copy: DataFrame, **settings: str) -> DataFrame:
-    """Context rows with the rewritten text of product 1 and an e-mail prompt."""
+def email_prompts(rewritten: DataFrame, **settings: str) -> DataFrame:
+    """Context rows with an e-mail prompt that holds the new text of product 1.
+
+    The rewritten rows still carry the context, so nothing is joined back.
+    """
     fixed = {k: F.lit(v) for k, v in {**CAMPAIGN, **settings}.items()}
-    prompt = fill_template(
-        EMAIL_PROMPT,
-        output=F.col("output"),
-        **{c: F.col(c) for c in (*CONTEXT, "product_1_name", "product_2_name",
-                                 "product_2_description")},
-        **fixed,
-    )
-    return (
-        context.join(copy.select("user_id", "output"), "user_id", "inner")
-        .withColumn("prompt", prompt)
-        .drop("output")
-    )
+    used = (*CONTEXT, "product_1_name", "product_2_name", "product_2_description", "output")
+    prompt = fill_template(EMAIL_PROMPT, **{c: F.col(c) for c in used}, **fixed)
+    return rewritten.withColumn("prompt", prompt).drop("output", "uri", RATING)
 
 
 def draft_emails(prompts: DataFrame, provider: Provider, **options) -> DataFrame:

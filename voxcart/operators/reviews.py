@@ -15,6 +15,7 @@ from voxcart.functions.text import (
     uri_key,
 )
 from voxcart.operators.inference import RESULT, STATUS, Provider, apply_model
+from voxcart.operators.joins import small_side
 
 # JSON paths of the translation and sentiment answers.
 TRANSLATED_TEXT = "$.translations[0].translated_text"
@@ -87,7 +88,7 @@ def translated_reviews(reviews: DataFrame, languages: DataFrame) -> DataFrame:
     prepared = reviews.withColumn("language_code", trim_space(scalar(answer, DETECTED_LANGUAGE)))
     consumed = ["review_text", "text_content", "ml_translate_result", "ml_translate_status"]
     passed = [c for c in reviews.columns if c not in consumed]
-    return prepared.join(names, "language_code", "left").select(
+    return prepared.join(small_side(names), "language_code", "left").select(
         *passed,
         F.col("review_text").alias("review_text_raw"),
         unescape_apostrophes(trim_space(scalar(answer, TRANSLATED_TEXT))).alias("review_text"),

@@ -368,20 +368,20 @@ def campaign_context(s):
     return _context(s)
 
 
-def _copy(s, context: DataFrame) -> DataFrame:
-    prompts = campaign.copy_prompts(context, s.inventory_images, s.products, PRODUCT_1, DIGITS)
+def _rewritten(s) -> DataFrame:
+    prompts = campaign.copy_prompts(
+        _context(s), s.inventory_images, s.products, PRODUCT_1, DIGITS
+    )
     return campaign.rewrite_product_copy(prompts, models.echo_digest)
 
 
 @query
 def product_copy(s):
-    out = _copy(s, _context(s))
-    return out.select("user_id", "cluster", "persona_title", "output", "uri")
+    return campaign.product_descriptions(_rewritten(s)).drop("ml_generate_text_rai_result")
 
 
 def _email_prompts(s) -> DataFrame:
-    context = _context(s)
-    return campaign.email_prompts(context, _copy(s, context))
+    return campaign.email_prompts(_rewritten(s))
 
 
 @query
@@ -469,9 +469,14 @@ def raw_lineage_read(s):
 def landing_hour_range(s):
     """Write the hourly table, read one range back by pruned hours."""
     path = _scratch(s, "landing")
-    write_hourly(decode(s.refund_messages, schemas.REFUNDS), path)
+    tasks = int(s.spark.conf.get("spark.sql.shuffle.partitions"))
+    write_hourly(decode(s.refund_messages, schemas.REFUNDS), path, tasks=tasks)
     landed = read_hourly(
-        s.spark, path, datetime(2024, 1, 2, 0, 30), datetime(2024, 1, 28, 12, 15)
+        s.spark,
+        path,
+        datetime(2024, 1, 2, 0, 30),
+        datetime(2024, 1, 28, 12, 15),
+        schemas.REFUNDS,
     )
     return landed.select("message_id", "publish_time", "order_id", "refund_amount")
 
@@ -536,7 +541,7 @@ def stream_landing(s):
         hour_splits=2,
     )
     started.awaitTermination()
-    return read_hourly(s.spark, f"{path}/table").select(
+    return read_hourly(s.spark, f"{path}/table", schema=schemas.REVIEWS_PROMPTS).select(
         "message_id", "publish_time", "review_id", "prompt", "policy_version"
     )
 

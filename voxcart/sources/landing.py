@@ -36,13 +36,27 @@ def with_hour(df: DataFrame) -> DataFrame:
     return df.withColumn(HOUR, F.date_trunc("hour", "publish_time"))
 
 
-def write_hourly(df: DataFrame, path: str, mode: str = "append") -> None:
+def write_hourly(
+    df: DataFrame,
+    path: str,
+    mode: str = "append",
+    tasks: int | None = None,
+    hour_splits: int = 2,
+) -> None:
     """Batch write, one folder per hour.
 
     The rebalance hint sizes output files and splits an hour that holds far more
-    rows than the others instead of sending it to one task.
+    rows than the others instead of sending it to one task.  It also packs small
+    hours into few tasks; where there are many small hours, ``tasks`` spreads them
+    over so many tasks, each hour over at most ``hour_splits`` of them.
     """
-    with_hour(df).hint("rebalance", HOUR).write.mode(mode).partitionBy(HOUR).parquet(path)
+    hourly = with_hour(df)
+    if tasks:
+        split = F.pmod(F.hash("message_id"), F.lit(hour_splits))
+        hourly = hourly.repartition(tasks, HOUR, split)
+    else:
+        hourly = hourly.hint("rebalance", HOUR)
+    hourly.write.mode(mode).partitionBy(HOUR).parquet(path)
 
 
 def read_hourly(
@@ -50,16 +64,22 @@ def read_hourly(
     path: str,
     start: datetime | None = None,
     end: datetime | None = None,
+    schema: T.StructType | None = None,
 ) -> DataFrame:
-    """Landed rows with ``start <= publish_time < end``; whole hours are pruned."""
-    df = spark.read.parquet(path)
-    hour = F.col(HOUR).cast("timestamp")
+    """Landed rows with ``start <= publish_time < end``; whole hours are pruned.
+
+    With the landing ``schema`` no file is opened to find the columns.
+    """
+    reader = spark.read
+    if schema is not None:
+        reader = reader.schema(T.StructType([*schema.fields, T.StructField(HOUR, T.TimestampType())]))
+    df = reader.parquet(path)
     if start is not None:
         first = start.replace(minute=0, second=0, microsecond=0)
-        df = df.where((hour >= instant(first)) & (F.col("publish_time") >= instant(start)))
+        df = df.where((F.col(HOUR) >= instant(first)) & (F.col("publish_time") >= instant(start)))
     if end is not None:
         last = end - timedelta(microseconds=1)
-        df = df.where((hour <= instant(last)) & (F.col("publish_time") < instant(end)))
+        df = df.where((F.col(HOUR) <= instant(last)) & (F.col("publish_time") < instant(end)))
     return df.drop(HOUR)
 
 
