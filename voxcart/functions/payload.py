@@ -27,8 +27,8 @@ def unless_container(found: Column, document: Column, path: str) -> Column:
     Only text that looks like a container is checked against the variant, which
     tells a real array from a string such as ``"[1]"``.
     """
-    suspect = found.startswith("[") | found.startswith("{")
-    return F.when(~suspect, found).when(~is_container(document, path), found)
+    suspect = F.left(found, F.lit(1)).isin("[", "{")
+    return F.when(~(suspect & is_container(document, path)), found)
 
 
 def scalar(text: Column, path: str) -> Column:

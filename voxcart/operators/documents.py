@@ -54,8 +54,9 @@ def assemble_document(
 
     Without ``keys`` all pages are one document and the result is one row, with
     an empty text if no page is left.  A document is one cell of the result, so
-    its size bounds what one task holds; ``pages_per_part`` gives documents of any
-    length as rows of so many pages each (``part_number`` counts from 0).
+    its size bounds what one task holds.  ``pages_per_part`` bounds that: a row
+    takes at most so many page numbers, and a longer document goes on in further
+    rows, numbered from 0 in ``part_number``.
     """
     text = clean_page_text(F.col("page_text")) if clean else F.col("page_text")
     number = page_number(F.col("uri"), pattern)
@@ -68,8 +69,11 @@ def assemble_document(
     prepared = prepared.withColumn("kept", kept)
     groups = list(keys or [])
     if pages_per_part:
-        part = F.floor((F.col("page_number") - 1) / pages_per_part)
-        prepared = prepared.withColumn("part_number", part.cast("bigint")).where("kept IS NOT NULL")
+        first = F.lit(cover_pages + 1)
+        part = F.floor((F.col("page_number") - first) / pages_per_part)
+        prepared = prepared.withColumn(
+            "part_number", F.greatest(F.coalesce(part, F.lit(0)), F.lit(0)).cast("bigint")
+        )
         groups.append("part_number")
     joined = F.expr("listagg(kept, ' ') WITHIN GROUP (ORDER BY page_number, uri)")
     assembled = prepared.groupBy(*groups).agg(

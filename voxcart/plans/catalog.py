@@ -34,6 +34,7 @@ from voxcart.plans.standins import (
     IMAGE_ROOT,
     NOTICE,
     PAGE_PATTERN,
+    PAGES_PER_PART,
     PRODUCT_1,
     PRODUCT_2,
     RANGE,
@@ -93,11 +94,16 @@ def negative_with_image(s):
 
 @query
 def translate_with_model(s):
-    """Translation asked of a model; the local one gives no JSON, so text is NULL."""
-    out = reviews.translate(s.snapshot, s.languages, models.echo_digest)
+    out = reviews.translate(s.snapshot, s.languages, models.translation)
     return out.select("review_id", "review_text_raw", "review_text", "review_language")
 
 
+@query
+def sentiment_with_model(s):
+    out = reviews.analyze_sentiment(s.translated, models.sentiment)
+    return out.select("review_id", "order_id", "sentiment", "sentiment_magnitude", "sentiment_score")
+
+
 @query
 def translate_by_prompt(s):
     out = reviews.translate_by_prompt(s.snapshot, models.echo_digest)
@@ -210,6 +216,13 @@ def refund_claim_messages(s):
     )
 
 
+@query
+def refund_response_messages(s):
+    _, responses = refunds.claim_messages(_claims(s), "m1", models.length_vector)
+    landed = decode(responses.withColumnRenamed("value", "data"), schemas.REFUNDS_RESPONSES)
+    return landed.select("user_id", "order_id", "product_id", "response", "response_embedding")
+
+
 # Documents and policy
 
 
@@ -235,7 +248,25 @@ def policy_by_prompt(s):
         s.policy_pages.select("document_id", "uri"), models.page_text
     )
     return documents.assemble_document(
-        pages, NOTICE, keys=["document_id"], pattern=PAGE_PATTERN, clean=False
+        pages,
+        NOTICE,
+        keys=["document_id"],
+        pattern=PAGE_PATTERN,
+        pages_per_part=PAGES_PER_PART,
+        clean=False,
+    )
+
+
+@query
+def document_from_images(s):
+    """The same with the text-detection model, whose text is cleaned."""
+    pages = documents.read_pages(s.policy_pages.select("document_id", "uri"), models.detected_text)
+    return documents.assemble_document(
+        pages,
+        NOTICE,
+        keys=["document_id"],
+        pattern=PAGE_PATTERN,
+        pages_per_part=PAGES_PER_PART,
     )
 
 

@@ -18,6 +18,42 @@ def echo_digest(inputs: list[str], **options) -> list[str]:
     return [digest(text) for text in inputs]
 
 
+def translation(inputs: list[str], **options) -> list[str]:
+    languages = ("en", "fr", "de", "xx")
+    return [
+        json.dumps(
+            {
+                "translations": [
+                    {
+                        "translated_text": f" It&#39;s {d} ",
+                        "detected_language_code": f" {languages[int(d[0], 16) // 4]}",
+                    }
+                ]
+            }
+        )
+        for d in map(digest, inputs)
+    ]
+
+
+def sentiment(inputs: list[str], **options) -> list[str]:
+    """Scores from -8 to 7 by the first digit; the last one comes without a score."""
+    answers = []
+    for d in map(digest, inputs):
+        score = int(d[0], 16) - 8
+        body = {"magnitude": float(abs(score))} if score == 7 else {
+            "score": float(score), "magnitude": float(abs(score))
+        }
+        answers.append(json.dumps({"document_sentiment": body}))
+    return answers
+
+
+def detected_text(inputs: list[str], **options) -> list[str]:
+    return [
+        json.dumps({"full_text_annotation": {"text": f"• Page\n{digest(text)}"}})
+        for text in inputs
+    ]
+
+
 def sentiment_word(inputs: list[str], **options) -> list[str]:
     words = ("positive", "neutral", "negative")
     return [words[int(digest(text)[0], 16) // 6] for text in inputs]

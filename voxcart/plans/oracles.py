@@ -18,6 +18,7 @@ from voxcart.plans.standins import (
     LANGUAGES,
     NOTICE,
     PAGE_PATTERN,
+    PAGES_PER_PART,
     PRODUCT_1,
     PRODUCT_2,
     RANGE,
@@ -143,14 +144,14 @@ def case_inputs(source: str) -> str:
         JOIN newest_policy p ON true"""
 
 
-def assembled(text: str, extra: str = "", where: str = "") -> str:
-    groups = "document_id" + (f", {extra}" if extra else "")
+def assembled(text: str, pages: int = PAGES_PER_PART) -> str:
+    part = f"greatest(floor((page_number - {documents.COVER_PAGES + 1}) / {pages}), 0)"
     return f"""
-        SELECT {groups},
+        SELECT document_id, CAST({part} AS BIGINT) AS part_number,
                coalesce(string_agg(CASE WHEN page_number > {documents.COVER_PAGES} THEN {text} END,
                                    ' ' ORDER BY page_number, uri), '') AS service_policy_text,
                CAST({documents.VERSION} AS DOUBLE) AS version_number
-        FROM numbered_pages {where} GROUP BY {groups}"""
+        FROM numbered_pages GROUP BY document_id, CAST({part} AS BIGINT)"""
 
 
 def rating(quote: str) -> str:
@@ -456,7 +457,14 @@ BODIES = {
     "sentiment_score FROM cleaned",
     "negative_with_image": "SELECT review_id, product_id, uri FROM negative",
     "translate_with_model": "SELECT review_id, review_text AS review_text_raw, "
-    "CAST(NULL AS VARCHAR) AS review_text, CAST(NULL AS VARCHAR) AS review_language FROM snapshot",
+    "'It''s ' || md5(review_text) AS review_text, "
+    f"CASE CAST(floor({digit('review_text')} / 4) AS INTEGER) WHEN 0 THEN 'English' "
+    "WHEN 1 THEN 'French' WHEN 2 THEN 'German' END AS review_language FROM snapshot",
+    "sentiment_with_model": "SELECT review_id, order_id, CASE WHEN s = 7 THEN 'unknown' "
+    "WHEN s > 0 THEN 'positive' WHEN s < 0 THEN 'negative' ELSE 'neutral' END AS sentiment, "
+    "CAST(abs(s) AS DOUBLE) AS sentiment_magnitude, "
+    "CAST(CASE WHEN s <> 7 THEN s END AS DOUBLE) AS sentiment_score "
+    f"FROM (SELECT *, {digit('review_text')} - 8 AS s FROM translated)",
     "translate_by_prompt": "SELECT review_id, order_id, review_text AS review_text_raw, "
     f"md5({template(reviews.TRANSLATE_PROMPT, review_text='review_text')}) AS review_text "
     "FROM snapshot",
@@ -487,19 +495,15 @@ BODIES = {
                {_vector_text('prompt')} AS prompt_embedding,
                {_vector_text('note')} AS feedback_embedding, photo AS request_image_uri
         FROM claims""",
+    "refund_response_messages": "SELECT user_id, order_id, product_id, answer AS response, "
+    f"{_vector_text('answer')} AS response_embedding FROM answered_claims",
     "document_assembly": "SELECT * FROM documents_whole",
     "document_assembly_characters": assembled(f"trim(text_content, {literal(NOTICE)})"),
-    "document_parts": assembled(
-        PHRASE,
-        "part_number",
-    ).replace(
-        "FROM numbered_pages",
-        "FROM (SELECT *, CAST(floor((page_number - 1) / 2) AS BIGINT) AS part_number "
-        f"FROM numbered_pages WHERE page_number > {documents.COVER_PAGES})",
-    ),
+    "document_parts": assembled(PHRASE, 2),
     "policy_by_prompt": assembled(
         f"'Page ' || md5({template(documents.PARSE_PROMPT, uri='uri')})"
     ),
+    "document_from_images": assembled("'Page ' || md5(uri)"),
     "latest_policy": "SELECT * FROM newest_policy",
     "latest_policy_join": "SELECT review_id, product_id, service_policy_text, "
     "version_number AS policy_version FROM snapshot JOIN newest_policy ON true",

@@ -25,6 +25,7 @@ STREAM_AS_OF = "2024-02-01 00:00:00"
 RANGE = ("1995-01-01 00:00:00", "2001-07-31 00:00:00")
 NOTICE = "Internal Only For use by employees only"
 PAGE_PATTERN = r"_Page_([0-9]{6})\.png$"
+PAGES_PER_PART = 1000
 IMAGE_ROOT = "gs://bucket/review-images/uploads"
 # Settings of the demonstration campaign.
 PRODUCT_1, PRODUCT_2 = "product 7", "product 11"
@@ -234,9 +235,14 @@ class StandIns:
             ).alias("page_text"),
         )
 
-    def documents(self, **options) -> DataFrame:
+    def documents(self, pages_per_part: int = PAGES_PER_PART, **options) -> DataFrame:
         return assemble_document(
-            self.policy_pages, NOTICE, keys=["document_id"], pattern=PAGE_PATTERN, **options
+            self.policy_pages,
+            NOTICE,
+            keys=["document_id"],
+            pattern=PAGE_PATTERN,
+            pages_per_part=pages_per_part,
+            **options,
         )
 
     @cached_property
