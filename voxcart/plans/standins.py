@@ -11,6 +11,7 @@ from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from voxcart import schemas
 from voxcart.operators.customers import Centroid, Segmentation
@@ -57,6 +58,10 @@ def email(custkey: Column) -> Column:
     )
 
 
+# Column types of the test tables, read from the files once.
+_SCHEMAS: dict[tuple[str, str], T.StructType] = {}
+
+
 class StandIns:
     """Lazy stand-in tables over one folder of test tables."""
 
@@ -66,7 +71,10 @@ class StandIns:
 
     def table(self, name: str) -> DataFrame:
         if name not in self._tables:
-            self._tables[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+            path, known = f"{self.folder}/{name}.parquet", (self.folder, name)
+            if known not in _SCHEMAS:
+                _SCHEMAS[known] = self.spark.read.parquet(path).schema
+            self._tables[name] = self.spark.read.schema(_SCHEMAS[known]).parquet(path)
         return self._tables[name]
 
     @cached_property
