@@ -7,7 +7,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from voxcart.operators import cases, customers, refunds, reviews
+from voxcart.operators import cases, customers, lineage, refunds, reviews
 from voxcart.operators.joins import small_side
 from voxcart.sources.landing import dedupe
 
@@ -21,6 +21,7 @@ def forced_skew(spark):
         "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20000",
         "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
         "spark.sql.adaptive.advisoryPartitionSizeInBytes": "10000",
+        "spark.sql.adaptive.forceOptimizeSkewedJoin": "false",
     }
     before = {key: spark.conf.get(key, None) for key in changed}
     for key, value in changed.items():
@@ -40,19 +41,26 @@ def hot(column, rows_per_key=3):
     return F.when(F.col("id") % rows_per_key == 0, "hot").otherwise(column.cast("string"))
 
 
-def test_review_join_splits_the_hot_order_line(spark, forced_skew):
+@pytest.mark.parametrize("hot_user", ["u0", None])
+def test_review_join_splits_the_hot_order_line(spark, forced_skew, hot_user):
+    """A third of the reviews are of one order line, or of no known user."""
     rows = spark.range(0, 30000, 1, 16)
+    is_hot = F.col("id") % 3 == 0
     review_df = rows.select(
-        F.col("id").cast("string").alias("review_id"), hot(F.col("id")).alias("order_id"),
-        F.lit("u").alias("user_id"), F.lit("p").alias("product_id"), F.lit("n").alias("name"),
-        F.lit("5").alias("review_rating"), F.sha2(F.col("id").cast("string"), 256).alias("review_text"),
+        F.col("id").cast("string").alias("review_id"),
+        hot(F.col("id")).alias("order_id"),
+        F.when(is_hot, hot_user).otherwise(F.concat(F.lit("u"), F.col("id") % 7)).alias("user_id"),
+        F.concat(F.lit("p"), F.when(is_hot, 0).otherwise(F.col("id") % 5)).alias("product_id"),
+        F.lit("n").alias("name"),
+        F.lit("5").alias("review_rating"),
+        F.sha2(F.col("id").cast("string"), 256).alias("review_text"),
     )
     lines = rows.select(
-        F.col("id").cast("string").alias("id"), F.lit("u").alias("user_id"),
-        F.lit("p").alias("product_id"), F.lit("2024-01-01").cast("timestamp").alias("created_at"),
-    ).unionByName(spark.sql(
-        "SELECT 'hot' AS id, 'u' AS user_id, 'p' AS product_id, timestamp'2024-01-02' AS created_at"
-    ))
+        hot(F.col("id")).alias("id"),
+        F.concat(F.lit("u"), F.when(is_hot, 0).otherwise(F.col("id") % 7)).alias("user_id"),
+        F.concat(F.lit("p"), F.when(is_hot, 0).otherwise(F.col("id") % 5)).alias("product_id"),
+        F.lit("2024-01-01").cast("timestamp").alias("created_at"),
+    )
     images = spark.createDataFrame([("gs://b/001.png",)], "uri string")
     df = reviews.latest_review_snapshot(review_df, lines, images)
     assert re.search(r"skew=true", final_plan(df))
@@ -90,6 +98,42 @@ def test_case_join_splits_the_hot_product(spark, forced_skew):
     assert out.count() == 30000
 
 
+def test_pairing_splits_the_hot_review(spark, forced_skew):
+    messages = spark.range(0, 30000, 1, 16).select(
+        hot(F.col("id")).alias("review_id"),
+        F.sha2(F.col("id").cast("string"), 256).alias("prompt"),
+        F.col("id").cast("string").alias("response"),
+        F.timestamp_seconds("id").alias("publish_time"),
+    )
+    df = lineage.pair_with_response(messages.drop("response"), messages)
+    assert re.search(r"skew=true", final_plan(df))
+    assert df.count() == 30000
+    assert df.where("review_id = 'hot'").first().response == "29997"
+
+
+def test_eligibility_splits_the_hot_user(spark, forced_skew):
+    rows = spark.range(0, 30000, 1, 16)
+    lines = rows.select(
+        F.col("id").cast("string").alias("order_id"), F.lit("001").alias("product_id"),
+        hot(F.col("id") % 3000).alias("user_id"), F.lit(1.0).alias("sale_price"),
+        F.lit("2024-06-29").cast("timestamp").alias("created_at"),
+        F.lit("2024-06-29").cast("timestamp").alias("shipped_at"),
+    )
+    people = rows.select(hot(F.col("id") % 3000).alias("id")).distinct().withColumn(
+        "email", F.concat("id", F.lit("@x")))
+    requests = lines.select(F.concat("user_id", F.lit("@x")).alias("email"), "order_id",
+                            "product_id", F.sha2("order_id", 512).alias("review_text"))
+    df = refunds.refund_eligibility(
+        requests, lines, spark.createDataFrame([("gs://b/001.png",)], "uri string"),
+        spark.createDataFrame([("001", "shirt")], "id string, name string"), people,
+        spark.createDataFrame([(1.0, "x")], "version_number double, service_policy_text string"),
+        "2024-06-30",
+    )
+    assert len(re.findall(r"skew=true", final_plan(df))) >= 2
+    assert df.count() == 30000
+    assert df.where("eligible = 'False'").select("user_id").distinct().count() == 1
+
+
 def test_distinct_orders_are_counted_in_two_steps(spark):
     items = spark.range(0, 9000, 1, 4).select(
         hot(F.col("id")).alias("user_id"), (F.col("id") % 700).cast("string").alias("order_id"),
@@ -100,7 +144,7 @@ def test_distinct_orders_are_counted_in_two_steps(spark):
     for df in (features, counts):
         plan = df._jdf.queryExecution().executedPlan().toString()
         # First by user and order, then by user with counts added up on the map side.
-        assert len(re.findall(r"Exchange hashpartitioning\(user_id#\d+, order_id#\d+", plan)) == 1
+        assert len(re.findall(r"Exchange hashpartitioning\(\S+, order_id#\d+, \d+\)", plan)) == 1
         assert "partial_count(distinct order_id" in plan
     assert features.where("user_id = 'hot'").first().count_orders == 700
 

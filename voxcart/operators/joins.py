@@ -1,8 +1,8 @@
-"""Broadcast behind a check of the size."""
+"""Broadcast behind a check of the size, and aggregates that are joined on their keys."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MAX_BYTES = 32 << 20
@@ -20,3 +20,18 @@ def small_side(df: DataFrame, max_bytes: int = MAX_BYTES, max_rows: int = MAX_RO
     row_bytes = F.octet_length(F.to_json(F.struct("*")))
     rows, size = df.agg(F.count("*"), F.sum(row_bytes)).first()
     return F.broadcast(df) if rows <= max_rows and (size or 0) <= max_bytes else df
+
+
+def aggregate_for_join(
+    df: DataFrame, keys: dict[str, Column | str], *aggregates: Column
+) -> DataFrame:
+    """One row per key, for a join on the same keys with a side that may have hot ones.
+
+    Grouped by the plain columns, the aggregate and the join would share a shuffle,
+    and AQE splits a hot key only in a shuffle that feeds the join directly.  Grouped
+    by a struct of them, the reduced rows are shuffled once more and the join can be
+    split.
+    """
+    parts = [(F.col(c) if isinstance(c, str) else c).alias(name) for name, c in keys.items()]
+    grouped = df.groupBy(F.struct(*parts).alias("join_key")).agg(*aggregates)
+    return grouped.select("join_key.*", *[c for c in grouped.columns if c != "join_key"])

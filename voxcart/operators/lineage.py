@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from voxcart.functions.measures import cosine, hours_since, instant
 from voxcart.functions.payload import flat_vector_text, unless_container, unwrap
 from voxcart.functions.text import trim_space
+from voxcart.operators.joins import aggregate_for_join
 
 # Embedding keys, published name first, then the name older
 # messages use; and the order of the safety categories in a rating.
@@ -143,7 +144,9 @@ def pair_with_response(
     Responses are reduced to one row per key on the map side first, so a key with
     many prompts and responses gives as many rows as it has prompts.
     """
-    latest = responses.groupBy(*keys).agg(
+    latest = aggregate_for_join(
+        responses,
+        {key: key for key in keys},
         F.max(F.struct(F.col("publish_time").alias("response_time"), "response")).alias("latest"),
         F.count("*").alias("responses"),
     )

@@ -9,6 +9,7 @@ from voxcart.functions.measures import days_before, instant
 from voxcart.functions.text import KEY_DIGITS, fill_template, join_uri, trim_space, unquote, uri_key
 from voxcart.operators.documents import attach_latest_policy
 from voxcart.operators.inference import RATING, RESULT, STATUS, Provider, apply_model, embed
+from voxcart.operators.joins import aggregate_for_join
 from voxcart.operators.messages import REFUND, REFUND_PROMPT, REFUND_RESPONSE, message
 
 # The limits of the eligibility rule.
@@ -41,7 +42,9 @@ def recent_order_counts(
 ) -> DataFrame:
     """Distinct orders per user created in the last ``days`` days."""
     recent = order_items.where(F.col("created_at").between(days_before(as_of, days), as_of))
-    return recent.groupBy("user_id").agg(F.count_distinct("order_id").alias("orders_recent"))
+    return aggregate_for_join(
+        recent, {"user_id": "user_id"}, F.count_distinct("order_id").alias("orders_recent")
+    )
 
 
 def refund_eligibility(

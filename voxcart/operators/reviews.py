@@ -15,7 +15,7 @@ from voxcart.functions.text import (
     uri_key,
 )
 from voxcart.operators.inference import RESULT, STATUS, Provider, apply_model
-from voxcart.operators.joins import small_side
+from voxcart.operators.joins import aggregate_for_join, small_side
 
 # JSON paths of the translation and sentiment answers.
 TRANSLATED_TEXT = "$.translations[0].translated_text"
@@ -44,14 +44,18 @@ def latest_review_snapshot(
     the order-line column the review's ``order_id`` refers to.
 
     Order lines are first reduced to one creation time per join key, so the join
-    never multiplies reviews.  ``row_number() = 1`` gives Spark a group limit
-    before the shuffle: a group of many copies leaves each task as one row.
+    never multiplies reviews.  ``row_number() = 1`` gives Spark a group limit before
+    the shuffle: a group of many copies leaves each task as one row.
     """
-    lines = order_items.groupBy(
-        F.col(item_key).alias("order_id"),
-        "user_id",
-        F.col("product_id").cast("string").alias("product_id"),
-    ).agg(F.max("created_at").alias("created_at"))
+    lines = aggregate_for_join(
+        order_items,
+        {
+            "order_id": item_key,
+            "user_id": "user_id",
+            "product_id": F.col("product_id").cast("string"),
+        },
+        F.max("created_at").alias("created_at"),
+    )
     newest = W.partitionBy("review_id", "order_id", "product_id").orderBy(
         F.desc_nulls_last("created_at"), "user_id", "name", "review_rating", "review_text"
     )

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from voxcart import schemas
 from voxcart.functions import payload, text
-from voxcart.functions.measures import instant
+from voxcart.functions.measures import days_before, hours_since, instant, whole_minutes
 from voxcart.operators import (
     campaign,
     cases,
@@ -366,6 +366,20 @@ def persona_prompts(s):
     return customers.persona_prompts(_pivoted(s))
 
 
+@query
+def persona_parse(s):
+    """Stored answers parsed: a quoted title, and a description that is a list."""
+    digest = F.md5("prompt")
+    answers = customers.persona_prompts(_pivoted(s)).select(
+        "cluster",
+        F.concat(
+            F.lit('{"persona_title":"The '), digest, F.lit('","persona_description":["'), digest,
+            F.lit('"]}'),
+        ).alias(RESULT),
+    )
+    return customers.parse_personas(answers)
+
+
 @query
 def personas(s):
     return customers.personas(_pivoted(s), models.persona)
@@ -553,23 +567,22 @@ def embedding_similarity(s):
 # Streams
 
 
-def _message_source(s) -> DataFrame:
-    """The event table as a file stream of prompt messages, each delivered twice."""
-    events = s.table("events")
-    stream = StandIns(s.spark, s.folder)
-    stream.table = lambda name: (
-        s.spark.readStream.schema(events.schema).parquet(f"{s.folder}/{name}*.parquet")
-    )
-    return stream.prompt_messages.unionByName(stream.prompt_messages)
+class _Streams(StandIns):
+    """The stand-ins with every test table read as a file stream."""
+
+    def table(self, name: str) -> DataFrame:
+        schema = StandIns(self.spark, self.folder).table(name).schema
+        return self.spark.readStream.schema(schema).parquet(f"{self.folder}/{name}*.parquet")
 
 
 @query
 def stream_landing(s):
     """Stream to the hourly landing table; one copy of each message arrives."""
     path = _scratch(s, "stream")
+    messages = _Streams(s.spark, s.folder).prompt_messages
     started = landing.land_messages(
-        _message_source(s), schemas.REVIEWS_PROMPTS, f"{path}/table", f"{path}/checkpoint",
-        hour_splits=2,
+        messages.unionByName(messages), schemas.REVIEWS_PROMPTS, f"{path}/table",
+        f"{path}/checkpoint", hour_splits=2,
     )
     started.awaitTermination()
     return read_hourly(s.spark, f"{path}/table", schema=schemas.REVIEWS_PROMPTS).select(
@@ -577,6 +590,17 @@ def stream_landing(s):
     )
 
 
+@query
+def stream_hourly_refunds(s):
+    """Refund totals per hour, kept up to date by a stream."""
+    path = _scratch(s, "totals")
+    refund_stream = decode(_Streams(s.spark, s.folder).refund_messages, schemas.REFUNDS)
+    totals.publish_totals(
+        totals.hourly_refunds(refund_stream), f"{path}/table", f"{path}/checkpoint"
+    ).awaitTermination()
+    return s.spark.read.parquet(f"{path}/table")
+
+
 # Models
 
 
@@ -618,6 +642,35 @@ def text_functions(s):
     )
 
 
+@query
+def uri_functions(s):
+    """Keys out of file names, in full and as the last three digits, and a built URI."""
+    return s.inventory_images.select(
+        "uri",
+        text.uri_key("uri", DIGITS).alias("product_id"),
+        text.uri_key("uri").alias("three_digits"),
+        text.join_uri(IMAGE_ROOT, "/", text.uri_key("uri", DIGITS), "_refund_request.png").alias(
+            "photo"
+        ),
+    )
+
+
+@query
+def time_functions(s):
+    """Day and minute differences and the closed 90-day window up to an instant."""
+    now = instant(AS_OF)
+    return s.order_items.select(
+        "id",
+        "product_id",
+        F.date_diff(F.col("shipped_at").cast("date"), F.col("created_at").cast("date"))
+        .cast("bigint").alias("days_to_ship"),
+        whole_minutes(F.col("shipped_at"), now).alias("minutes_since"),
+        hours_since(F.col("shipped_at"), now).alias("hours_since"),
+        F.when(F.col("created_at").between(days_before(now, 90), now), "recent")
+        .otherwise("old").alias("age"),
+    )
+
+
 @query
 def payload_functions(s):
     data = F.col("data")

@@ -534,6 +534,8 @@ BODIES = {
     + f" FROM ({distances('features_item')}) GROUP BY user_id",
     "centroid_pivot": "SELECT * FROM pivoted",
     "persona_prompts": "SELECT * FROM persona_asked",
+    "persona_parse": "SELECT cluster, 'The ' || md5(prompt) AS persona_title, "
+    "'[\"' || md5(prompt) || '\"]' AS persona_description FROM persona_asked",
     "personas": "SELECT * FROM persona_rows",
     "campaign_context": "SELECT * FROM context",
     "product_copy": "SELECT * FROM copy",
@@ -576,6 +578,8 @@ BODIES = {
     "count(*) AS prompts FROM cleaned_prompts GROUP BY ALL",
     "hourly_refunds": "SELECT date_trunc('hour', publish_time) AS publish_hour, "
     "count(*) AS refunds, sum(refund_amount) AS amount FROM fx_refunds GROUP BY ALL",
+    "stream_hourly_refunds": "SELECT date_trunc('hour', publish_time) AS publish_hour, "
+    "count(*) AS refunds, sum(refund_amount) AS amount FROM fx_refunds GROUP BY ALL",
     "prompt_response_pairs": """
         SELECT p.publish_time, p.review_id, p.prompt, l.publish_time AS response_time, l.response,
                coalesce(l.responses, 0) AS responses
@@ -612,6 +616,20 @@ BODIES = {
                nullif(regexp_extract(text, '([0-9]{{3}})', 1), '') AS three_digits,
                {number_text('n_chars / 4.0')} AS quarter
         FROM documents""",
+    "uri_functions": f"""
+        SELECT uri, {image_key('uri')} AS product_id,
+               nullif(regexp_extract(uri, '([0-9]{{3}})\\.png$', 1), '') AS three_digits,
+               {literal(IMAGE_ROOT + '/')} || {image_key('uri')} || '_refund_request.png' AS photo
+        FROM fx_inventory_images""",
+    "time_functions": f"""
+        SELECT id, product_id,
+               CAST(date_diff('day', CAST(created_at AS DATE), CAST(shipped_at AS DATE)) AS BIGINT)
+                 AS days_to_ship,
+               date_sub('minute', shipped_at, TIMESTAMP '{AS_OF}') AS minutes_since,
+               round(date_sub('minute', shipped_at, TIMESTAMP '{AS_OF}') / 60.0, 2) AS hours_since,
+               CASE WHEN created_at BETWEEN TIMESTAMP '{AS_OF}' - INTERVAL 90 DAY
+                         AND TIMESTAMP '{AS_OF}' THEN 'recent' ELSE 'old' END AS age
+        FROM fx_order_items""",
     "payload_functions": f"""
         SELECT message_id, {scalar('data', '$.response')} AS response,
                {scalar('data', '$.safety_attributes[0].probability_score')} AS probability,

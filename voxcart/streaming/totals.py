@@ -24,6 +24,28 @@ def hourly_refunds(refunds: DataFrame, delay: str = RETENTION) -> DataFrame:
     ).select(F.col("hour.start").alias("publish_hour"), "refunds", "amount")
 
 
+def publish_totals(
+    totals: DataFrame, path: str, checkpoint: str, interval: str | None = None
+) -> StreamingQuery:
+    """Keep the current totals of a windowed stream as a Parquet table.
+
+    Every micro-batch replaces the table with the complete result, which has one
+    row per window.
+    """
+
+    def replace(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(path)
+
+    trigger = {"processingTime": interval} if interval else {"availableNow": True}
+    return (
+        totals.writeStream.outputMode("complete")
+        .foreachBatch(replace)
+        .option("checkpointLocation", checkpoint)
+        .trigger(**trigger)
+        .start()
+    )
+
+
 def hourly_usage_stream(prompts: DataFrame, delay: str = RETENTION) -> DataFrame:
     """Prompts per hour and model version as a stream."""
     return (
