@@ -192,7 +192,15 @@ def sentiment_by_prompt(reviews: DataFrame, provider: Provider, **options) -> Da
 
 
 def sentiment_join_back(answers: DataFrame, reviews: DataFrame) -> DataFrame:
-    """Answers by ``review_id`` left-joined to the review rows, key kept once."""
-    return answers.join(reviews, ["review_id"], "left").select(
-        *reviews.columns, "review_sentiment"
+    """Every answer with the review rows of its ``review_id``, NULL if there is none.
+
+    A left join cannot be split on a review id that repeats on the right, an inner
+    join can; so the answers without a review are added apart.  ``answers`` holds
+    one row per review id.
+    """
+    matched = reviews.join(answers, "review_id", "inner")
+    known = reviews.select("review_id").distinct()
+    unmatched = answers.join(known, "review_id", "left_anti")
+    return matched.select(*reviews.columns, "review_sentiment").unionByName(
+        unmatched.select("review_id", "review_sentiment"), allowMissingColumns=True
     )
