@@ -46,6 +46,8 @@ def frequent_winners(digests: DataFrame, counters: int = COUNTERS) -> DataFrame:
             F.expr(f"approx_top_k_accumulate(item, {counters})").alias("state"),
             F.count("*").alias("rows"),
         )
+        # A key, so that partitions without rows send no empty sketch.
+        .groupBy(F.lit(0).alias("all"))
         .agg(
             F.expr(f"approx_top_k_combine(state, {counters})").alias("state"),
             F.sum("rows").alias("rows"),
