@@ -15,3 +15,153 @@ SELECT doc_id,
        row_number() OVER (PARTITION BY text_sha256 ORDER BY doc_id NULLS LAST) = 1 AS kept,
        text_sha256
 FROM d"""
+
+
+def _quality() -> str:
+    from voxcart.llm import quality_rules as q
+
+    classes = {
+        "upper": "[^A-Z]+",
+        "digit": "[^0-9]+",
+        "symbol": "[^#*$%&|<>]+",
+        "punctuation": r"[\x00-\x20\x7F0-9A-Za-z#*$%&|<>\x{80}-\x{10FFFF}]+",
+        "foreign_chars": r"[\x00-\x7F]+",
+    }
+    counts = ",\n".join(
+        f"length(regexp_replace(text, '{pattern}', '', 'g')) AS {name}"
+        for name, pattern in classes.items()
+    )
+    names = ["upper", "digit", "space", "symbol", "punctuation", "foreign_chars", "rest"]
+    shares = ", ".join(f"sum({n}) / sum(n_chars)" for n in names)
+    own = ", ".join(f"{n} / n_chars" for n in names)
+    term = "CASE WHEN {a} > 0 THEN {a} * log2(2 * {a} / ({a} + {b})) ELSE 0 END"
+    both = term.format(a="p", b="q") + " + " + term.format(a="q", b="p")
+    return rf"""
+WITH d AS (
+  SELECT doc_id, lang, coalesce(text, '') AS text FROM documents),
+m AS (
+  SELECT *, n_chars - word_chars AS space,
+         n_chars - upper - digit - (n_chars - word_chars) - symbol - punctuation - foreign_chars AS rest
+  FROM (SELECT doc_id, lang, length(text) AS n_chars,
+               length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars,
+               {counts},
+               list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words,
+               list_filter(string_split(text, chr(10)),
+                           lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS lines
+        FROM d)),
+win AS (
+  SELECT doc_id, i, list_slice(words, i, i + {q.WINDOW - 1}) AS w
+  FROM (SELECT doc_id, words, unnest(range(1, len(words) - {q.WINDOW - 2})) AS i FROM m)),
+hits AS (
+  SELECT doc_id, i FROM win
+  QUALIFY count(*) OVER (PARTITION BY doc_id, w) > 1),
+repeats AS (
+  SELECT doc_id, count(DISTINCT p) AS n
+  FROM (SELECT doc_id, unnest(range(i, i + {q.WINDOW})) AS p FROM hits) GROUP BY doc_id),
+tokens AS (
+  SELECT doc_id, lang, unnest(list_transform(words, lambda w: lower(w))) AS word FROM m),
+word_counts AS (
+  SELECT lang, word, count(*) AS n FROM tokens WHERE lang IS NOT NULL GROUP BY ALL),
+totals AS (SELECT lang, sum(n) AS total FROM word_counts GROUP BY lang),
+common AS (
+  SELECT lang, word, n / total AS q FROM word_counts JOIN totals USING (lang)
+  WHERE total >= {q.REFERENCE_WORDS}
+  QUALIFY row_number() OVER (PARTITION BY lang ORDER BY n DESC, word) <= {q.COMMON_WORDS}),
+class_refs AS (
+  SELECT lang, [{shares}] AS qs FROM m
+  WHERE lang IN (SELECT lang FROM totals WHERE total >= {q.REFERENCE_WORDS}) GROUP BY lang),
+judged AS (
+  SELECT m.*, qs FROM m JOIN class_refs USING (lang) WHERE len(words) >= {q.LEAST_WORDS}),
+class_terms AS (
+  SELECT doc_id, unnest([{own}]) AS p, unnest(qs) AS q FROM judged),
+class_distances AS (
+  SELECT doc_id, sqrt(greatest(sum({both}) / 2, 0)) AS class_distance
+  FROM class_terms GROUP BY doc_id),
+own_counts AS (
+  SELECT doc_id, word, count(*) AS n FROM tokens GROUP BY ALL),
+word_terms AS (
+  SELECT doc_id, coalesce(o.n, 0) / len(words) AS p, q
+  FROM judged JOIN common USING (lang) LEFT JOIN own_counts o USING (doc_id, word)),
+word_rest AS (
+  SELECT doc_id, 1 - sum(p) AS p, 1 - sum(q) AS q FROM word_terms GROUP BY doc_id),
+word_distances AS (
+  SELECT doc_id, sqrt(greatest(sum({both}) / 2, 0)) AS word_distance
+  FROM (SELECT * FROM word_terms UNION ALL SELECT * FROM word_rest) GROUP BY doc_id),
+measured AS (
+  SELECT m.doc_id, CAST(len(words) AS BIGINT) AS n_words, word_chars, symbol AS n_symbols,
+         CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+         coalesce(r.n, 0) AS n_repeat_words,
+         round(class_distance, 6) AS class_distance, round(word_distance, 6) AS word_distance
+  FROM m LEFT JOIN repeats r USING (doc_id) LEFT JOIN class_distances USING (doc_id)
+  LEFT JOIN word_distances USING (doc_id))
+SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+       NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words)
+       AND coalesce(class_distance, 0) <= {q.CLASS_DISTANCE}
+       AND coalesce(word_distance, 0) <= {q.WORD_DISTANCE} AS kept
+FROM measured"""
+
+
+ORACLES["op2_quality_rules"] = _quality()
+
+
+def _secrets() -> str:
+    from voxcart.llm import secrets as x
+
+    def quoted(pattern: str) -> str:
+        return "'" + pattern.replace("'", "''") + "'"
+
+    patterns = {"assign": x.ASSIGN, "access": x.ACCESS, "hex": x.HEX, "entropy": x.CANDIDATE}
+    kept = {
+        "assign": f"length(regexp_extract(m, {quoted(x.ASSIGN)}, 2)) >= {x.LEAST['assign']}",
+        "access": f"length(m) >= {x.LEAST['access']}",
+        "hex": f"length(m) >= {x.LEAST['hex']}",
+        "entropy": "true",
+    }
+    found = " UNION ALL ".join(
+        f"""
+        SELECT doc_id, '{kind}' AS kind, {rank} AS rank, found[i] AS m,
+               list_sum(list_transform(gaps[1:i], lambda g: length(g)))
+               + coalesce(list_sum(list_transform(found[1:i - 1], lambda f: length(f))), 0) AS start
+        FROM (SELECT doc_id, found, gaps, unnest(range(1, len(found) + 1)) AS i
+              FROM (SELECT doc_id, regexp_extract_all(text, {quoted(pattern)}) AS found,
+                           string_split_regex(text, {quoted(pattern)}) AS gaps FROM d))
+        WHERE {kept[kind].replace("m,", "found[i],").replace("(m)", "(found[i])")}"""
+        for rank, (kind, pattern) in enumerate(patterns.items())
+    )
+    bound = "CASE " + " ".join(
+        f"WHEN regexp_matches(m, {quoted(pattern)}) THEN {x.bound_of(bits)}"
+        for _, pattern, bits in x.CLASSES
+    ) + " END"
+    allowed = " OR ".join(f"regexp_matches(m, {quoted(p)})" for p in x.ALLOW)
+    table = x.table_of_terms()
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+found AS ({found}),
+windows AS (
+  SELECT doc_id, start, m, i, unnest(string_split(substr(m, i, {x.WINDOW}), '')) AS c
+  FROM (SELECT doc_id, start, m, unnest(range(1, length(m) - {x.WINDOW} + 2)) AS i
+        FROM found WHERE kind = 'entropy')),
+terms AS (
+  SELECT doc_id, start, m, i, {table}[count(*) + 1] AS term FROM windows GROUP BY doc_id, start, m, i, c),
+sums AS (SELECT doc_id, start, m, sum(term) AS total FROM terms GROUP BY doc_id, start, m, i),
+random AS (
+  SELECT doc_id, start FROM sums WHERE NOT ({allowed})
+  GROUP BY doc_id, start, m HAVING min(total) <= {bound} AND {bound} >= 0),
+spans AS (
+  SELECT doc_id, kind, rank, start, kind || ':' || CAST(start AS VARCHAR) || ':' || CAST(start + length(m) AS VARCHAR) AS span
+  FROM found f
+  WHERE kind <> 'entropy' OR EXISTS (SELECT 1 FROM random r WHERE r.doc_id = f.doc_id AND r.start = f.start)),
+listed AS (
+  SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign,
+         count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+         count(*) FILTER (kind = 'entropy') AS n_entropy,
+         string_agg(span, ',' ORDER BY start, rank) FILTER (kind <> 'entropy') AS base,
+         string_agg(span, ',' ORDER BY start, rank) AS spans
+  FROM spans GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access,
+       coalesce(n_hex, 0) AS n_hex, coalesce(n_entropy, 0) AS n_entropy,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN listed USING (doc_id)"""
+
+
+ORACLES["op8_secret_scan"] = _secrets()

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voxcart.llm import exact_dedup, sharding
+from voxcart.llm import exact_dedup, quality_rules, secrets, sharding
 from voxcart.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,14 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.mark(documents(spark, sf_dir))
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(documents(spark, sf_dir))
+
+
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest_spans(secrets.scan(documents(spark, sf_dir)))
+
+
 def op10_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(documents(spark, sf_dir))
 
@@ -24,6 +32,8 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_exact_dedup,
+        op2_quality_rules,
+        op8_secret_scan,
         op10_byte_shards,
     )
 }
