@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from voxcart.llm import exact_dedup, quality_rules, secrets, sharding
+from voxcart.llm import bpe, exact_dedup, quality_rules, secrets, sharding, token_files
 from voxcart.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +21,17 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(documents(spark, sf_dir))
 
 
+def op6_trie_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digest(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = token_files.write(
+        documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), end_id=2
+    )
+    return token_files.read_documents(manifest)
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest_spans(secrets.scan(documents(spark, sf_dir)))
 
@@ -33,6 +45,8 @@ QUERIES: dict[str, Query] = {
     for f in (
         op1_exact_dedup,
         op2_quality_rules,
+        op6_trie_bpe,
+        op7_token_files,
         op8_secret_scan,
         op10_byte_shards,
     )
