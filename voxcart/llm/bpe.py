@@ -7,8 +7,10 @@ follows from those above it: a token ``t`` that is a suffix of the path is the l
 one if and only if ``t`` may follow the last token of the path without it.  Pieces
 that share a prefix share all states on it, and each is computed once.
 
-Two tokens may stand side by side if merging their joined bytes from scratch gives
-just these two tokens; answers are kept per pair.
+Two tokens may stand side by side if no merge joins parts of both.  Only the parts at
+the border count: those down the right edge of the left token's merge tree, and down the
+left edge of the right one's.  A pair of such parts is joined if its merge comes before
+each of them goes into a larger part of its own token.  Answers are kept per pair.
 
 Encodings are kept per task for pieces up to ``LONGEST_KEPT`` bytes, at most ``KEPT``
 of them.  Longer pieces are encoded and forgotten, so memory has a bound whatever the
@@ -35,7 +37,7 @@ from pyspark.sql import DataFrame
 PIECES = (
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 )
-KEPT = 200_000
+KEPT = 1_000_000
 LONGEST_KEPT = 256
 
 
@@ -66,6 +68,7 @@ class Vocabulary:
             (self.ids[as_bytes(a)], self.ids[as_bytes(b)]): (rank, self.ids[as_bytes(a + b)])
             for rank, (a, b) in enumerate(merges)
         }
+        self.halves = {whole: (*pair, rank) for pair, (rank, whole) in self.ranks.items()}
         self.bytes = [b""] * (1 + max([*self.ids.values(), *self.added.values()]))
         for token, i in self.ids.items():
             self.bytes[i] = token
@@ -102,15 +105,42 @@ class TrieEncoder:
         self.pairs: dict[tuple[int, int], bool] = {}
         # Tokens whose own bytes merge back into them; no other can be in an encoding.
         self.whole: dict[int, bool] = {}
+        self.edges: dict[tuple[int, int], list[tuple[int, float]]] = {}
+
+    def edge(self, token: int, side: int) -> list[tuple[int, float]]:
+        """Parts down one edge of a token's merge tree, with the rank that ends each."""
+        found = self.edges.get((token, side))
+        if found is None:
+            found, part, until = [], token, float("inf")
+            while True:
+                found.append((part, until))
+                if part not in self.vocabulary.halves:
+                    break
+                *halves, until = self.vocabulary.halves[part]
+                part = halves[side]
+            self.edges[token, side] = found
+        return found
 
     def may_follow(self, left: int, right: int) -> bool:
         pair = (left, right)
-        if pair not in self.pairs:
-            if len(self.pairs) > 8 * self.kept:
+        answer = self.pairs.get(pair)
+        if answer is None:
+            if len(self.pairs) > 4 * self.kept:
                 self.pairs.clear()
-            v = self.vocabulary
-            self.pairs[pair] = v.merge(v.bytes[left] + v.bytes[right]) == [left, right]
-        return self.pairs[pair]
+            answer = self.pairs[pair] = not self.joins(left, right)
+        return answer
+
+    def joins(self, left: int, right: int) -> bool:
+        """Whether some merge joins a part of ``left`` with one of ``right``."""
+        ranks = self.vocabulary.ranks
+        ends = self.edge(right, 0)
+        for part, until in self.edge(left, 1):
+            for other, other_until in ends:
+                merge = ranks.get((part, other))
+                # Of equal merges the leftmost comes first.
+                if merge and merge[0] < until and merge[0] <= other_until:
+                    return True
+        return False
 
     def is_whole(self, token: int) -> bool:
         if token not in self.whole:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from voxcart.llm import bpe, exact_dedup, quality_rules, secrets, sharding, token_files
+from voxcart.llm import bpe, exact_dedup, near_dedup, quality_rules, secrets, sharding, token_files
 from voxcart.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(documents(spark, sf_dir))
 
 
+def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.mark(documents(spark, sf_dir))
+
+
 def op6_trie_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -45,6 +49,7 @@ QUERIES: dict[str, Query] = {
     for f in (
         op1_exact_dedup,
         op2_quality_rules,
+        op3_minhash_dedup,
         op6_trie_bpe,
         op7_token_files,
         op8_secret_scan,

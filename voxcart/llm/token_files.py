@@ -46,7 +46,7 @@ LENGTH = 2048
 BATCH = 64
 PAD = 0
 # Words whose ids a task remembers.
-KEPT = 300_000
+KEPT = 1_000_000
 LONGEST_KEPT = 64
 
 
