@@ -31,18 +31,17 @@ def _quality() -> str:
         f"length(regexp_replace(text, '{pattern}', '', 'g')) AS {name}"
         for name, pattern in classes.items()
     )
-    names = ["upper", "digit", "space", "symbol", "punctuation", "foreign_chars", "rest"]
-    shares = ", ".join(f"sum({n}) / sum(n_chars)" for n in names)
-    own = ", ".join(f"{n} / n_chars" for n in names)
+    names = ["upper", "digit", "symbol", "punctuation", "foreign_chars", "rest"]
+    shares = ", ".join(f"sum({n}) / sum(word_chars)" for n in names)
+    own = ", ".join(f"{n} / word_chars" for n in names)
     term = "CASE WHEN {a} > 0 THEN {a} * log2(2 * {a} / ({a} + {b})) ELSE 0 END"
     both = term.format(a="p", b="q") + " + " + term.format(a="q", b="p")
     return rf"""
 WITH d AS (
   SELECT doc_id, lang, coalesce(text, '') AS text FROM documents),
 m AS (
-  SELECT *, n_chars - word_chars AS space,
-         n_chars - upper - digit - (n_chars - word_chars) - symbol - punctuation - foreign_chars AS rest
-  FROM (SELECT doc_id, lang, length(text) AS n_chars,
+  SELECT *, word_chars - upper - digit - symbol - punctuation - foreign_chars AS rest
+  FROM (SELECT doc_id, lang,
                length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars,
                {counts},
                list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words,
@@ -59,7 +58,7 @@ repeats AS (
   SELECT doc_id, count(DISTINCT p) AS n
   FROM (SELECT doc_id, unnest(range(i, i + {q.WINDOW})) AS p FROM hits) GROUP BY doc_id),
 tokens AS (
-  SELECT doc_id, lang, unnest(list_transform(words, lambda w: lower(w))) AS word FROM m),
+  SELECT doc_id, lang, unnest(words) AS word FROM m),
 word_counts AS (
   SELECT lang, word, count(*) AS n FROM tokens WHERE lang IS NOT NULL GROUP BY ALL),
 totals AS (SELECT lang, sum(n) AS total FROM word_counts GROUP BY lang),

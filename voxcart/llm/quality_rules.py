@@ -1,7 +1,7 @@
 """Quality rules by divergence from language references.
 
-A document is compared with the reference of its language by two histograms: its
-characters by class, and its common words.  The distance of each pair is the
+A document is compared with the reference of its language by two histograms: the
+characters of its words by class, and its common words.  The distance of each pair is the
 Jensen-Shannon distance (base 2, so between 0 and 1).  References are counted over
 all documents of a language, and hold only fixed-length arrays: one row per
 language, with ``COMMON_WORDS`` words.
@@ -29,11 +29,11 @@ LEAST_WORDS = 50
 COMMON_WORDS = 32
 REFERENCE_WORDS = 1000
 # Largest Jensen-Shannon distances of a document that stays.
-CLASS_DISTANCE = 0.30
+CLASS_DISTANCE = 0.34
 WORD_DISTANCE = 0.43
 
 SYMBOLS = "#*$%&|<>"
-CLASSES = ("upper", "digit", "space", "symbol", "punctuation", "foreign", "lower")
+CLASSES = ("upper", "digit", "symbol", "punctuation", "foreign", "lower")
 
 
 def _count(text: Column, others: str) -> Column:
@@ -41,15 +41,18 @@ def _count(text: Column, others: str) -> Column:
     return F.length(F.regexp_replace(text, f"[{others}]+", "")).cast("long")
 
 
-def _characters(text: Column) -> list[Column]:
-    """Characters in all and by the classes that are counted one by one."""
+def _characters(flat: Column) -> Column:
+    """What is left to be counted by class: all but the runs of a-z and blanks."""
+    return F.regexp_replace(flat, "[a-z ]+", "")
+
+
+def _class_columns(others: Column) -> list[Column]:
     return [
-        F.length(text).cast("long").alias("n_chars"),
-        _count(text, f"^{SYMBOLS}").alias("symbol"),
-        _count(text, "^A-Z").alias("upper"),
-        _count(text, "^0-9").alias("digit"),
-        _count(text, r"\x00-\x7F").alias("foreign"),
-        _count(text, r"\x00-\x20\x7F0-9A-Za-z#*$%&|<>\u0080-\x{10FFFF}").alias("punctuation"),
+        _count(others, "^A-Z").alias("upper"),
+        _count(others, "^0-9").alias("digit"),
+        _count(others, f"^{SYMBOLS}").alias("symbol"),
+        _count(others, r"\x00-\x20\x7F0-9A-Za-z#*$%&|<>\u0080-\x{10FFFF}").alias("punctuation"),
+        _count(others, r"\x00-\x7F").alias("foreign"),
     ]
 
 
@@ -70,12 +73,12 @@ def with_measures(docs: DataFrame) -> DataFrame:
         F.coalesce("text", F.lit("")).alias("text"),
         F.btrim(even_space(F.col("text"))).alias("flat"),
     )
-    split = texts.select(
+    split = texts.withColumn("others", _characters(F.col("flat"))).select(
         "doc_id",
         "lang",
         F.when(F.col("flat") == "", empty).otherwise(F.split("flat", " ")).alias("words"),
         F.length(F.replace("flat", F.lit(" "), F.lit(""))).cast("long").alias("word_chars"),
-        *_characters(F.col("text")),
+        *_class_columns(F.col("others")),
         F.filter(F.split("text", "\n"), _line_has_word).alias("lines"),
     )
     hashed = split.withColumns(
@@ -127,20 +130,16 @@ def with_measures(docs: DataFrame) -> DataFrame:
         F.lit(0),
         lambda a, b: a + b,
     )
-    return repeated.withColumns(
-        {
-            "n_repeat_words": F.when(F.size("starts") == 0, 0)
-            .otherwise(F.lit(WINDOW) + covered)
-            .cast("long"),
-            "space": F.col("n_chars") - F.col("word_chars"),
-        }
+    return repeated.withColumn(
+        "n_repeat_words",
+        F.when(F.size("starts") == 0, 0).otherwise(F.lit(WINDOW) + covered).cast("long"),
     ).drop("starts")
 
 
 def class_counts() -> Column:
     """Characters by class, in the order of ``CLASSES``; the last takes the rest."""
     counted = [F.col(c) for c in CLASSES[:-1]]
-    rest = F.col("n_chars")
+    rest = F.col("word_chars")
     for c in counted:
         rest = rest - c
     return F.array(*counted, rest)
@@ -151,16 +150,26 @@ def references(docs: DataFrame) -> DataFrame:
 
     ``word_shares`` has one more entry than ``common``, for all other words.
     """
-    known = docs.where(F.col("lang").isNotNull())
-    text = F.coalesce("text", F.lit(""))
-    visible = F.length(F.replace(even_space(F.col("text")), F.lit(" "), F.lit("")))
+    counts = written(
+        docs.where(F.col("lang").isNotNull())
+        .select("lang", F.explode(F.split(even_space(F.col("text")), " ")).alias("word"))
+        .where("word != ''")
+        .groupBy("lang", "word")
+        .agg(F.count("*").alias("n")),
+        "words-by-language",
+    )
+    # Characters by class follow from the distinct words and their counts.
     classes = (
-        known.select("lang", *_characters(text), (F.length(text) - visible).alias("space"))
-        .select("lang", "n_chars", class_counts().alias("counts"))
+        counts.withColumn("others", _characters(F.col("word")))
+        .select("lang", "n", F.length("word").alias("word_chars"), *_class_columns(F.col("others")))
+        .select("lang", "n", "word_chars", class_counts().alias("counts"))
         .groupBy("lang")
         .agg(
-            *[F.sum(F.get("counts", F.lit(i))).alias(f"c{i}") for i in range(len(CLASSES))],
-            F.sum("n_chars").alias("all_chars"),
+            *[
+                F.sum(F.col("n") * F.get("counts", F.lit(i))).alias(f"c{i}")
+                for i in range(len(CLASSES))
+            ],
+            F.sum(F.col("n") * F.col("word_chars")).alias("all_chars"),
         )
         .select(
             "lang",
@@ -169,14 +178,6 @@ def references(docs: DataFrame) -> DataFrame:
             ),
         )
     )
-    flat = F.lower(even_space(F.col("text")))
-    counts = written(
-        known.select("lang", F.explode(F.split(flat, " ")).alias("word"))
-        .where("word != ''")
-        .groupBy("lang", "word")
-        .agg(F.count("*").alias("n")),
-        "words-by-language",
-    )
     totals = counts.groupBy("lang").agg(F.sum("n").alias("all_words"))
     best = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
     top = (
@@ -226,13 +227,7 @@ def judge(docs: DataFrame) -> DataFrame:
     judged = F.col("ref_lang").isNotNull() & (F.col("n_words") >= LEAST_WORDS)
     found = measured.withColumn(
         "found",
-        F.when(
-            judged,
-            F.filter(
-                F.transform("words", lambda w: F.lower(w)),
-                lambda w: F.array_contains("common", w),
-            ),
-        ),
+        F.when(judged, F.filter("words", lambda w: F.array_contains("common", w))),
     )
     shares = found.select(
         "*",
@@ -247,7 +242,7 @@ def judge(docs: DataFrame) -> DataFrame:
                 F.array((F.col("n_words") - F.size("found")) / F.col("n_words")),
             ),
         ).alias("own_words"),
-        F.when(judged, F.transform(class_counts(), lambda c: c / F.col("n_chars"))).alias(
+        F.when(judged, F.transform(class_counts(), lambda c: c / F.col("word_chars"))).alias(
             "own_classes"
         ),
     )

@@ -7,7 +7,18 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from voxcart.llm import bpe, exact_dedup, near_dedup, quality_rules, secrets, sharding, token_files
+from voxcart.llm import (
+    bpe,
+    exact_dedup,
+    langid,
+    mixing,
+    near_dedup,
+    quality_gam,
+    quality_rules,
+    secrets,
+    sharding,
+    token_files,
+)
 from voxcart.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +36,15 @@ def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.mark(documents(spark, sf_dir))
 
 
+def op4_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.plan(documents(spark, sf_dir))
+
+
+def op5_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality_gam.classify(documents(spark, sf_dir), labels)
+
+
 def op6_trie_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -40,6 +60,12 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest_spans(secrets.scan(documents(spark, sf_dir)))
 
 
+def op9_piece_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(
+        documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model")
+    )
+
+
 def op10_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(documents(spark, sf_dir))
 
@@ -50,9 +76,12 @@ QUERIES: dict[str, Query] = {
         op1_exact_dedup,
         op2_quality_rules,
         op3_minhash_dedup,
+        op4_temperature_mix,
+        op5_quality_gam,
         op6_trie_bpe,
         op7_token_files,
         op8_secret_scan,
+        op9_piece_langid,
         op10_byte_shards,
     )
 }
