@@ -164,3 +164,75 @@ FROM d LEFT JOIN listed USING (doc_id)"""
 
 
 ORACLES["op8_secret_scan"] = _secrets()
+
+
+def _mixing() -> str:
+    from voxcart.llm import mixing as m
+
+    steps = m.LEVELS * m.PASSES
+    weights = "list_transform(shares, lambda s: pow(s, {x}))"
+    entropy = (
+        f"ln(list_sum({weights})) - list_sum(list_transform({weights}, lambda w: w * ln(w)))"
+        f" / list_sum({weights}) >= target"
+    )
+    often = (
+        f"list_max(list_transform(shares, lambda s: pow(s, {{x}}) / s)) / list_sum({weights})"
+        f" * {m.BUDGET_SHARE} > {m.REPEAT_LIMIT}"
+    )
+    half = "((lo + hi) / 2)"
+    return rf"""
+WITH RECURSIVE rows AS (
+  SELECT doc_id, source,
+         CAST(len(list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')) AS BIGINT) AS n_tokens,
+         '{m.SEED}|' || coalesce(CAST(doc_id AS VARCHAR), '') AS key
+  FROM documents),
+placed AS (
+  SELECT doc_id, source, n_tokens, md5(key || '|place') AS place,
+         CAST(CAST('0x' || substr(md5(key), 1, 8) AS BIGINT) % {m.BLOCKS} AS INTEGER) AS block
+  FROM rows),
+totals AS (SELECT source, CAST(sum(n_tokens) AS BIGINT) AS tokens FROM placed GROUP BY source),
+given AS (
+  SELECT list(tokens / total) AS shares, {m.ENTROPY_SHARE} * ln(count(*)) AS target, any_value(total) AS total
+  FROM totals, (SELECT sum(tokens) AS total FROM totals) WHERE tokens > 0),
+even(step, lo, hi) AS (
+  SELECT 0, CAST(0 AS DOUBLE), CAST(1 AS DOUBLE)
+  UNION ALL
+  SELECT step + 1, CASE WHEN {entropy.format(x=half)} THEN {half} ELSE lo END,
+         CASE WHEN {entropy.format(x=half)} THEN hi ELSE {half} END
+  FROM even, given WHERE step < {steps}),
+spread AS (
+  SELECT CASE WHEN {entropy.format(x=1)} THEN 1 ELSE lo END AS power FROM even, given WHERE step = {steps}),
+rare(step, lo, hi) AS (
+  SELECT 0, power, CAST(1 AS DOUBLE) FROM spread
+  UNION ALL
+  SELECT step + 1, CASE WHEN {often.format(x=half)} THEN {half} ELSE lo END,
+         CASE WHEN {often.format(x=half)} THEN hi ELSE {half} END
+  FROM rare, given WHERE step < {steps}),
+chosen AS (
+  SELECT CASE WHEN {often.format(x='power')} THEN least(1, lo + pow(2, -{steps})) ELSE power END AS power
+  FROM spread, rare, given WHERE step = {steps}),
+quotas AS (
+  SELECT source, tokens,
+         CASE WHEN tokens > 0
+              THEN CAST(floor(pow(tokens / total, power) / list_sum({weights.format(x='power')})
+                              * floor(total * {m.BUDGET_SHARE})) AS BIGINT) ELSE 0 END AS quota
+  FROM totals, given, chosen),
+blocks AS (
+  SELECT source, block, CAST(sum(n_tokens) AS BIGINT) AS block_tokens,
+         md5(concat_ws('|', '{m.SEED}', coalesce(source, ''), CAST(block AS VARCHAR))) AS shuffled
+  FROM placed GROUP BY source, block),
+cuts AS (
+  SELECT b.source, block, block_tokens,
+         CAST(row_number() OVER (PARTITION BY b.source ORDER BY shuffled, block) AS INTEGER) AS block_rank,
+         CASE WHEN tokens > 0 THEN quota // tokens ELSE 0 END AS rounds,
+         CASE WHEN tokens > 0 THEN quota % tokens ELSE 0 END
+         - (sum(block_tokens) OVER (PARTITION BY b.source ORDER BY shuffled, block) - block_tokens) AS room
+  FROM blocks b JOIN quotas q ON b.source IS NOT DISTINCT FROM q.source)
+SELECT p.doc_id, p.source, p.n_tokens, p.block, block_rank,
+       CAST(rounds + CASE WHEN room <= 0 THEN 0 WHEN room >= block_tokens THEN 1
+            WHEN sum(p.n_tokens) OVER (PARTITION BY p.source, p.block ORDER BY p.place, p.doc_id) <= room
+            THEN 1 ELSE 0 END AS BIGINT) AS copies
+FROM placed p JOIN cuts c ON p.source IS NOT DISTINCT FROM c.source AND p.block = c.block"""
+
+
+ORACLES["op4_temperature_mix"] = _mixing()
