@@ -5,10 +5,11 @@ by an end id.  The ids of a range run on without gaps through sequences of ``LEN
 ids.  A range becomes two files in the Arrow file format (record batches with a
 footer of their offsets):
 
-* ``*.ids.arrow``: ``ids`` and ``mask``, fixed-size lists of ``LENGTH``; every batch
-  but the last has ``BATCH`` sequences, so sequence ``i`` lies in batch
-  ``i // BATCH`` at row ``i % BATCH`` and is read without copying.  Only the last
-  sequence of a file has padding, where the mask is 0.
+* ``*.ids.arrow``: ``ids`` and ``mask``, fixed-size lists of ``LENGTH`` numbers and of
+  ``LENGTH`` bits; every batch but the last has ``BATCH`` sequences, so sequence ``i``
+  lies in batch ``i // BATCH`` at row ``i % BATCH`` and is a slice of the mapped file.
+  Only the last sequence of a file has padding, where the mask is false.  Ids take two
+  bytes if the vocabulary allows, else four.
 * ``*.index.arrow``: ``doc_id, start, n_tokens`` of each document in the file.
 
 File names are new for each attempt of a task.  The manifest, a table that Spark
@@ -64,6 +65,8 @@ class WordEncoder:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
+        top = max(self.library.get_vocab(with_added_tokens=True).values())
+        self.type = np.dtype("<u2" if top < 1 << 16 else "<u4")
         self.kept = kept
         self.known: dict[bytes, bytes] = {}
 
@@ -72,7 +75,8 @@ class WordEncoder:
             [w.decode("utf-8") for w in words], add_special_tokens=False
         )
         return {
-            w: np.array(e.ids, dtype="<u4").tobytes() for w, e in zip(words, encodings, strict=True)
+            w: np.array(e.ids, dtype=self.type).tobytes()
+            for w, e in zip(words, encodings, strict=True)
         }
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -106,31 +110,35 @@ def _place(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
     return pyarrow.fs.LocalFileSystem(), path
 
 
-def ids_schema(length: int) -> pa.Schema:
+def ids_schema(kind: np.dtype, length: int) -> pa.Schema:
     return pa.schema(
-        [("ids", pa.list_(pa.uint32(), length)), ("mask", pa.list_(pa.uint8(), length))]
+        [
+            ("ids", pa.list_(pa.from_numpy_dtype(kind), length)),
+            ("mask", pa.list_(pa.bool_(), length)),
+        ]
     )
 
 
 class SequenceWriter:
     """Cuts a run of ids into sequences and writes them batch by batch."""
 
-    def __init__(self, sink, length: int):
-        self.length = length
-        self.file = pa.ipc.new_file(sink, ids_schema(length))
+    def __init__(self, sink, kind: np.dtype, length: int):
+        self.kind, self.length = kind, length
+        self.schema = ids_schema(kind, length)
+        self.file = pa.ipc.new_file(sink, self.schema)
         self.waiting: list[bytes] = []
         self.size = 0
         self.total = 0
 
     def add(self, ids: bytes) -> None:
         self.waiting.append(ids)
-        self.size += len(ids) // 4
-        self.total += len(ids) // 4
+        self.size += len(ids) // self.kind.itemsize
+        self.total += len(ids) // self.kind.itemsize
         if self.size >= BATCH * self.length:
             self.flush(self.size - self.size % (BATCH * self.length))
 
     def flush(self, count: int) -> None:
-        flat = np.frombuffer(b"".join(self.waiting), dtype="<u4")
+        flat = np.frombuffer(b"".join(self.waiting), dtype=self.kind)
         for at in range(0, count, BATCH * self.length):
             self.write(flat[at : min(count, at + BATCH * self.length)])
         rest = flat[count:]
@@ -138,19 +146,15 @@ class SequenceWriter:
 
     def write(self, ids: np.ndarray) -> None:
         padding = -len(ids) % self.length
-        mask = np.ones(len(ids) + padding, dtype=np.uint8)
+        mask = np.ones(len(ids) + padding, dtype=bool)
         if padding:
-            mask[len(ids) :] = 0
-            ids = np.concatenate([ids, np.full(padding, PAD, dtype="<u4")])
-        self.file.write_batch(
-            pa.RecordBatch.from_arrays(
-                [
-                    pa.FixedSizeListArray.from_arrays(pa.array(ids), self.length),
-                    pa.FixedSizeListArray.from_arrays(pa.array(mask), self.length),
-                ],
-                schema=ids_schema(self.length),
-            )
-        )
+            mask[len(ids) :] = False
+            ids = np.concatenate([ids, np.full(padding, PAD, dtype=self.kind)])
+        lists = [
+            pa.FixedSizeListArray.from_arrays(pa.array(values), self.length)
+            for values in (ids, mask)
+        ]
+        self.file.write_batch(pa.RecordBatch.from_arrays(lists, schema=self.schema))
 
     def close(self) -> None:
         if self.size:
@@ -163,7 +167,6 @@ def write(
 ) -> DataFrame:
     """Write the files; returns the manifest: ``part, ids_file, index_file, n_ids, n_docs``."""
     folder = folder or scratch(docs.sparkSession, "token-files")
-    end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = next(batches, None)
@@ -178,12 +181,13 @@ def write(
             [("doc_id", first.schema.field(0).type), ("start", pa.int64()), ("n_tokens", pa.int64())]
         )
         encoder, n_docs = word_encoder(tokenizer), 0
+        end = np.array([end_id], dtype=encoder.type).tobytes()
         with (
             system.open_output_stream(_place(names[0])[1]) as ids_sink,
             system.open_output_stream(_place(names[1])[1]) as index_sink,
             pa.ipc.new_file(index_sink, index_schema) as index,
         ):
-            out = SequenceWriter(ids_sink, length)
+            out = SequenceWriter(ids_sink, encoder.type, length)
             batch = first
             while batch is not None:
                 for at in range(0, batch.num_rows, 256):
@@ -198,7 +202,9 @@ def write(
                             [
                                 rows.column(0),
                                 pa.array(starts, pa.int64()),
-                                pa.array([len(e) // 4 + 1 for e in encoded], pa.int64()),
+                                pa.array(
+                                    [len(e) // encoder.type.itemsize + 1 for e in encoded], pa.int64()
+                                ),
                             ],
                             schema=index_schema,
                         )
@@ -239,17 +245,16 @@ class TokenFile:
         self.reader = pa.ipc.open_file(self.source)
 
     def batches(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Ids (a view) and mask of each batch, flat."""
         for k in range(self.reader.num_record_batches):
-            batch = self.reader.get_batch(k)
-            yield tuple(c.flatten().to_numpy(zero_copy_only=True) for c in batch.columns)
+            ids, mask = self.reader.get_batch(k).columns
+            yield ids.flatten().to_numpy(), mask.flatten().to_numpy(zero_copy_only=False)
 
-    def sequence(self, i: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and mask of sequence ``i``."""
-        batch = self.reader.get_batch(i // BATCH)
+    def sequence(self, i: int) -> tuple[np.ndarray, pa.Array]:
+        """Ids and mask of sequence ``i``, both views of the file."""
+        ids, mask = self.reader.get_batch(i // BATCH).columns
         row = i % BATCH
-        return tuple(
-            c.slice(row, 1).flatten().to_numpy(zero_copy_only=True) for c in batch.columns
-        )
+        return ids.slice(row, 1).flatten().to_numpy(), mask.slice(row, 1).flatten()
 
     def close(self) -> None:
         self.source.close()
@@ -258,7 +263,7 @@ class TokenFile:
 def _document_sums(ids_file: str, index_file: str) -> Iterator[pa.RecordBatch]:
     """``doc_id, start, n_tokens, ids_crc32`` of the documents in one pair of files."""
     ids, index = TokenFile(ids_file), TokenFile(index_file)
-    stream = (values[mask == 1] for values, mask in ids.batches())
+    stream = (values[mask].astype("<u4") for values, mask in ids.batches())
     block, used = np.empty(0, dtype="<u4"), 0
     for k in range(index.reader.num_record_batches):
         batch = index.reader.get_batch(k)
@@ -267,7 +272,7 @@ def _document_sums(ids_file: str, index_file: str) -> Iterator[pa.RecordBatch]:
             crc = 0
             while left:
                 if used == len(block):
-                    block, used = np.ascontiguousarray(next(stream)), 0
+                    block, used = next(stream), 0
                 taken = block[used : used + left]
                 crc = zlib.crc32(taken, crc)
                 used += len(taken)
