@@ -23,6 +23,7 @@ at.
 
 from __future__ import annotations
 
+import array
 import functools
 import hashlib
 import json
@@ -38,6 +39,8 @@ PIECES = (
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 )
 KEPT = 1_000_000
+# Key of a node under which the trie keeps the piece that ends there.
+END = -1
 LONGEST_KEPT = 256
 
 
@@ -74,7 +77,6 @@ class Vocabulary:
             self.bytes[i] = token
         for token, i in self.added.items():
             self.bytes[i] = token.encode()
-        self.longest = max(map(len, self.ids))
 
     def merge(self, data: bytes) -> list[int]:
         """Plain BPE: join the pair of lowest rank, leftmost first, until none is left."""
@@ -95,6 +97,43 @@ class Vocabulary:
         return tokens
 
 
+class Suffixes:
+    """All tokens that end at a byte, found by an automaton over the vocabulary."""
+
+    def __init__(self, tokens: dict[bytes, int]):
+        self.next: list[dict[int, int]] = [{}]
+        own: list[int | None] = [None]
+        for token, i in tokens.items():
+            state = 0
+            for byte in token:
+                step = self.next[state].get(byte)
+                if step is None:
+                    step = self.next[state][byte] = len(own)
+                    self.next.append({})
+                    own.append(None)
+                state = step
+            own[state] = i
+        self.fallback = [0] * len(own)
+        # Tokens that are suffixes of what a state has read, longest first.
+        self.tokens: list[tuple[int, ...]] = [()] * len(own)
+        queue = [(0, byte, state) for byte, state in self.next[0].items()]
+        for parent, byte, state in queue:
+            shorter = self.step(self.fallback[parent], byte) if parent else 0
+            self.fallback[state] = shorter
+            mine = () if own[state] is None else (own[state],)
+            self.tokens[state] = mine + self.tokens[shorter]
+            queue.extend((state, b, below) for b, below in self.next[state].items())
+
+    def step(self, state: int, byte: int) -> int:
+        while True:
+            found = self.next[state].get(byte)
+            if found is not None:
+                return found
+            if not state:
+                return 0
+            state = self.fallback[state]
+
+
 class TrieEncoder:
     """Encodings of pieces by last-token states on a trie."""
 
@@ -102,11 +141,19 @@ class TrieEncoder:
         self.vocabulary = vocabulary
         self.kept = kept
         self.known: dict[str, bytes] = {}
-        self.pairs: dict[tuple[int, int], bool] = {}
-        # Tokens whose own bytes merge back into them; no other can be in an encoding.
-        self.whole: dict[int, bool] = {}
+        self.pairs: dict[int, bool] = {}
+        self.sizes = list(map(len, vocabulary.bytes))
+        # Tokens whose own bytes do not merge back into them are in no encoding.
+        self.suffixes = Suffixes({t: i for t, i in vocabulary.ids.items() if self.is_whole(i)})
         self.edges: dict[tuple[int, int], list[tuple[int, float]]] = {}
 
+    def is_whole(self, token: int) -> bool:
+        """Whether merging the token's bytes ends in the token."""
+        v = self.vocabulary
+        if len(v.bytes[token]) == 1:
+            return True
+        return token in v.halves and v.merge(v.bytes[token]) == [token]
+
     def edge(self, token: int, side: int) -> list[tuple[int, float]]:
         """Parts down one edge of a token's merge tree, with the rank that ends each."""
         found = self.edges.get((token, side))
@@ -122,7 +169,7 @@ class TrieEncoder:
         return found
 
     def may_follow(self, left: int, right: int) -> bool:
-        pair = (left, right)
+        pair = left << 24 | right
         answer = self.pairs.get(pair)
         if answer is None:
             if len(self.pairs) > 4 * self.kept:
@@ -142,83 +189,63 @@ class TrieEncoder:
                     return True
         return False
 
-    def is_whole(self, token: int) -> bool:
-        if token not in self.whole:
-            self.whole[token] = self.vocabulary.merge(self.vocabulary.bytes[token]) == [token]
-        return self.whole[token]
-
-    def last_token(self, path: bytes, states: list[int]) -> int:
-        """The last token of ``path``; ``states[d]`` is the one of its first ``d`` bytes."""
-        size = len(path)
-        ids = self.vocabulary.ids
-        for length in range(min(size, self.vocabulary.longest), 0, -1):
-            token = ids.get(path[size - length :])
-            if token is None:
-                continue
-            if length == size:
-                if self.is_whole(token):
-                    return token
-            elif self.is_whole(token) and self.may_follow(states[size - length], token):
+    def last_token(self, state: int, depth: int, states: list[int]) -> int:
+        """The last token of a path of ``depth`` bytes that the automaton has read.
+
+        ``states[d]`` is the last token of the path's first ``d`` bytes.
+        """
+        for token in self.suffixes.tokens[state]:
+            before = depth - self.sizes[token]
+            if not before or self.may_follow(states[before], token):
                 return token
         raise ValueError("the vocabulary has no token for a byte")
 
-    def read_back(self, path: bytes, states: list[int]) -> list[int]:
-        tokens, at = [], len(path)
-        while at:
-            tokens.append(states[at])
-            at -= len(self.vocabulary.bytes[states[at]])
-        return tokens[::-1]
+    def read_back(self, depth: int, states: list[int]) -> bytes:
+        tokens, sizes = [], self.sizes
+        while depth:
+            tokens.append(states[depth])
+            depth -= sizes[states[depth]]
+        tokens.reverse()
+        return array.array("I", tokens).tobytes()
 
     def encode_distinct(self, pieces: Iterable[str]) -> dict[str, bytes]:
         """Ids of each piece as little-endian unsigned 32-bit integers."""
-        children: list[dict[int, int]] = [{}]
-        ends: dict[int, str] = {}
+        root: dict = {}
         result: dict[str, bytes] = {}
         for piece in pieces:
             data = piece.encode("utf-8")
             if len(data) > LONGEST_KEPT:
                 result[piece] = self.encode_alone(data)
                 continue
-            node = 0
+            node = root
             for byte in data:
-                below = children[node].get(byte)
+                below = node.get(byte)
                 if below is None:
-                    below = children[node][byte] = len(children)
-                    children.append({})
+                    below = node[byte] = {}
                 node = below
-            ends[node] = piece
-        # Depth first; the path and its states are cut back to the depth of each node.
-        path, states = bytearray(), [-1]
-        stack = [(below, 1, byte) for byte, below in children[0].items()]
+            node[END] = piece
+        # Depth first: states are cut back to a node's depth before its own is added.
+        states, step = [-1], self.suffixes.step
+        stack = [(1, byte, 0, below) for byte, below in root.items()]
         while stack:
-            node, depth, byte = stack.pop()
-            del path[depth - 1 :]
+            depth, byte, above, node = stack.pop()
+            at = step(above, byte)
             del states[depth:]
-            path.append(byte)
-            states.append(self.last_token(bytes(path), states))
-            if node in ends:
-                ids = self.read_back(bytes(path), states)
-                result[ends[node]] = np.array(ids, dtype="<u4").tobytes()
-            stack.extend((below, depth + 1, b) for b, below in children[node].items())
+            states.append(self.last_token(at, depth, states))
+            for below_byte, below in node.items():
+                if below_byte == END:
+                    result[below] = self.read_back(depth, states)
+                else:
+                    stack.append((depth + 1, below_byte, at, below))
         return result
 
     def encode_alone(self, data: bytes) -> bytes:
         """One long piece: the trie is a single path."""
-        states, longest = [-1], self.vocabulary.longest
-        for size in range(1, len(data) + 1):
-            low = max(0, size - longest)
-            states.append(self.last_token_at(data, low, size, states))
-        return np.array(self.read_back(data, states), dtype="<u4").tobytes()
-
-    def last_token_at(self, data: bytes, low: int, size: int, states: list[int]) -> int:
-        ids = self.vocabulary.ids
-        for start in range(low, size):
-            token = ids.get(data[start:size])
-            if token is None or not self.is_whole(token):
-                continue
-            if start == 0 or self.may_follow(states[start], token):
-                return token
-        raise ValueError("the vocabulary has no token for a byte")
+        states, at = [-1], 0
+        for depth, byte in enumerate(data, 1):
+            at = self.suffixes.step(at, byte)
+            states.append(self.last_token(at, depth, states))
+        return self.read_back(len(data), states)
 
     def encode(self, texts: list[list[str]]) -> list[bytes]:
         """Ids of each text, which is given by its pieces."""
