@@ -8,6 +8,7 @@ import pytest
 
 import __spark_entry__ as entry_point
 from tests.oracle import connect, differences
+from voxcart.plans import catalog
 
 QUERIES = entry_point.queries()
 ORACLES = entry_point.oracle_sql()
@@ -19,11 +20,11 @@ def duck(folder):
 
 
 def test_only_the_fitted_model_has_no_oracle():
-    assert set(QUERIES) - set(ORACLES) == {"segment_customers_kmeans"}
+    assert set(catalog.QUERIES) - set(ORACLES) == {"segment_customers_kmeans"}
     assert set(ORACLES) <= set(QUERIES)
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
 def test_query(spark, folder, duck, name):
     df = QUERIES[name](spark, folder)
     plan = df._jdf.queryExecution().executedPlan().toString()

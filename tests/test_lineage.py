@@ -114,15 +114,14 @@ def test_message_body_and_emit(spark, tmp_path):
     assert body["prompt_embedding"] == "[1.0]" and body["model_version"] is None
 
 
-@pytest.mark.parametrize("tasks", [None, 4])
-def test_hourly_table_prunes_and_keeps_every_row(spark, tmp_path, tasks):
+def test_hourly_table_prunes_and_keeps_every_row(spark, tmp_path):
     hot = [("2024-01-01 05:10:00",)] * 300 + [(f"2024-01-01 {h:02d}:59:59",) for h in range(24)]
     df = spark.createDataFrame(hot, "at string").select(
         F.monotonically_increasing_id().cast("string").alias("message_id"),
         F.col("at").cast("timestamp").alias("publish_time"),
     )
     path = str(tmp_path / "landing")
-    write_hourly(df, path, tasks=tasks)
+    write_hourly(df, path)
     assert read_hourly(spark, path).count() == len(hot)
     part = read_hourly(spark, path, datetime(2024, 1, 1, 5, 30), datetime(2024, 1, 1, 7))
     assert part.count() == 2
@@ -147,25 +146,37 @@ def test_stream_lands_each_message_once_in_its_hour(spark, tmp_path):
     def run():
         messages = landing.message_stream(spark, schema, source)
         landing.land_messages(
-            messages, schemas.REVIEWS_PROMPTS, target, state, hour_splits=2
+            messages, schemas.REVIEWS_PROMPTS, target, state
         ).awaitTermination()
         return read_hourly(spark, target, schema=schemas.REVIEWS_PROMPTS)
 
     assert sorted(r.message_id for r in run().collect()) == ["0", "1", "later"]
     assert len(list((tmp_path / "table").glob(f"{HOUR}=*"))) == 2
-    # A replay after a restart is recognised from the state.
+    # A replay after a restart is recognised from the table.
     stream_of(spark, tmp_path, first)
     assert sorted(r.message_id for r in run().collect()) == ["0", "1", "later"]
+    # A first delivery lands however old its publish time is.
+    late = envelopes(spark, [{"review_id": "9"}], "2023-06-01 10:00:00").withColumn(
+        "message_id", F.lit("late")
+    )
+    stream_of(spark, tmp_path, late.unionByName(late))
+    assert sorted(r.message_id for r in run().collect()) == ["0", "1", "late", "later"]
 
 
-def test_stream_without_salts_gives_the_same(spark, tmp_path):
-    df = envelopes(spark, [{"review_id": "1"}] * 5).withColumn("message_id", F.lit("m"))
-    source, schema = stream_of(spark, tmp_path, df)
-    for name, salts in (("salted", 4), ("plain", None)):
-        deduped = landing.dedupe_stream(landing.message_stream(spark, schema, source), salts=salts)
-        query = deduped.writeStream.format("memory").queryName(name).trigger(availableNow=True).start()
-        query.awaitTermination()
-        assert spark.table(name).count() == 1
+def test_a_hot_hour_is_written_by_several_tasks(spark, tmp_path):
+    df = spark.range(200_000).select(
+        F.col("id").cast("string").alias("message_id"),
+        F.timestamp_seconds(F.lit(1_704_100_000) + F.col("id") % 60).alias("publish_time"),
+        F.sha2(F.col("id").cast("string"), 256).alias("body"),
+    )
+    size = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    spark.conf.set(size, "1m")
+    try:
+        write_hourly(df, str(tmp_path / "landing"))
+    finally:
+        spark.conf.unset(size)
+    (hour,) = (tmp_path / "landing").glob(f"{HOUR}=*")
+    assert len(list(hour.glob("*.parquet"))) > 2
 
 
 def test_batch_and_stream_totals_agree(spark, folder, tmp_path):

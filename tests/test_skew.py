@@ -8,7 +8,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from voxcart.operators import cases, customers, lineage, refunds, reviews
-from voxcart.operators.joins import small_side
 from voxcart.sources.landing import dedupe
 
 
@@ -158,14 +157,3 @@ def test_dedupe_combines_copies_on_the_map_side(spark):
     assert "partial_min_by" in out._jdf.queryExecution().executedPlan().toString()
     assert out.count() == 6001
     assert out.where("message_id = 'hot'").first().body == 0
-
-
-def test_small_side_checks_rows_and_bytes(spark):
-    def hinted(df):
-        return "ResolvedHint" in df._jdf.queryExecution().analyzed().toString()
-
-    df = spark.range(100).select(F.col("id").cast("string").alias("k"))
-    assert hinted(small_side(df))
-    assert not hinted(small_side(df, max_rows=99))
-    assert not hinted(small_side(df, max_bytes=100))
-    assert hinted(small_side(df.where("false")))

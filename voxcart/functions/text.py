@@ -70,6 +70,10 @@ def join_uri(*parts: Column | str) -> Column:
     return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
 
 
+# How a missing optional part of a prompt reads.
+MISSING = "None"
+
+
 def fill_template(template: str, **values: Column) -> Column:
     """Replace ``{name}`` by columns; NULL as soon as one value is NULL.
 

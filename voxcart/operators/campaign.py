@@ -9,7 +9,6 @@ from voxcart.functions.payload import json_text
 from voxcart.functions.text import KEY_DIGITS, fill_template, trim_space, uri_key
 from voxcart.operators.customers import Segmentation, assign_segments
 from voxcart.operators.inference import RATING, RESULT, STATUS, Provider, apply_model
-from voxcart.operators.joins import small_side
 
 COPY_PROMPT = (
     "You write product texts for {company}. Describe the product in this image anew for "
@@ -75,7 +74,7 @@ def campaign_context(
         "last_name",
         F.col("email").alias("user_email"),
     )
-    titles = small_side(personas.withColumnRenamed("cluster", "centroid_id"))
+    titles = personas.withColumnRenamed("cluster", "centroid_id")
     joined = assigned.join(titles, "centroid_id", "inner").join(people, "user_id", "inner")
     with_products = joined.withColumn("p1", chosen(product_1)).withColumn("p2", chosen(product_2))
     return with_products.select(

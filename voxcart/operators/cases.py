@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxcart.functions.payload import repaired, strict_string
-from voxcart.functions.text import KEY_DIGITS, fill_template, uri_key
+from voxcart.functions.text import KEY_DIGITS, MISSING, fill_template, uri_key
 from voxcart.operators.documents import attach_latest_policy
 from voxcart.operators.inference import RATING, RESULT, STATUS, Provider, apply_model, embed
 from voxcart.operators.messages import REVIEW_PROMPT, REVIEW_RESPONSE, message
@@ -61,14 +61,17 @@ def review_case_inputs(
 
 
 def case_prompts(inputs: DataFrame, company: str = "our shop") -> DataFrame:
-    """Inputs with a prompt column; NULL if text, language or policy is missing."""
+    """Inputs with a prompt column; a missing text or language is named as such.
+
+    Without a policy the prompt is NULL.
+    """
     return inputs.withColumn(
         "prompt",
         fill_template(
             RESOLUTION_PROMPT,
             company=F.lit(company),
-            review_text=F.col("review_text"),
-            language=F.col("review_language"),
+            review_text=F.coalesce("review_text", F.lit(MISSING)),
+            language=F.coalesce("review_language", F.lit(MISSING)),
             policy=F.col("service_policy_text"),
         ),
     )
@@ -105,7 +108,7 @@ def parse_resolutions(answered: DataFrame) -> DataFrame:
 def review_messages(
     answered: DataFrame, model_version: str, embedders: dict[str, Provider] | None = None
 ) -> tuple[DataFrame, DataFrame]:
-    """Prompt and response messages of answered cases.
+    """Prompt messages of all cases that were asked, response messages of those answered.
 
     ``embedders`` may hold providers under ``text`` and ``image``; without one the
     embedding is NULL, as it is for a review without an image.
@@ -114,7 +117,7 @@ def review_messages(
         "response", F.col(RESULT)
     )
     df = df.withColumn("safety_attributes", F.col(RATING))
-    asked = df.where(F.col(STATUS) == "")
+    asked = df.where(F.col("prompt").isNotNull())
     embedders = embedders or {}
     vectors = {}
     if "text" in embedders:
@@ -127,7 +130,7 @@ def review_messages(
         asked = embed(asked, vectors)
     return (
         message(asked, REVIEW_PROMPT, ("review_id",)),
-        message(asked, REVIEW_RESPONSE, ("review_id",)),
+        message(asked.where(F.col(STATUS) == ""), REVIEW_RESPONSE, ("review_id",)),
     )
 
 

@@ -15,7 +15,6 @@ from voxcart.functions.text import (
     trim_space,
 )
 from voxcart.operators.inference import RESULT, Provider, apply_model
-from voxcart.operators.joins import small_side
 
 # Where the page text stands in the answer, the cover pages that
 # are left out, and the version given to the result.
@@ -114,13 +113,11 @@ def attach_latest_policy(df: DataFrame, policy: DataFrame) -> DataFrame:
     """Every row of ``df`` with the text and number of the latest policy version.
 
     The newest number is a scalar subquery put on the rows, and the policy rows
-    join on it as an ordinary key: broadcast if they measure small, else a shuffle
-    join whose one hot key AQE splits.
+    join on it as an ordinary key: Spark broadcasts them if its statistics or the
+    measured shuffle say that they are small, else AQE splits the one hot key.
     """
     newest = policy.agg(F.max("version_number")).scalar()
     texts = latest_version(policy).select(
         "service_policy_text", F.col("version_number").alias("policy_version")
     )
-    return df.withColumn("policy_version", newest).join(
-        small_side(texts), "policy_version", "inner"
-    )
+    return df.withColumn("policy_version", newest).join(texts, "policy_version", "inner")

@@ -1,26 +1,10 @@
-"""Broadcast behind a check of the size, and aggregates that are joined on their keys."""
+"""Aggregates that are joined on their keys."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_BYTES = 32 << 20
-MAX_ROWS = 1_000_000
-
-
-def small_side(df: DataFrame, max_bytes: int = MAX_BYTES, max_rows: int = MAX_ROWS) -> DataFrame:
-    """``df`` marked for broadcast if it measures small, else ``df`` as it is.
-
-    Spark's own estimate is missing for checkpointed rows and too high for the
-    result of an aggregate, so rows and bytes are counted: one aggregate, combined
-    on the map side.  Beyond the bound Spark plans a shuffle join, and AQE splits
-    the keys that are hot.
-    """
-    row_bytes = F.octet_length(F.to_json(F.struct("*")))
-    rows, size = df.agg(F.count("*"), F.sum(row_bytes)).first()
-    return F.broadcast(df) if rows <= max_rows and (size or 0) <= max_bytes else df
-
 
 def aggregate_for_join(
     df: DataFrame, keys: dict[str, Column | str], *aggregates: Column

@@ -6,7 +6,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxcart.functions.measures import days_before, instant
-from voxcart.functions.text import KEY_DIGITS, fill_template, join_uri, trim_space, unquote, uri_key
+from voxcart.functions.text import (
+    KEY_DIGITS,
+    MISSING,
+    fill_template,
+    join_uri,
+    trim_space,
+    unquote,
+    uri_key,
+)
 from voxcart.operators.documents import attach_latest_policy
 from voxcart.operators.inference import RATING, RESULT, STATUS, Provider, apply_model, embed
 from voxcart.operators.joins import aggregate_for_join
@@ -65,16 +73,22 @@ def refund_eligibility(
     without a recent order, and a product without an image, give no row.
 
     ``strict_owner`` demands that the order belongs to the user of that e-mail;
-    without it any order may be paired with any known user.
+    without it any order may be paired with any known user.  If an order has several
+    lines of the product, a request is about the first by id, so it gives one row.
     """
     now = instant(as_of)
-    lines = order_items.select(
-        "order_id",
-        "product_id",
+    line = F.struct(
+        *(["id"] if "id" in order_items.columns else []),
         "sale_price",
         F.col("shipped_at").alias("shipping_date"),
-        *([F.col("user_id").alias("owner_id")] if strict_owner else []),
     )
+    lines = aggregate_for_join(
+        order_items,
+        {"order_id": "order_id", "product_id": "product_id", "owner_id": "user_id"},
+        F.min(line).alias("line"),
+    ).select("order_id", "product_id", "owner_id", "line.sale_price", "line.shipping_date")
+    if not strict_owner:
+        lines = lines.drop("owner_id")
     people = users.select(F.col("id").alias("user_id"), "email")
     images = inventory_images.select(
         F.col("uri").alias("inventory_image_uri"), uri_key("uri", digits).alias("product_id")
@@ -128,7 +142,7 @@ def claim_prompts(
             CLAIM_PROMPT,
             company=F.lit(company),
             policy=F.col("service_policy_text"),
-            review_text=F.col("review_text"),
+            review_text=F.coalesce("review_text", F.lit(MISSING)),
             request_image_uri=F.col("request_image_uri"),
             inventory_image_uri=F.col("inventory_image_uri"),
         ),
@@ -175,8 +189,8 @@ def refund_events(decisions: DataFrame) -> DataFrame:
 def claim_messages(
     answered: DataFrame, model_version: str, embedder: Provider | None = None
 ) -> tuple[DataFrame, DataFrame]:
-    """Prompt and response messages of answered claims."""
-    df = answered.where(F.col(STATUS) == "").select(
+    """Prompt messages of all claims that were asked, response messages of those answered."""
+    df = answered.where(F.col("prompt").isNotNull()).select(
         "*",
         F.lit(model_version).alias("model_version"),
         F.col(RESULT).alias("response"),
@@ -192,4 +206,5 @@ def claim_messages(
             },
         )
     key = ("order_id", "product_id", "user_id")
-    return message(df, REFUND_PROMPT, key), message(df, REFUND_RESPONSE, key)
+    responses = df.where(F.col(STATUS) == "")
+    return message(df, REFUND_PROMPT, key), message(responses, REFUND_RESPONSE, key)

@@ -34,7 +34,6 @@ from voxcart.plans.standins import (
     IMAGE_ROOT,
     NOTICE,
     PAGE_PATTERN,
-    PAGES_PER_PART,
     PRODUCT_1,
     PRODUCT_2,
     RANGE,
@@ -42,7 +41,7 @@ from voxcart.plans.standins import (
     STREAM_AS_OF,
     StandIns,
 )
-from voxcart.session import checkpoint_root
+from voxcart.session import SETTINGS, checkpoint_root
 from voxcart.sources.landing import decode, dedupe, read_hourly, with_hour, write_hourly
 from voxcart.sources.tables import run_query
 from voxcart.streaming import landing, totals
@@ -55,7 +54,8 @@ def query(body: Callable[[StandIns], DataFrame]) -> Callable[[StandIns], DataFra
     """Register ``body`` under its own name."""
 
     def run(spark: SparkSession, folder: str) -> DataFrame:
-        spark.conf.set("spark.sql.session.timeZone", "UTC")
+        for setting, value in SETTINGS.items():
+            spark.conf.set(setting, value)
         return body(StandIns(spark, folder))
 
     QUERIES[body.__name__] = run
@@ -157,10 +157,12 @@ def recent_order_counts(s):
     return refunds.recent_order_counts(s.order_items, instant(AS_OF))
 
 
-def _eligibility(s, strict_owner: bool = True) -> DataFrame:
+def _eligibility(
+    s, strict_owner: bool = True, order_items: DataFrame | None = None
+) -> DataFrame:
     return refunds.refund_eligibility(
         s.refund_requests,
-        s.order_items,
+        s.order_items if order_items is None else order_items,
         s.inventory_images,
         s.products,
         s.users,
@@ -205,6 +207,17 @@ def refund_events(s):
     return landed.select("product_id", "product_name", "refund_amount", "order_id", "email")
 
 
+@query
+def refund_requests_repeated(s):
+    """Every order line once more as a later line: still one event per request."""
+    again = s.order_items.withColumn("id", F.concat("id", F.lit("-again"))).withColumn(
+        "sale_price", F.col("sale_price") + 1
+    )
+    rows = _eligibility(s, order_items=s.order_items.unionByName(again))
+    claims = refunds.answer_claims(refunds.claim_prompts(rows, IMAGE_ROOT), models.yes_or_no)
+    return refunds.refund_decisions(claims)
+
+
 @query
 def refund_claim_messages(s):
     """Prompt messages of refund claims, read back the same way."""
@@ -252,7 +265,6 @@ def policy_by_prompt(s):
         NOTICE,
         keys=["document_id"],
         pattern=PAGE_PATTERN,
-        pages_per_part=PAGES_PER_PART,
         clean=False,
     )
 
@@ -266,7 +278,6 @@ def document_from_images(s):
         NOTICE,
         keys=["document_id"],
         pattern=PAGE_PATTERN,
-        pages_per_part=PAGES_PER_PART,
     )
 
 
@@ -514,8 +525,7 @@ def raw_lineage_read(s):
 def landing_hour_range(s):
     """Write the hourly table, read one range back by pruned hours."""
     path = _scratch(s, "landing")
-    tasks = int(s.spark.conf.get("spark.sql.shuffle.partitions"))
-    write_hourly(decode(s.refund_messages, schemas.REFUNDS), path, tasks=tasks)
+    write_hourly(decode(s.refund_messages, schemas.REFUNDS), path)
     landed = read_hourly(
         s.spark,
         path,
@@ -575,21 +585,53 @@ class _Streams(StandIns):
         return self.spark.readStream.schema(schema).parquet(f"{self.folder}/{name}*.parquet")
 
 
+def _landed(s, name: str, schema) -> DataFrame:
+    """A topic landed by a stream that delivers every message twice, and read back."""
+    path = _scratch(s, "stream")
+    messages = getattr(_Streams(s.spark, s.folder), name)
+    landing.land_messages(
+        messages.unionByName(messages), schema, f"{path}/table", f"{path}/checkpoint"
+    ).awaitTermination()
+    return read_hourly(s.spark, f"{path}/table", schema=schema)
+
+
 @query
 def stream_landing(s):
     """Stream to the hourly landing table; one copy of each message arrives."""
-    path = _scratch(s, "stream")
-    messages = _Streams(s.spark, s.folder).prompt_messages
-    started = landing.land_messages(
-        messages.unionByName(messages), schemas.REVIEWS_PROMPTS, f"{path}/table",
-        f"{path}/checkpoint", hour_splits=2,
-    )
-    started.awaitTermination()
-    return read_hourly(s.spark, f"{path}/table", schema=schemas.REVIEWS_PROMPTS).select(
+    return _landed(s, "prompt_messages", schemas.REVIEWS_PROMPTS).select(
         "message_id", "publish_time", "review_id", "prompt", "policy_version"
     )
 
 
+@query
+def stream_landing_responses(s):
+    return _landed(s, "response_messages", schemas.REVIEWS_RESPONSES).select(
+        "message_id", "publish_time", "review_id", "response"
+    )
+
+
+@query
+def stream_landing_refund_prompts(s):
+    """The prompt events read by the schema of refund prompts."""
+    return _landed(s, "prompt_messages", schemas.REFUNDS_PROMPTS).select(
+        "message_id", "publish_time", "prompt", "model_version", "policy_version"
+    )
+
+
+@query
+def stream_landing_refund_responses(s):
+    return _landed(s, "response_messages", schemas.REFUNDS_RESPONSES).select(
+        "message_id", "publish_time", "response"
+    )
+
+
+@query
+def stream_landing_refunds(s):
+    return _landed(s, "refund_messages", schemas.REFUNDS).select(
+        "message_id", "publish_time", "product_id", "refund_amount", "order_id", "email"
+    )
+
+
 @query
 def stream_hourly_refunds(s):
     """Refund totals per hour, kept up to date by a stream."""

@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 from string import Formatter
 
-from voxcart.functions.text import WHITESPACE
+from voxcart.functions.text import MISSING, WHITESPACE
 from voxcart.operators import campaign, cases, customers, documents, refunds, reviews
 from voxcart.plans.standins import (
     AS_OF,
@@ -18,7 +18,6 @@ from voxcart.plans.standins import (
     LANGUAGES,
     NOTICE,
     PAGE_PATTERN,
-    PAGES_PER_PART,
     PRODUCT_1,
     PRODUCT_2,
     RANGE,
@@ -32,11 +31,12 @@ def literal(text: str) -> str:
 
 
 def key(expression: str) -> str:
-    return f"lpad(CAST({expression} AS VARCHAR), {DIGITS}, '0')"
+    digits = f"CAST({expression} AS VARCHAR)"
+    return f"lpad({digits}, CAST(greatest(length({digits}), {DIGITS}) AS INTEGER), '0')"
 
 
 def email(expression: str) -> str:
-    return f"'customer' || lpad(CAST({expression} AS VARCHAR), 9, '0') || '@example.com'"
+    return f"'customer' || {key(expression)} || '@example.com'"
 
 
 def trim_space(expression: str) -> str:
@@ -118,6 +118,11 @@ def distances(source: str) -> str:
 
 def eligibility(strict_owner: bool) -> str:
     owner = "AND i.user_id = u.id" if strict_owner else ""
+    # Of several lines of one product in an order, a request is about the first.
+    lines = f"""(
+          SELECT order_id, product_id, user_id, sale_price, shipped_at FROM fx_order_items
+          QUALIFY row_number() OVER (PARTITION BY order_id, product_id, user_id
+                                     ORDER BY id, sale_price, shipped_at) = 1)"""
     return f"""
         SELECT CASE WHEN c.orders_recent < 50 AND i.sale_price < 50
                      AND i.shipped_at > TIMESTAMP '{AS_OF}' - INTERVAL 90 DAY
@@ -128,7 +133,7 @@ def eligibility(strict_owner: bool) -> str:
         FROM fx_refund_requests r
         JOIN fx_users u ON u.email = r.email
         JOIN recent_orders c ON c.user_id = u.id
-        JOIN fx_order_items i ON i.order_id = r.order_id AND i.product_id = r.product_id {owner}
+        JOIN {lines} i ON i.order_id = r.order_id AND i.product_id = r.product_id {owner}
         JOIN fx_inventory_images v ON {image_key('v.uri')} = r.product_id
         JOIN fx_products n ON n.id = r.product_id
         JOIN newest_policy p ON true"""
@@ -144,14 +149,15 @@ def case_inputs(source: str) -> str:
         JOIN newest_policy p ON true"""
 
 
-def assembled(text: str, pages: int = PAGES_PER_PART) -> str:
+def assembled(text: str, pages: int | None = None) -> str:
     part = f"greatest(floor((page_number - {documents.COVER_PAGES + 1}) / {pages}), 0)"
+    part, name = (f", CAST({part} AS BIGINT)", " AS part_number") if pages else ("", "")
     return f"""
-        SELECT document_id, CAST({part} AS BIGINT) AS part_number,
+        SELECT document_id{part}{name},
                coalesce(string_agg(CASE WHEN page_number > {documents.COVER_PAGES} THEN {text} END,
                                    ' ' ORDER BY page_number, uri), '') AS service_policy_text,
                CAST({documents.VERSION} AS DOUBLE) AS version_number
-        FROM numbered_pages GROUP BY document_id, CAST({part} AS BIGINT)"""
+        FROM numbered_pages GROUP BY document_id{part}"""
 
 
 def rating(quote: str) -> str:
@@ -190,7 +196,7 @@ VIEWS = {
         FROM lineitem JOIN orders ON l_orderkey = o_orderkey""",
     "fx_users": f"""
         SELECT {key('c_custkey')} AS id, 'Customer' AS first_name,
-               substr(c_name, 10, 9) AS last_name, {email('c_custkey')} AS email,
+               substr(c_name, 10) AS last_name, {email('c_custkey')} AS email,
                18 + c_custkey % 60 AS age, n_name AS state, r_name AS country
         FROM customer JOIN nation ON c_nationkey = n_nationkey
         JOIN region ON n_regionkey = r_regionkey""",
@@ -213,7 +219,7 @@ VIEWS = {
         FROM (SELECT doc_id, text, false AS copy FROM documents UNION ALL
               SELECT d.doc_id, d.text, true FROM documents d
               WHERE d.doc_id IN (SELECT doc_id FROM labels))
-        JOIN orders ON o_orderkey = doc_id
+        LEFT JOIN orders ON o_orderkey = doc_id
         LEFT JOIN (SELECT l_orderkey AS ok, min(l_partkey) AS pk FROM lineitem
                    WHERE l_linenumber = 1 GROUP BY l_orderkey) ON ok = doc_id""",
     "fx_languages": "SELECT * FROM (VALUES "
@@ -258,8 +264,7 @@ VIEWS = {
     "negative": "SELECT * FROM cleaned WHERE sentiment = 'negative' AND uri IS NOT NULL",
     "fx_policy_pages": f"""
         SELECT conv_id AS document_id,
-               'gs://bucket/service-policy/Policy_Page_' || lpad(CAST(turn AS VARCHAR), 6, '0')
-                 || '.png' AS uri,
+               'gs://bucket/service-policy/Policy_Page_' || {key('turn')} || '.png' AS uri,
                {literal(NOTICE + ' • ')} || text || chr(10) || '● end of page '
                  || CAST(turn AS VARCHAR) || {literal(' ' + NOTICE)} AS page_text
         FROM conversations""",
@@ -291,7 +296,7 @@ VIEWS = {
     "claims": f"""
         SELECT *, {template(
             refunds.CLAIM_PROMPT, company="'our shop'", policy="service_policy_text",
-            review_text="note", request_image_uri="photo",
+            review_text=f"coalesce(note, '{MISSING}')", request_image_uri="photo",
             inventory_image_uri="inventory_image_uri")} AS prompt
         FROM (SELECT *, trim({trim_space('review_text')}, '"') AS note,
                      {literal(IMAGE_ROOT + '/')} || order_id || '_refund_request.png' AS photo
@@ -302,8 +307,9 @@ VIEWS = {
         FROM claims""",
     "case_prompts": f"""
         SELECT *, {template(
-            cases.RESOLUTION_PROMPT, company="'our shop'", review_text="review_text",
-            language="review_language", policy="service_policy_text")} AS prompt
+            cases.RESOLUTION_PROMPT, company="'our shop'",
+            review_text=f"coalesce(review_text, '{MISSING}')",
+            language=f"coalesce(review_language, '{MISSING}')", policy="service_policy_text")} AS prompt
         FROM ({case_inputs('negative')})""",
     "features_item": features("item"),
     "features_order": features("order"),
@@ -391,7 +397,7 @@ VIEWS = {
                CAST(floor(value) AS DOUBLE) AS refund_amount, {key('event_id')} AS order_id,
                {email('user_id')} AS email, 'write-refunds' AS subscription_name,
                props AS attributes
-        FROM events WHERE event_type = 'purchase'""",
+        FROM events""",
 }
 
 
@@ -490,6 +496,7 @@ BODIES = {
     "refund_decisions_parity": _decision(True),
     "refund_events": "SELECT product_id, product_name, refund_amount, order_id, email "
     f"FROM ({_decision(False)}) WHERE decision = 'refund'",
+    "refund_requests_repeated": _decision(False),
     "refund_claim_messages": f"""
         SELECT user_id, order_id, product_id, prompt, 'm1' AS model_version, policy_version,
                {_vector_text('prompt')} AS prompt_embedding,
@@ -605,6 +612,19 @@ BODIES = {
         SELECT message_id, publish_time, {scalar('data', '$.review_id')} AS review_id,
                {scalar('data', '$.prompt')} AS prompt, CAST(1 AS DOUBLE) AS policy_version
         FROM fx_prompts""",
+    "stream_landing_responses": f"""
+        SELECT message_id, publish_time, {scalar('data', '$.review_id')} AS review_id,
+               json_extract_string(data, '$.response') AS response
+        FROM fx_responses""",
+    "stream_landing_refund_prompts": f"""
+        SELECT message_id, publish_time, {scalar('data', '$.prompt')} AS prompt,
+               'm1' AS model_version, CAST(1 AS DOUBLE) AS policy_version FROM fx_prompts""",
+    "stream_landing_refund_responses": """
+        SELECT message_id, publish_time, json_extract_string(data, '$.response') AS response
+        FROM fx_responses""",
+    "stream_landing_refunds": """
+        SELECT message_id, publish_time, product_id, refund_amount, order_id, email
+        FROM fx_refunds""",
     "apply_model_local": "SELECT doc_id, md5(text) AS answer, '' AS status FROM documents",
     "apply_model_distinct": "SELECT doc_id, md5(text) AS answer, '' AS status FROM documents",
     "embed_local": "SELECT doc_id, CAST(length(text) AS DOUBLE) AS length FROM documents",

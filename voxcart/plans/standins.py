@@ -25,8 +25,7 @@ AS_OF = "2001-08-02 00:00:00"
 STREAM_AS_OF = "2024-02-01 00:00:00"
 RANGE = ("1995-01-01 00:00:00", "2001-07-31 00:00:00")
 NOTICE = "Internal Only For use by employees only"
-PAGE_PATTERN = r"_Page_([0-9]{6})\.png$"
-PAGES_PER_PART = 1000
+PAGE_PATTERN = r"_Page_([0-9]+)\.png$"
 IMAGE_ROOT = "gs://bucket/review-images/uploads"
 # Settings of the demonstration campaign.
 PRODUCT_1, PRODUCT_2 = "product 7", "product 11"
@@ -48,14 +47,13 @@ LANGUAGES = [
 
 
 def key(column: Column | str) -> Column:
-    column = F.col(column) if isinstance(column, str) else column
-    return F.lpad(column.cast("string"), DIGITS, "0")
+    """Digits with leading zeros up to ``DIGITS``; longer numbers stay whole."""
+    digits = (F.col(column) if isinstance(column, str) else column).cast("string")
+    return F.lpad(digits, F.greatest(F.length(digits), F.lit(DIGITS)), F.lit("0"))
 
 
 def email(custkey: Column) -> Column:
-    return F.concat(
-        F.lit("customer"), F.lpad(custkey.cast("string"), 9, "0"), F.lit("@example.com")
-    )
+    return F.concat(F.lit("customer"), key(custkey), F.lit("@example.com"))
 
 
 # Column types of the test tables, read from the files once.
@@ -109,7 +107,7 @@ class StandIns:
         df = people.select(
             key("c_custkey").alias("id"),
             F.lit("Customer").alias("first_name"),
-            F.substring("c_name", 10, 9).alias("last_name"),
+            F.expr("substring(c_name, 10)").alias("last_name"),
             email(F.col("c_custkey")).alias("email"),
             (F.lit(18) + F.col("c_custkey") % 60).alias("age"),
             F.col("n_name").alias("state"),
@@ -153,7 +151,7 @@ class StandIns:
         )
         documents = (
             self.table("documents")
-            .join(self.table("orders"), F.col("doc_id") == F.col("o_orderkey"))
+            .join(self.table("orders"), F.col("doc_id") == F.col("o_orderkey"), "left")
             .join(first_line, F.col("doc_id") == F.col("l_orderkey"), "left")
         )
         reviews = documents.select(
@@ -228,7 +226,7 @@ class StandIns:
     @cached_property
     def policy_pages(self) -> DataFrame:
         """Conversation turns as pages that carry the notice at both ends."""
-        number = F.lpad(F.col("turn").cast("string"), 6, "0")
+        number = key("turn")
         return self.table("conversations").select(
             F.col("conv_id").alias("document_id"),
             F.concat(F.lit("gs://bucket/service-policy/Policy_Page_"), number, F.lit(".png")).alias(
@@ -243,7 +241,7 @@ class StandIns:
             ).alias("page_text"),
         )
 
-    def documents(self, pages_per_part: int = PAGES_PER_PART, **options) -> DataFrame:
+    def documents(self, pages_per_part: int | None = None, **options) -> DataFrame:
         return assemble_document(
             self.policy_pages,
             NOTICE,
@@ -351,8 +349,7 @@ class StandIns:
 
     @cached_property
     def refund_messages(self) -> DataFrame:
-        """Purchases as refund messages with the published field names."""
-        purchases = self.table("events").where("event_type = 'purchase'")
+        """Events as refund messages with the published field names."""
         body = F.to_json(
             F.struct(
                 key("user_id").alias("product_id"),
@@ -362,7 +359,7 @@ class StandIns:
                 email(F.col("user_id")).alias("email"),
             )
         )
-        return purchases.select(
+        return self.table("events").select(
             F.col("event_id").cast("string").alias("message_id"),
             F.col("ts").cast("timestamp").alias("publish_time"),
             F.lit("write-refunds").alias("subscription_name"),

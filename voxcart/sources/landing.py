@@ -36,27 +36,13 @@ def with_hour(df: DataFrame) -> DataFrame:
     return df.withColumn(HOUR, F.date_trunc("hour", "publish_time"))
 
 
-def write_hourly(
-    df: DataFrame,
-    path: str,
-    mode: str = "append",
-    tasks: int | None = None,
-    hour_splits: int = 2,
-) -> None:
+def write_hourly(df: DataFrame, path: str, mode: str = "append") -> None:
     """Batch write, one folder per hour.
 
-    The rebalance hint sizes output files and splits an hour that holds far more
-    rows than the others instead of sending it to one task.  It also packs small
-    hours into few tasks; where there are many small hours, ``tasks`` spreads them
-    over so many tasks, each hour over at most ``hour_splits`` of them.
+    The rebalance hint sizes output files: it splits an hour that holds far more rows
+    than the others over as many tasks as its size asks for, and packs small hours.
     """
-    hourly = with_hour(df)
-    if tasks:
-        split = F.pmod(F.hash("message_id"), F.lit(hour_splits))
-        hourly = hourly.repartition(tasks, HOUR, split)
-    else:
-        hourly = hourly.hint("rebalance", HOUR)
-    hourly.write.mode(mode).partitionBy(HOUR).parquet(path)
+    with_hour(df).hint("rebalance", HOUR).write.mode(mode).partitionBy(HOUR).parquet(path)
 
 
 def read_hourly(

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from voxcart.sources.landing import HOUR, decode, with_hour
+from voxcart.sources.landing import HOUR, decode, dedupe, with_hour, write_hourly
 
-# Fixed value: how long an unread message is kept, and so how late a copy can be.
+# Fixed value: how long a broker keeps an unread message.
 RETENTION = "86600 seconds"
 
 
@@ -35,58 +36,49 @@ def message_stream(
     )
 
 
-def dedupe_stream(
-    messages: DataFrame,
-    key: str = "message_id",
-    delay: str = RETENTION,
-    salts: int | None = 8,
-) -> DataFrame:
-    """First copy of each message; copies later than ``delay`` pass as new.
+def land_new(batch: DataFrame, path: str, landing: T.StructType) -> None:
+    """Append the messages of a batch that the hour-partitioned table lacks.
 
-    A message replayed without end would send all its copies to one state
-    partition.  With ``salts`` a first round drops copies per (key, salt), spread
-    over that many partitions, and the second round sees at most ``salts`` copies.
-    It costs a second state store; pass None where copies are rare.
+    A message is known by its id within the hour of its publish time, which all its
+    copies share.  Only hours that occur in the batch are read, so the check prunes to
+    their folders however long the table is.  Nothing is dropped for being late.  A batch
+    that is run again finds what it has landed before.
     """
-    marked = messages.withWatermark("publish_time", delay)
-    if salts:
-        marked = (
-            marked.withColumn("salt", F.floor(F.rand() * salts).cast("int"))
-            .dropDuplicatesWithinWatermark([key, "salt"])
-            .drop("salt")
-        )
-    return marked.dropDuplicatesWithinWatermark([key])
+    decoded = with_hour(decode(dedupe(batch), landing))
+    hours = [r[HOUR] for r in decoded.select(HOUR).distinct().collect()]
+    if not hours:
+        return
+    known = landed_ids(batch.sparkSession, path, landing, hours)
+    fresh = decoded if known is None else decoded.join(known, [HOUR, "message_id"], "left_anti")
+    write_hourly(fresh.drop(HOUR), path)
+
 
+def landed_ids(
+    spark: SparkSession, path: str, landing: T.StructType, hours: list
+) -> DataFrame | None:
+    """Hour and id of the landed messages of some hours; None before the first batch."""
+    schema = T.StructType([*landing.fields, T.StructField(HOUR, T.TimestampType())])
+    try:
+        table = spark.read.schema(schema).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    return table.where(F.col(HOUR).isin(hours)).select(HOUR, "message_id")
 
-def land(
-    df: DataFrame,
+
+def land_messages(
+    messages: DataFrame,
+    landing: T.StructType,
     path: str,
     checkpoint: str,
-    hour_splits: int = 16,
     once: bool = True,
     interval: str = "1 minute",
 ) -> StreamingQuery:
-    """Append a stream to an hour-partitioned Parquet table.
-
-    Rows are shuffled to ``hour_splits`` tasks per hour, which bounds the files a
-    micro-batch writes per hour and still spreads an hour that holds most rows.
-    """
-    split = F.pmod(F.hash("message_id"), F.lit(hour_splits))
+    """Envelope stream to the flat landing table of one topic, one copy of each message."""
     return (
-        with_hour(df)
-        .repartition(HOUR, split)
-        .writeStream.format("parquet")
-        .partitionBy(HOUR)
-        .option("path", path)
+        messages.writeStream.foreachBatch(lambda batch, _: land_new(batch, path, landing))
         .option("checkpointLocation", checkpoint)
-        .outputMode("append")
         .trigger(**({"availableNow": True} if once else {"processingTime": interval}))
         .start()
     )
-
-
-def land_messages(
-    messages: DataFrame, landing: T.StructType, path: str, checkpoint: str, **options
-) -> StreamingQuery:
-    """Envelope stream to the flat landing table of one topic, deduplicated."""
-    return land(decode(dedupe_stream(messages), landing), path, checkpoint, **options)
