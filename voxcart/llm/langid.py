@@ -45,8 +45,8 @@ ROUNDS = 2
 SMOOTHING = 0.1
 STRANGE = 1e-9
 # Words whose scores a task remembers, and words that are scored at once.
-KEPT = 1_000_000
-AT_ONCE = 20_000
+KEPT = 500_000
+AT_ONCE = 4_000
 
 LETTERS = regex.compile(r"\p{L}+")
 
@@ -165,13 +165,15 @@ def count_words(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts: dict[str, Counter] = {}
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                counts.setdefault(lang, Counter()).update(words_of(text.as_py()))
-            for lang, own in counts.items():
-                yield pa.RecordBatch.from_pydict(
-                    {"lang": [lang] * len(own), "word": list(own), "n": list(own.values())}
-                )
+            for at in range(0, batch.num_rows, 2000):
+                rows = batch.slice(at, 2000)
+                counts: dict[str, Counter] = {}
+                for lang, text in zip(rows.column(0).to_pylist(), rows.column(1), strict=True):
+                    counts.setdefault(lang, Counter()).update(words_of(text.as_py()))
+                for lang, own in counts.items():
+                    yield pa.RecordBatch.from_pydict(
+                        {"lang": [lang] * len(own), "word": list(own), "n": list(own.values())}
+                    )
 
     return (
         docs.where("text IS NOT NULL AND lang IS NOT NULL")
@@ -246,7 +248,8 @@ class Scorer:
     def learn(self, words: list[str]) -> None:
         count = len(self.places)
         if count + len(words) > len(self.scores):
-            grown = np.zeros((2 * (count + len(words)), len(self.names)))
+            size = max(count + len(words), min(2 * len(self.scores), KEPT))
+            grown = np.zeros((size, len(self.names)))
             grown[:count] = self.scores[:count]
             self.scores = grown
         for at in range(0, len(words), AT_ONCE):
