@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxcart.llm.common import even_space, fresh, written
+from voxcart.llm.common import even_space, written
 
 WINDOW = 5
 LEAST_WORDS = 50
@@ -64,17 +64,17 @@ def _hash_window(first: Column, at: Column, hashes: Column) -> Column:
     return F.xxhash64(first, *[F.get(hashes, at + k) for k in range(1, WINDOW)])
 
 
-def with_measures(docs: DataFrame) -> DataFrame:
-    """``doc_id, lang`` and what the rules measure in each text."""
+def with_measures(docs: DataFrame, carried: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The ``carried`` columns, ``lang`` and what the rules measure in each text."""
     empty = F.array().cast("array<string>")
     texts = docs.select(
-        "doc_id",
+        *carried,
         "lang",
         F.coalesce("text", F.lit("")).alias("text"),
         F.btrim(even_space(F.col("text"))).alias("flat"),
     )
     split = texts.withColumn("others", _characters(F.col("flat"))).select(
-        "doc_id",
+        *carried,
         "lang",
         F.when(F.col("flat") == "", empty).otherwise(F.split("flat", " ")).alias("words"),
         F.length(F.replace("flat", F.lit(" "), F.lit(""))).cast("long").alias("word_chars"),
@@ -220,10 +220,10 @@ def js_distance(p: Column, q: Column) -> Column:
     return F.when(total.isNotNull(), F.sqrt(F.greatest(total / 2, F.lit(0.0))))
 
 
-def judge(docs: DataFrame) -> DataFrame:
-    """Measures, distances and verdicts, one row per document."""
+def judge(docs: DataFrame, carried: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The ``carried`` columns, measures, distances and verdicts, one row per document."""
     refs = written(references(docs), "language-references")
-    measured = with_measures(docs).join(refs, F.col("lang") == F.col("ref_lang"), "left")
+    measured = with_measures(docs, carried).join(refs, F.col("lang") == F.col("ref_lang"), "left")
     judged = F.col("ref_lang").isNotNull() & (F.col("n_words") >= LEAST_WORDS)
     found = measured.withColumn(
         "found",
@@ -248,7 +248,7 @@ def judge(docs: DataFrame) -> DataFrame:
     )
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     distances = shares.select(
-        "doc_id",
+        *carried,
         "n_words",
         "word_chars",
         F.col("symbol").alias("n_symbols"),
@@ -267,11 +267,13 @@ def judge(docs: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame) -> DataFrame:
     """The documents that pass, with all their columns.
 
-    The verdict is a function of text and language, so it travels with the row: no
+    The verdict is a function of text and language, so the columns travel with it: no
     join by doc_id is needed and repeated rows or NULL ids make no difference.
     """
-    whole = fresh(docs, "whole_row")
-    packed = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc_id"), "lang", "text"
-    )
-    return judge(packed).where("kept").select(F.col("doc_id").alias(whole)).select(f"{whole}.*")
+    names = {f"_in{i}": c for i, c in enumerate(docs.columns)}
+    given = docs.select(*[F.col(f"`{c}`").alias(n) for n, c in names.items()], "lang", "text")
+    # A filter would be pushed down by repeating every expression that the verdict is built
+    # on; a column that is not deterministic holds it above them.
+    judged = judge(given, tuple(names)).withColumn("_row", F.monotonically_increasing_id())
+    kept = judged.where("kept AND _row >= 0")
+    return kept.select(*[F.col(n).alias(c) for n, c in names.items()])
