@@ -407,6 +407,43 @@ def segment_customers_kmeans(s):
     )
 
 
+@query
+def segment_invariants(s):
+    """The fitted model checked over all customers against its table of centres.
+
+    Every segment has members, everyone is at the nearest centre, and the distances
+    follow from features and centres in their own units.
+    """
+    features = _features(s, "item")
+    fitted = customers.fit_segments(features)
+    names = list(fitted.features)
+    centres = customers.centroid_table(features, fitted).groupBy("centroid_id").pivot(
+        "feature", names
+    ).agg(F.first("numerical_value"))
+    centres = centres.toDF("centre_id", *[f"centre_{n}" for n in names])
+    rows = customers.assign_segments(features, fitted).select(
+        "user_id", F.col("centroid_id").alias("own"), *names,
+        F.explode("nearest_centroids_distance").alias("to"),
+    ).join(centres, F.col("to.centroid_id") == F.col("centre_id"))
+    squares = F.lit(0.0)
+    for name in names:
+        value = F.coalesce(F.col(name).cast("double"), F.lit(fitted.mean[name]))
+        squares = squares + F.pow((value - F.col(f"centre_{name}")) / fitted.spread[name], 2)
+    gap = F.sqrt(squares)
+    each = rows.groupBy("user_id").agg(
+        F.min("own").alias("own"),
+        F.min(gap).alias("least"),
+        F.min(F.when(F.col("own") == F.col("centre_id"), gap)).alias("own_gap"),
+        F.max(F.abs(gap - F.col("to.distance"))).alias("off"),
+    )
+    return each.agg(
+        F.count("*").alias("customers"),
+        F.countDistinct("own").alias("segments"),
+        F.count_if(F.col("own_gap") > F.col("least") + 1e-9).alias("not_nearest"),
+        F.count_if(F.col("off") > 1e-9).alias("other_distances"),
+    )
+
+
 def _context(s) -> DataFrame:
     return campaign.campaign_context(
         _features(s, "order"),

