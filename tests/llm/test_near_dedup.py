@@ -80,6 +80,32 @@ def test_chains_and_one_large_group(spark):
     assert marked(df) == brute_force(rows)
 
 
+@pytest.mark.parametrize("edits", [(2, 9), (5, 7)])
+def test_large_group_of_members_mostly_below_the_bound(spark, edits):
+    """Edits at random places, some of them shared: links lie between any two members."""
+    rng = np.random.default_rng(sum(edits))
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for i in range(400):
+        own = list(base)
+        for place in rng.choice(150, rng.integers(*edits), replace=False):
+            own[place] = f"x{i}y{place}"
+        rows.append((i, " ".join(own)))
+        if i % 10 == 0:  # a second text with the same edits and one of its own
+            own[rng.integers(0, 150)] = f"z{i}"
+            rows.append((1000 + i, " ".join(own)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    expected = brute_force(rows)
+    assert marked(df) == expected
+    assert 20 < len({v[1] for v in expected.values()}) < len(rows)
+
+
+def test_difference_prefixes_find_every_link(spark, monkeypatch):
+    """With every bucket treated as a large one."""
+    monkeypatch.setattr(near_dedup, "SMALL_BUCKET", 1)
+    test_chains_and_one_large_group(spark)
+
+
 def test_rows_without_id_and_repeated_rows(spark):
     text = "one two three four five six"
     rows = [(None, text), (None, text), (3, text), (3, text), (5, text), (6, None)]

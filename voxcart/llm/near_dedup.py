@@ -15,9 +15,14 @@ on full sets.  What is found here are the components of that relation.
    their full sets, built again from their texts.
 4. Components of the links, by alternating large-star and small-star.
 5. The rest.  A bucket whose members lie in one component is done.  In others, pairs of
-   different components remain: small buckets compare them all, larger ones are split
-   by a second band first and then do the same.  So no pair that shares a band goes
-   unchecked, unless it is connected already.
+   different components remain.  Small buckets compare them all.  Larger ones form
+   groups around their most central members, and what a member has other than its hub
+   decides: with ``r`` runs of the hub's ``h`` gone and ``a`` new ones, members x and y
+   are linked if and only if ``q(x) + q(y) <= h + 7 * s``, where ``q = 4 * r + 3 * a`` and
+   ``s`` counts the differences that they share.  A member that is not linked to its hub
+   has ``q > h``, so its partners share a known number of differences with it, and a
+   prefix of each member's differences, rarest first, finds them.  So no pair that
+   shares a band goes unchecked, unless it is connected already.
 
 A pair of similarity 0.75 shares no band with probability (1 - 0.75**6)**64 = 4e-6.
 
@@ -47,6 +52,8 @@ HUBS = 4
 SMALL_BUCKET = 32
 LEAST_AGREEMENT = 0.64
 SEED = 20240229
+# Differences held by one in so many members of a group are told apart by their counts.
+FREQUENT = 16
 # Set sizes that are hashed at once; longer sets go in several steps.
 STEP = 512
 
@@ -255,12 +262,171 @@ def _apart(members: DataFrame, labels: DataFrame) -> DataFrame:
     return labelled.join(mixed, "key")
 
 
-def _cross_pairs(members: DataFrame) -> DataFrame:
-    """All pairs of one bucket and different components."""
-    left = members.select("key", F.col("node").alias("a"), F.col("label").alias("label_a"))
-    right = members.select("key", F.col("node").alias("b"), F.col("label").alias("label_b"))
+def _cross_pairs(members: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Pairs of one bucket and different components whose set sizes allow a link."""
+    sized = members.join(sizes, "node")
+    left = sized.select("key", *(F.col(c).alias(f"{c}_a") for c in ("node", "label", "n_shingles")))
+    right = sized.select("key", *(F.col(c).alias(f"{c}_b") for c in ("node", "label", "n_shingles")))
     return (
-        left.join(right, "key").where("a < b AND label_a != label_b").select("a", "b").distinct()
+        left.join(right, "key")
+        .where("node_a < node_b AND label_a != label_b")
+        .where("4 * least(n_shingles_a, n_shingles_b) >= 3 * greatest(n_shingles_a, n_shingles_b)")
+        .select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+        .distinct()
+    )
+
+
+def _groups(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """``hub, node, label, hub_label``: all members of buckets with the hub of each bucket.
+
+    The hub is the member with the most company over all its buckets, so the buckets of
+    one large group mostly agree on it.
+    """
+    company = members.groupBy("node").agg(F.sum("size").alias("company"))
+    members = members.join(company, "node")
+    hubs = members.groupBy("key").agg(F.max(F.struct("company", "node")).alias("hub"))
+    return (
+        members.join(hubs.select("key", F.col("hub.node").alias("hub")), "key")
+        .where("node != hub")
+        .select("hub", "node", "label")
+        .distinct()
+        .join(labels.toDF("hub", "hub_label"), "hub", "left")
+        .withColumn("hub_label", F.coalesce("hub_label", "hub"))
+    )
+
+
+def _differences(groups: DataFrame, texts: DataFrame) -> DataFrame:
+    """``hub, node, label, hub_label, hub_size, q, added, items``.
+
+    ``items`` holds the ``added`` runs that the hub lacks, then those that it has alone.
+    """
+    joined = (
+        groups.join(texts.toDF("node", "text"), "node")
+        .join(texts.toDF("hub", "hub_text"), "hub")
+        .select("hub", "node", "label", "hub_label", "text", "hub_text")
+    )
+    names = ["hub", "node", "label", "hub_label", "hub_size", "q", "added", "items"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, hub_set = None, None
+        for batch in batches:
+            rows: list[tuple] = []
+            held = 0
+            for hub, node, label, hub_label, text, hub_text in zip(
+                *(c.to_pylist() for c in batch.columns), strict=True
+            ):
+                if hub_set is None or hub != last:
+                    last, hub_set = hub, shingles(hub_text)
+                own = shingles(text)
+                new = np.setdiff1d(own, hub_set, assume_unique=True)
+                gone = np.setdiff1d(hub_set, own, assume_unique=True)
+                items = np.concatenate([new, gone]).view(np.int64)
+                q = 4 * len(gone) + 3 * len(new)
+                rows.append((hub, node, label, hub_label, len(hub_set), q, len(new), items))
+                held += len(items)
+                if held > 1 << 20:
+                    yield _batch(rows, names)
+                    rows, held = [], 0
+            if rows:
+                yield _batch(rows, names)
+
+    return joined.mapInArrow(
+        run, ", ".join(f"{n} long" for n in names[:-1]) + ", items array<long>"
+    )
+
+
+def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
+    """Rows of longs whose last column is a list of longs."""
+    *longs, lists = zip(*rows, strict=True)
+    return pa.RecordBatch.from_arrays(
+        [*(pa.array(c, pa.int64()) for c in longs), pa.array(lists, pa.list_(pa.int64()))], names
+    )
+
+
+def _prefixes(differences: DataFrame) -> DataFrame:
+    """``hub, node, label, hub_size, q, n_items, outside, short, long``.
+
+    ``short`` are the differences that meet any partner which is not linked to the hub;
+    ``long``, of members outside the hub's component, those that meet any partner at all.
+    The order is one for the whole group: frequent differences last.  Of these a hub has
+    at most ``FREQUENT`` times the mean number of differences, whatever the group's size.
+    """
+    sizes = differences.groupBy("hub").agg(F.count("*").alias("members"))
+    frequent = (
+        differences.select("hub", F.explode("items").alias("item"))
+        .groupBy("hub", "item")
+        .agg(F.count("*").alias("n"))
+        .where("n > 1")
+        .join(sizes, "hub")
+        .where(F.col("n") * FREQUENT >= F.col("members"))
+        .groupBy("hub")
+        .agg(F.sort_array(F.collect_list(F.struct("item", "n"))).alias("counts"))
+        .select("hub", F.col("counts.item").alias("frequent"), F.col("counts.n").alias("n"))
+    )
+    names = ["hub", "node", "label", "hub_size", "q", "n_items"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hubs, nodes, labels, hub_labels, sizes, qs, added = (
+                batch.column(c).to_pylist() for c in range(7)
+            )
+            lengths, outside, short, long = [], [], [], []
+            for at in range(batch.num_rows):
+                items, keys, counts = (
+                    np.asarray(batch.column(c)[at].values or [], dtype=np.int64)
+                    for c in (7, 8, 9)
+                )
+                held = np.ones(len(items), dtype=np.int64)
+                if len(keys):
+                    place = np.minimum(np.searchsorted(keys, items), len(keys) - 1)
+                    held = np.where(keys[place] == items, counts[place], 1)
+                items = items[np.lexsort((items, np.arange(len(items)) >= added[at], held))]
+                linked = qs[at] <= sizes[at]
+                if linked:
+                    labels[at] = hub_labels[at]
+                outside.append(labels[at] != hub_labels[at])
+                lengths.append(len(items))
+                short.append(items[: len(items) - qs[at] // 7])
+                least = max(1, -((sizes[at] - qs[at]) // 7))
+                long.append(items[: len(items) - least + 1] if outside[-1] else items[:0])
+            columns = (hubs, nodes, labels, sizes, qs, lengths)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *(pa.array(c, pa.int64()) for c in columns),
+                    pa.array(outside, pa.bool_()),
+                    pa.array(short, pa.list_(pa.int64())),
+                    pa.array(long, pa.list_(pa.int64())),
+                ],
+                [*names, "outside", "short", "long"],
+            )
+
+    return (
+        differences.join(frequent, "hub", "left")
+        .select(
+            "hub", "node", "label", "hub_label", "hub_size", "q", "added", "items", "frequent", "n"
+        )
+        .mapInArrow(
+            run,
+            ", ".join(f"{n} long" for n in names)
+            + ", outside boolean, short array<long>, long array<long>",
+        )
+    )
+
+
+def _difference_pairs(prefixes: DataFrame) -> DataFrame:
+    """Pairs of one group, apart from each other, that share a difference of their prefixes."""
+    columns = ("node", "label", "q", "n_items")
+    left = prefixes.where("outside").select(
+        "hub", "hub_size", *(F.col(c).alias(f"{c}_a") for c in columns), F.explode("long").alias("item")
+    )
+    right = prefixes.select(
+        "hub", *(F.col(c).alias(f"{c}_b") for c in columns), F.explode("short").alias("item")
+    )
+    return (
+        left.join(right, ["hub", "item"])
+        .where("label_a != label_b AND q_a + q_b <= hub_size + 7 * least(n_items_a, n_items_b)")
+        .select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))
+        .distinct()
     )
 
 
@@ -314,7 +480,7 @@ def mark(docs: DataFrame) -> DataFrame:
         usable.join(classes, "set_digest")
         .where("doc_id = class_id")
         .groupBy(F.col("doc_id").alias("node"), "set_digest")
-        .agg(F.first("bands").alias("bands"), F.first("signature").alias("signature")),
+        .agg(*(F.first(c).alias(c) for c in ("bands", "signature", "n_shingles"))),
         "classes",
     )
     buckets = written(_buckets(nodes), "buckets")
@@ -327,16 +493,20 @@ def mark(docs: DataFrame) -> DataFrame:
     links = confirmed(_hub_pairs(buckets))
     labels = written(components(links), "labels")
     rest = written(_apart(buckets, labels), "apart")
-    small = rest.where(F.col("size") <= SMALL_BUCKET)
-    large = rest.where(F.col("size") > SMALL_BUCKET)
-    other = nodes.select("node", F.explode("bands").alias("other"))
-    split = (
-        large.join(other, "node")
-        .where("key != other")
-        .select(F.xxhash64("key", "other").alias("key"), "node")
+    groups = written(_groups(rest.where(F.col("size") > SMALL_BUCKET), labels), "groups")
+    # Dealt by member, so that the members of a hot hub lie in many tasks.
+    differences = written(
+        _differences(groups, texts).repartition("hub", "node"), "differences"
+    )
+    prefixes = written(_prefixes(differences).repartition("hub", "node"), "prefixes")
+    hub_links = differences.where("q <= hub_size").select(
+        F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")
+    )
+    small = _cross_pairs(
+        rest.where(F.col("size") <= SMALL_BUCKET), nodes.select("node", "n_shingles")
     )
-    split = _apart(split, labels)
-    pairs = _cross_pairs(small).union(_cross_pairs(split)).distinct()
+    pairs = small.union(_difference_pairs(prefixes)).distinct()
+    links = links.union(hub_links)
     links = links.union(confirmed(pairs))
     labels = written(components(links), "labels")
 
