@@ -17,6 +17,7 @@ from voxcart.llm import (
     quality_rules,
     secrets,
     sharding,
+    token_counts,
     token_files,
 )
 from voxcart.llm.common import documents
@@ -70,6 +71,12 @@ def op10_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(documents(spark, sf_dir))
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count(
+        documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json")
+    )
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -83,5 +90,6 @@ QUERIES: dict[str, Query] = {
         op8_secret_scan,
         op9_piece_langid,
         op10_byte_shards,
+        op11_token_counts,
     )
 }
