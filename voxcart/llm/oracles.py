@@ -236,3 +236,55 @@ FROM placed p JOIN cuts c ON p.source IS NOT DISTINCT FROM c.source AND p.block
 
 
 ORACLES["op4_temperature_mix"] = _mixing()
+
+
+def _collocations() -> str:
+    from voxcart.llm import collocations as x
+
+    return rf"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(string_split_regex(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+w AS (
+  SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda t: t <> '') AS words
+  FROM pieces),
+places AS (
+  SELECT lang, words, m, unnest(range(1, len(words) - m + 2)) AS i
+  FROM w, (VALUES (1), (2), (3), (4)) AS v(m) WHERE len(words) >= m),
+f AS (
+  SELECT lang, m, array_to_string(list_slice(words, i, i + m - 1), ' ') AS phrase, count(*) AS f
+  FROM places GROUP BY ALL),
+totals AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE m = 1 GROUP BY lang),
+candidates AS (
+  SELECT *, string_split(phrase, ' ') AS words FROM f WHERE m >= 2 AND f >= {x.LEAST}),
+inside AS (
+  SELECT lang, array_to_string(list_slice(words, i, i + k - 1), ' ') AS phrase, max(f) AS longer
+  FROM (SELECT *, unnest(range(1, m - k + 2)) AS i
+        FROM candidates, (VALUES (2), (3)) AS v(k) WHERE k < m)
+  GROUP BY ALL),
+kept AS (
+  SELECT c.* FROM candidates c LEFT JOIN inside i USING (lang, phrase)
+  WHERE longer IS NULL OR 100 * CAST(longer AS HUGEINT) < {x.SUBSUMED} * CAST(f AS HUGEINT)),
+cuts AS (
+  SELECT lang, phrase, f AS a, k, array_to_string(list_slice(words, 1, k), ' ') AS first,
+         array_to_string(list_slice(words, k + 1, m), ' ') AS rest
+  FROM (SELECT *, unnest(range(1, m)) AS k FROM kept)),
+scored AS (
+  SELECT c.*, l.f AS l, r.f AS r,
+         CAST({x.SCALE} * CAST(a AS HUGEINT) // (CAST(l.f AS HUGEINT) + r.f) AS BIGINT) AS score
+  FROM cuts c JOIN f l ON l.lang = c.lang AND l.phrase = first
+  JOIN f r ON r.lang = c.lang AND r.phrase = rest),
+lowest AS (
+  SELECT * FROM scored
+  QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank
+  FROM lowest)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang)
+WHERE rank <= {x.TOP}"""
+
+
+ORACLES["op12_collocations"] = _collocations()

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from voxcart.llm import (
     bpe,
+    collocations,
     exact_dedup,
     langid,
     mixing,
@@ -77,6 +78,10 @@ def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -91,5 +96,6 @@ QUERIES: dict[str, Query] = {
         op9_piece_langid,
         op10_byte_shards,
         op11_token_counts,
+        op12_collocations,
     )
 }
