@@ -12,7 +12,9 @@ table of counted words; the model that goes out to all tasks has ``vocabulary si
 languages`` numbers, whatever the corpus.
 
 A word is a run of letters, in lower case, with the vocabulary's mark of a word's
-beginning before it.  Runs longer than ``LONGEST`` letters are taken in parts.
+beginning before it.  Words of up to ``SHORT`` letters are scored many at once; a longer
+run, of a script without blanks for instance, goes alone through a pass of the same sums in
+logarithms, which looks at a window of the text at a time.
 
 Defined results: a text that is NULL or has no letter is ``und`` with score 0; so is
 every text if no training text has a language; equally likely languages go to the
@@ -39,7 +41,9 @@ from voxcart.llm.common import written
 
 UNKNOWN = "und"
 MARK = "▁"
-LONGEST = 32
+# Letters of words that are scored together, and of a window of a longer one.
+SHORT = 32
+WINDOW = 1 << 16
 ROUNDS = 2
 # Added to each expected count, and the weight of a letter outside the vocabulary.
 SMOOTHING = 0.1
@@ -52,10 +56,7 @@ LETTERS = regex.compile(r"\p{L}+")
 
 
 def words_of(text: str) -> list[str]:
-    found = LETTERS.findall(text.lower())
-    if any(len(w) > LONGEST for w in found):
-        found = [w[i : i + LONGEST] for w in found for i in range(0, len(w), LONGEST)]
-    return found
+    return LETTERS.findall(text.lower())
 
 
 class Pieces:
@@ -72,6 +73,7 @@ class Pieces:
         ]
         self.size = len(names) + 1  # the last stands for any letter outside
         self.letters = {n for n in names if len(n) == 1}
+        self.longest = max(map(len, names))
         self.automaton = ahocorasick.Automaton()
         for i, name in enumerate(names):
             self.automaton.add_word(name, (i, len(name)))
@@ -99,6 +101,33 @@ class Pieces:
         return tuple(c[order] for c in columns)
 
 
+    def ends(self, text: str) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """``end, starts, pieces`` of the pieces in a long text, for each end in order."""
+        for low in range(0, len(text), WINDOW):
+            yield from self._window(text, low)
+
+    def ends_backwards(self, text: str) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """The same from the last end to the first."""
+        for low in reversed(range(0, len(text), WINDOW)):
+            yield from reversed(self._window(text, low))
+
+    def _window(self, text: str, low: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
+        first = max(0, low - self.longest)
+        high = min(len(text), low + WINDOW)
+        found: dict[int, tuple[list[int], list[int]]] = {}
+        for last, (i, length) in self.automaton.iter(text[first:high]):
+            starts, own = found.setdefault(first + last + 1, ([], []))
+            starts.append(first + last + 1 - length)
+            own.append(i)
+        out = []
+        for end in range(low + 1, high + 1):
+            starts, own = found.get(end, ([], []))
+            if text[end - 1] not in self.letters:
+                starts, own = [*starts, end - 1], [*own, self.size - 1]
+            out.append((end, np.array(starts, dtype=np.int64), np.array(own, dtype=np.int64)))
+        return out
+
+
 @functools.lru_cache(maxsize=1)
 def pieces(path: str) -> Pieces:
     return Pieces(path)
@@ -129,8 +158,50 @@ def _forward(count: int, longest: int, found, weights: np.ndarray) -> np.ndarray
     return reached
 
 
+def _log_sum(terms: np.ndarray) -> np.ndarray:
+    top = terms.max(axis=0)
+    return top + np.log(np.exp(terms - top).sum(axis=0))
+
+
+def long_word_scores(vocabulary: Pieces, word: str, log_model: np.ndarray) -> np.ndarray:
+    """Log probability of one long word in each language; only the last places are held."""
+    size = vocabulary.longest + 1
+    reached = np.zeros((size, log_model.shape[1]))
+    for end, starts, own in vocabulary.ends(MARK + word):
+        reached[end % size] = _log_sum(reached[starts % size] + log_model[own])
+    return reached[(len(word) + 1) % size]
+
+
+def long_word_uses(vocabulary: Pieces, word: str, log_weights: np.ndarray) -> np.ndarray:
+    """Expected uses of each piece in one long word of one language."""
+    text = MARK + word
+    reached = np.zeros(len(text) + 1)
+    for end, starts, own in vocabulary.ends(text):
+        reached[end] = _log_sum(reached[starts] + log_weights[own])
+    # What is right of a place follows from what is left of it: the chance that a
+    # segmentation has a border there is shared out among the pieces that end there.
+    border = np.zeros(len(text) + 1)
+    border[-1] = 1.0
+    uses = np.zeros(vocabulary.size)
+    for end, starts, own in vocabulary.ends_backwards(text):
+        shares = border[end] * np.exp(reached[starts] + log_weights[own] - reached[end])
+        np.add.at(border, starts, shares)
+        np.add.at(uses, own, shares)
+    return uses
+
+
 def word_scores(vocabulary: Pieces, words: list[str], model: np.ndarray) -> np.ndarray:
     """Log probability of each word in each language; ``model`` is pieces x languages."""
+    long = [i for i, w in enumerate(words) if len(w) > SHORT]
+    if long:
+        scores = np.empty((len(words), model.shape[1]))
+        short = [i for i, w in enumerate(words) if len(w) <= SHORT]
+        if short:
+            scores[short] = word_scores(vocabulary, [words[i] for i in short], model)
+        log_model = np.log(model)
+        for i in long:
+            scores[i] = long_word_scores(vocabulary, words[i], log_model)
+        return scores
     sizes = np.array([len(w) + 1 for w in words])
     found = vocabulary.matches(words)
     reached = _forward(len(words), sizes.max(), found, model[found[3]])
@@ -141,6 +212,15 @@ def expected_uses(
     vocabulary: Pieces, words: list[str], counts: np.ndarray, weights_of: np.ndarray
 ) -> np.ndarray:
     """Expected uses of each piece in the counted words of one language."""
+    long = np.array([len(w) > SHORT for w in words])
+    if long.any():
+        log_weights = np.log(weights_of)
+        uses = sum(
+            counts[i] * long_word_uses(vocabulary, words[i], log_weights)
+            for i in np.flatnonzero(long)
+        )
+        short = [words[i] for i in np.flatnonzero(~long)]
+        return uses + expected_uses(vocabulary, short, counts[~long], weights_of) if short else uses
     sizes = np.array([len(w) + 1 for w in words])
     found = vocabulary.matches(words)
     word, start, end, piece = found
@@ -244,6 +324,7 @@ class Scorer:
         self.names, self.model = names, model
         self.places: dict[str, int] = {}
         self.scores = np.zeros((1024, len(names)))
+        self.holds_long = False
 
     def learn(self, words: list[str]) -> None:
         count = len(self.places)
@@ -257,6 +338,7 @@ class Scorer:
             self.scores[count + at : count + at + len(part)] = word_scores(
                 self.pieces, part, self.model
             )
+        self.holds_long |= any(len(w) > 8 * SHORT for w in words)
         self.places.update(zip(words, range(count, count + len(words)), strict=True))
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
@@ -272,8 +354,9 @@ class Scorer:
             best = int(total.argmax())
             names.append(self.names[best])
             shares.append(float(1.0 / np.exp(total - total[best]).sum()))
-        if len(self.places) > KEPT:
+        if len(self.places) > KEPT or self.holds_long:
             self.places.clear()
+            self.holds_long = False
         return names, shares
 
 

@@ -15,9 +15,13 @@ documents, and then documents in permuted order while they fit.  Which blocks fi
 follows from running sums of their totals; only a source's one block that is cut needs
 the order of its documents.  So a hot source is never brought together.
 
+Documents of one hash place are taken together or not at all, so the copies of a row follow
+from its source, block and place alone: ``realise`` looks them up in a table of cuts, and
+no row is matched to another by its doc_id.
+
 Defined results: the token count of a text is its number of words; a NULL source is a
-source of its own; NULL doc_ids hash alike, and repeated rows are told apart by nothing,
-so they are taken in any order; a source without tokens gets no copies; an empty table
+source of its own; rows without doc_id are placed by their text; rows of one doc_id, or of
+none and one text, share a place; a source without tokens gets no copies; an empty table
 gives no rows; further columns are kept by ``realise`` and not looked at.
 """
 
@@ -54,15 +58,27 @@ def _bits(key: Column) -> Column:
     return F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("long")
 
 
+def _key() -> Column:
+    own = F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce("text", F.lit(""))))
+    return F.concat(F.lit(f"{SEED}|"), own)
+
+
+def _block() -> Column:
+    return (_bits(_key()) % BLOCKS).cast("int")
+
+
+def _place() -> Column:
+    return F.md5(F.concat(_key(), F.lit("|place")))
+
+
 def counted(docs: DataFrame) -> DataFrame:
     """``doc_id, source, tokens, block, place``: all that the plan needs of a document."""
-    key = F.concat(F.lit(f"{SEED}|"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     return docs.select(
         "doc_id",
         "source",
         n_tokens(F.col("text")).alias("tokens"),
-        (_bits(key) % BLOCKS).cast("int").alias("block"),
-        F.md5(F.concat(key, F.lit("|place"))).alias("place"),
+        _block().alias("block"),
+        _place().alias("place"),
     )
 
 
@@ -121,18 +137,14 @@ def exponent(
     return found
 
 
-def plan(
-    docs: DataFrame,
-    entropy_share: float = ENTROPY_SHARE,
-    repeat_limit: float = REPEAT_LIMIT,
-    budget_share: float = BUDGET_SHARE,
+def _cuts(
+    rows: DataFrame, entropy_share: float, repeat_limit: float, budget_share: float
 ) -> DataFrame:
-    """``doc_id, source, n_tokens, block, block_rank, copies`` per document.
+    """``of_source, of_block, block_rank, copies, last_place`` of every block.
 
-    ``copies`` says how often a document is in the mix; ``block_rank`` is the place of its
-    block in the source's permutation.
+    A document of the block is taken ``copies`` times, and once more if its place is not
+    after ``last_place``.
     """
-    rows = written(counted(docs), "mix-rows")
     blocks = written(
         rows.groupBy("source", "block").agg(F.sum("tokens").alias("block_tokens")), "mix-blocks"
     )
@@ -188,51 +200,78 @@ def plan(
         )
     )
     cuts = written(cuts, "mix-cuts")
-    placed = rows.join(
-        cuts,
-        F.col("source").eqNullSafe(F.col("of_source")) & (F.col("block") == F.col("of_block")),
+    # At most one block of a source is cut; places of it are taken while they fit.
+    upto = Window.partitionBy("of_source", "of_block").orderBy("place")
+    last = (
+        rows.join(
+            cuts.where("room > 0 AND room < block_tokens").select("of_source", "of_block", "room"),
+            F.col("source").eqNullSafe(F.col("of_source")) & (F.col("block") == F.col("of_block")),
+        )
+        .groupBy("of_source", "of_block", "place")
+        .agg(F.sum("tokens").alias("tokens"), F.max("room").alias("room"))
+        .withColumn("upto", F.sum("tokens").over(upto))
+        .where("upto <= room")
+        .groupBy(F.col("of_source").alias("cut_source"), F.col("of_block").alias("cut_block"))
+        .agg(F.max("place").alias("last_place"))
+    )
+    return cuts.join(
+        last,
+        F.col("of_source").eqNullSafe(F.col("cut_source")) & (F.col("of_block") == F.col("cut_block")),
+        "left",
+    ).select(
+        "of_source",
+        "of_block",
+        "block_rank",
+        F.expr("rounds + CAST(room > 0 AND room >= block_tokens AS BIGINT)").alias("rounds"),
+        F.coalesce("last_place", F.lit("")).alias("last_place"),
     )
-    columns = [
+
+
+def _copies(place: Column) -> Column:
+    return F.col("rounds") + (place <= F.col("last_place")).cast("long")
+
+
+def plan(
+    docs: DataFrame,
+    entropy_share: float = ENTROPY_SHARE,
+    repeat_limit: float = REPEAT_LIMIT,
+    budget_share: float = BUDGET_SHARE,
+) -> DataFrame:
+    """``doc_id, source, n_tokens, block, block_rank, copies`` per document.
+
+    ``copies`` says how often a document is in the mix; ``block_rank`` is the place of its
+    block in the source's permutation.
+    """
+    rows = written(counted(docs), "mix-rows")
+    return rows.join(
+        _cuts(rows, entropy_share, repeat_limit, budget_share),
+        F.col("source").eqNullSafe(F.col("of_source")) & (F.col("block") == F.col("of_block")),
+    ).select(
         "doc_id",
         "source",
         F.col("tokens").alias("n_tokens"),
         "block",
         "block_rank",
-    ]
-    whole = placed.where("room <= 0 OR room >= block_tokens").select(
-        *columns, (F.col("rounds") + (F.col("room") >= F.col("block_tokens")).cast("long") * (F.col("room") > 0).cast("long")).alias("copies")
-    )
-    inside = (
-        Window.partitionBy("source", "block")
-        .orderBy("place", "doc_id")
-        .rowsBetween(Window.unboundedPreceding, 0)
-    )
-    cut = placed.where("room > 0 AND room < block_tokens").withColumn(
-        "upto", F.sum("tokens").over(inside)
-    )
-    return whole.unionByName(
-        cut.select(
-            *columns, (F.col("rounds") + (F.col("upto") <= F.col("room")).cast("long")).alias("copies")
-        )
+        _copies(F.col("place")).alias("copies"),
     )
 
 
-def realise(docs: DataFrame, **targets: float) -> DataFrame:
-    """The mix itself: each document as often as planned, with all its columns.
-
-    Documents find their copies by doc_id, so rows without one, and rows of one doc_id
-    in several sources, are taken by the plan of that doc_id's largest number of copies.
-    """
-    own, copies = fresh(docs, "mix_id"), fresh(docs, "mix_copies")
-    wanted = (
-        plan(docs, **targets)
-        .where("copies > 0")
-        .groupBy(F.col("doc_id").alias(own))
-        .agg(F.max("copies").alias(copies))
-    )
-    names = [F.col(f"`{c}`") for c in docs.columns]
+def realise(
+    docs: DataFrame,
+    entropy_share: float = ENTROPY_SHARE,
+    repeat_limit: float = REPEAT_LIMIT,
+    budget_share: float = BUDGET_SHARE,
+) -> DataFrame:
+    """The mix itself: each document as often as planned, with all its columns."""
+    rows = written(counted(docs), "mix-rows")
+    cuts = _cuts(rows, entropy_share, repeat_limit, budget_share)
+    own = [fresh(docs, name) for name in ("of_source", "of_block", "rounds", "last_place")]
+    cuts = cuts.select("of_source", "of_block", "rounds", "last_place").toDF(*own)
+    source, block, rounds, last_place = (F.col(name) for name in own)
+    copies = rounds + (_place() <= last_place).cast("long")
     return (
-        docs.join(wanted, docs.doc_id.eqNullSafe(F.col(own)))
-        .withColumn(own, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies))))
-        .select(*names)
+        docs.join(cuts, docs["source"].eqNullSafe(source) & (_block() == block))
+        .where(copies > 0)
+        .withColumn(own[0], F.explode(F.sequence(F.lit(1).cast("long"), copies)))
+        .select(*(F.col(f"`{c}`") for c in docs.columns))
     )

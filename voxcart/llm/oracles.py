@@ -184,7 +184,7 @@ def _mixing() -> str:
 WITH RECURSIVE rows AS (
   SELECT doc_id, source,
          CAST(len(list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')) AS BIGINT) AS n_tokens,
-         '{m.SEED}|' || coalesce(CAST(doc_id AS VARCHAR), '') AS key
+         '{m.SEED}|' || coalesce(CAST(doc_id AS VARCHAR), md5(coalesce(text, ''))) AS key
   FROM documents),
 placed AS (
   SELECT doc_id, source, n_tokens, md5(key || '|place') AS place,
@@ -230,7 +230,7 @@ cuts AS (
   FROM blocks b JOIN quotas q ON b.source IS NOT DISTINCT FROM q.source)
 SELECT p.doc_id, p.source, p.n_tokens, p.block, block_rank,
        CAST(rounds + CASE WHEN room <= 0 THEN 0 WHEN room >= block_tokens THEN 1
-            WHEN sum(p.n_tokens) OVER (PARTITION BY p.source, p.block ORDER BY p.place, p.doc_id) <= room
+            WHEN sum(p.n_tokens) OVER (PARTITION BY p.source, p.block ORDER BY p.place) <= room
             THEN 1 ELSE 0 END AS BIGINT) AS copies
 FROM placed p JOIN cuts c ON p.source IS NOT DISTINCT FROM c.source AND p.block = c.block"""
 
@@ -288,3 +288,93 @@ WHERE rank <= {x.TOP}"""
 
 
 ORACLES["op12_collocations"] = _collocations()
+
+
+def _audit() -> str:
+    from voxcart.llm import source_audit as x
+
+    def share(count: str, total: str) -> str:
+        return (
+            f"1 + CAST({x.BILLION} AS HUGEINT) * ({count} + {x.SMOOTH}) "
+            f"// CAST({total} + {x.SMOOTH} * terms AS HUGEINT)"
+        )
+
+    return rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
+  FROM documents),
+words AS (
+  SELECT r, lang, source,
+         unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+kept AS (
+  SELECT lang, term, count(*) AS lang_n FROM words GROUP BY ALL
+  HAVING count(DISTINCT r) >= {x.LEAST_DOCS}),
+by_lang AS (SELECT lang, count(*) AS terms, sum(lang_n) AS lang_total FROM kept GROUP BY lang),
+counts AS (SELECT lang, source, term, count(*) AS n FROM words GROUP BY ALL),
+groups AS (SELECT DISTINCT lang, source FROM d),
+cells AS (
+  SELECT lang, source, term, lang_n, coalesce(n, 0) AS n,
+         sum(coalesce(n, 0)) OVER (PARTITION BY lang, source) AS total
+  FROM groups JOIN kept USING (lang) LEFT JOIN counts USING (lang, source, term)),
+shares AS (
+  SELECT lang, source, term, n, {share("n", "total")} AS p, {share("lang_n", "lang_total")} AS q
+  FROM cells JOIN by_lang USING (lang)),
+sums AS (
+  SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value
+  FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source
+  GROUP BY ALL),
+pairs AS (
+  SELECT a.lang, a.source, b.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+parts AS (
+  SELECT lang, source, 'pair' AS part, item, value FROM pairs
+  UNION ALL
+  SELECT lang, source, 'term', term, CAST(p - q AS BIGINT) FROM shares WHERE n > 0 AND p > q),
+ranked AS (
+  SELECT *, CAST(row_number() OVER (
+    PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM parts)
+SELECT lang, source, part, item, value, rank FROM ranked
+WHERE part = 'pair' OR rank <= {x.TERMS}"""
+
+
+ORACLES["op13_source_audit"] = _audit()
+
+
+def _shards() -> str:
+    from voxcart.llm import sharding as x
+
+    # The checksum byte by byte: the table of 256 entries follows from the polynomial.
+    return f"""
+WITH crc_table AS (
+  SELECT list(c ORDER BY i) AS entries
+  FROM (SELECT i, list_reduce(
+          list_prepend(i, range(8)),
+          lambda c, _: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c
+        FROM (SELECT unnest(range(256)) AS i))),
+d AS (
+  SELECT doc_id, coalesce(text, '') AS t, md5(coalesce(text, '')) AS digest,
+         CAST(strlen(coalesce(text, '')) + {x.ROW_OVERHEAD} AS BIGINT) AS size
+  FROM documents),
+sums AS (
+  SELECT digest, xor(4294967295, list_reduce(
+           list_prepend(4294967295, list_transform(
+             range(1, 1 + length(h) // 2), lambda i: CAST('0x' || substr(h, 2 * i - 1, 2) AS BIGINT))),
+           lambda c, b: xor(entries[CAST(xor(c, b) & 255 AS INTEGER) + 1], c >> 8))) AS text_crc32
+  FROM (SELECT DISTINCT digest, hex(encode(t)) AS h FROM d), crc_table),
+placed AS (
+  SELECT doc_id, size, digest,
+         CAST(sum(size) OVER (ORDER BY digest, doc_id NULLS FIRST ROWS UNBOUNDED PRECEDING) - size AS BIGINT) AS start,
+         row_number() OVER (ORDER BY digest, doc_id NULLS FIRST) AS place,
+         sum(size) OVER () AS total
+  FROM d),
+cut AS (
+  SELECT *, CAST(least(start * {x.SHARDS} // total, {x.SHARDS - 1}) AS INTEGER) AS shard FROM placed)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard,
+       place - min(place) OVER (PARTITION BY shard) AS slot,
+       CAST(NULL AS INTEGER) AS grown_shard, start
+FROM cut JOIN sums USING (digest)"""
+
+
+ORACLES["op10_byte_shards"] = _shards()

@@ -18,6 +18,7 @@ from voxcart.llm import (
     quality_rules,
     secrets,
     sharding,
+    source_audit,
     token_counts,
     token_files,
 )
@@ -82,6 +83,10 @@ def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(documents(spark, sf_dir))
 
 
+def op13_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_audit.audit(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -97,5 +102,6 @@ QUERIES: dict[str, Query] = {
         op10_byte_shards,
         op11_token_counts,
         op12_collocations,
+        op13_source_audit,
     )
 }

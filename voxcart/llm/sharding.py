@@ -5,39 +5,37 @@ one total; running sums of those totals give every range its offset, and running
 sums inside a range give every row its place in the whole.  Shard ``k`` holds the
 rows that begin in the ``k``-th of equal cuts of all bytes.
 
-Equal texts are neighbours in that order.  A group of them whose bytes are at most
-``GROUP_SHARE`` of a shard stays together in the shard where it begins; a larger
-group, which may hold a third of all rows, is cut like any other rows.
+Equal texts are neighbours in that order, so a shard's border cuts at most one group of
+them, wherever it falls; a group that holds a third of all rows is cut like any others.
 
 Defined results: a NULL text has no bytes and counts as empty for its checksum; a
 NULL doc_id comes first among equal texts; repeated rows get a slot each; an empty
-table gives no rows; further columns are not looked at.
+table gives no rows; further columns are not looked at, and kept by ``write_shards``.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxcart.llm.common import scratch, written
+from voxcart.llm.common import fresh, scratch, written
 
 SHARDS = 40
 ROW_OVERHEAD = 16
-GROUP_SHARE = 0.01
 
 
-def assign(docs: DataFrame, shards: int = SHARDS, group_share: float = GROUP_SHARE) -> DataFrame:
-    """``doc_id, size, text_crc32, law, shard, slot, grown_shard, start`` per row.
-
-    ``start`` counts the bytes before the row in the order of the shards.
-    """
-    text = F.coalesce("text", F.lit(""))
-    rows = docs.select(
-        "doc_id",
+def _sized(docs: DataFrame) -> list[Column]:
+    text = F.coalesce(docs["text"], F.lit(""))
+    return [
+        docs["doc_id"].alias("doc_id"),
         (F.octet_length(text).cast("long") + ROW_OVERHEAD).alias("size"),
         F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
         F.md5(text).alias("text_md5"),
-    )
+    ]
+
+
+def _placed(rows: DataFrame, shards: int) -> DataFrame:
+    """``rows`` with ``shard``, ``place`` (rows before it) and ``start`` (bytes before it)."""
     ranged = written(
         rows.repartitionByRange("text_md5", "doc_id").withColumn("range", F.spark_partition_id()),
         "ranges",
@@ -56,42 +54,25 @@ def assign(docs: DataFrame, shards: int = SHARDS, group_share: float = GROUP_SHA
     )
     inside = Window.partitionBy("range").orderBy("text_md5", "doc_id")
     upto = inside.rowsBetween(Window.unboundedPreceding, 0)
-    placed = written(
-        ranged.join(F.broadcast(offsets), "range").select(
-            "doc_id",
-            "size",
-            "text_crc32",
-            "text_md5",
-            "total",
-            (F.col("bytes_before") + F.sum("size").over(upto) - F.col("size")).alias("start"),
-            (F.col("rows_before") + F.row_number().over(inside) - 1).alias("place"),
-        ),
-        "placed",
-    )
-    small_groups = (
-        placed.groupBy("text_md5")
-        .agg(
-            F.min("start").alias("group_start"),
-            F.sum("size").alias("group_size"),
-            F.count("*").alias("copies"),
-            F.max("total").alias("total"),
-        )
-        .where((F.col("copies") > 1) & (F.col("group_size") <= F.col("total") / shards * group_share))
-        .select("text_md5", "group_start")
+    placed = ranged.join(F.broadcast(offsets), "range").select(
+        *(F.col(c) for c in rows.columns),
+        "total",
+        (F.col("bytes_before") + F.sum("size").over(upto) - F.col("size")).alias("start"),
+        (F.col("rows_before") + F.row_number().over(inside) - 1).alias("place"),
     )
     # Sizes stay below 2^63 / shards; ``div`` keeps the cut exact.
-    dealt = placed.join(small_groups, "text_md5", "left").select(
-        "doc_id",
-        "size",
-        "text_crc32",
-        F.expr(f"CAST(least((coalesce(group_start, start) * {shards}) div total, {shards - 1}) AS INT)").alias(
-            "shard"
-        ),
-        "place",
-        "start",
-    )
-    first = dealt.groupBy("shard").agg(F.min("place").alias("first"))  # one row per shard
-    return dealt.join(F.broadcast(first), "shard").select(
+    cut = F.expr(f"CAST(least((start * {shards}) div total, {shards - 1}) AS INT)")
+    return placed.withColumn("shard", cut).drop("total")
+
+
+def assign(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
+    """``doc_id, size, text_crc32, law, shard, slot, grown_shard, start`` per row.
+
+    ``start`` counts the bytes before the row in the order of the shards.
+    """
+    placed = written(_placed(docs.select(*_sized(docs)), shards), "placed")
+    first = placed.groupBy("shard").agg(F.min("place").alias("first"))  # one row per shard
+    return placed.join(F.broadcast(first), "shard").select(
         "doc_id",
         "size",
         "text_crc32",
@@ -104,14 +85,18 @@ def assign(docs: DataFrame, shards: int = SHARDS, group_share: float = GROUP_SHA
 
 
 def write_shards(docs: DataFrame, folder: str | None = None, shards: int = SHARDS) -> str:
-    """Write ``docs`` as one folder per shard (``shard=k``), each row in full.
+    """Write ``docs`` as one folder per shard (``shard=k``), each row in full, in order.
 
-    Rows find their shard by doc_id, which therefore has to be unique and not NULL
-    here.  Returns the folder.
+    Rows carry their columns through the ranges, so none is looked up by its doc_id.  If
+    ``docs`` has a column ``shard`` the folders are named ``_shard=k``.  Returns the folder.
     """
     folder = folder or scratch(docs.sparkSession, "shards")
-    places = assign(docs, shards).select("doc_id", "shard")
-    docs.drop("shard").join(places, "doc_id").repartition("shard", F.col("doc_id") % 8).write.partitionBy(
-        "shard"
-    ).parquet(folder)
+    whole = F.struct(*(docs[f"`{c}`"].alias(c) for c in docs.columns)).alias("whole")
+    name = fresh(docs, "shard")
+    (
+        _placed(docs.select(*_sized(docs), whole), shards)
+        .select("whole.*", F.col("shard").alias(name))
+        .write.partitionBy(name)
+        .parquet(folder)
+    )
     return folder
