@@ -26,11 +26,14 @@ further columns are not looked at.
 
 from __future__ import annotations
 
+import array
 import functools
+import json
 import os
+import re
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -50,12 +53,47 @@ PAD = 0
 KEPT = 1_000_000
 LONGEST_KEPT = 64
 
+# The rules of word vocabularies of this kind, as their files state them.
+# For words of printable ASCII signs they come to lower case and ``ASCII_WORD``.
+WORD_RULES = (
+    {
+        "type": "Sequence",
+        "normalizers": [
+            {"type": "NFC"},
+            {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "},
+            {"type": "Lowercase"},
+        ],
+    },
+    {
+        "type": "Sequence",
+        "pretokenizers": [
+            {
+                "type": "Split",
+                "pattern": {
+                    "Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+                },
+                "behavior": "Removed",
+                "invert": True,
+            },
+            {
+                "type": "ByteLevel",
+                "add_prefix_space": False,
+                "trim_offsets": True,
+                "use_regex": False,
+            },
+        ],
+    },
+)
+ASCII_WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
+
 
 class WordEncoder:
-    """The library's tokenizer, asked once for each word.
+    """The library's normalizer, pre-tokenizer and model, each asked once for what is new.
 
-    Right for vocabularies whose pieces never hold white space: the ids of a text
-    are then those of its words, one after another.
+    Right for vocabularies whose pieces never hold white space: the ids of a text are then
+    those of its words, one after another, and those of a word are those of its pre-tokens.
+    Ids are kept by word and by pre-token, so ``Word``, ``word,`` and ``word`` share the
+    model's answer.
     """
 
     def __init__(self, path: str, kept: int = KEPT):
@@ -65,37 +103,56 @@ class WordEncoder:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        top = max(self.library.get_vocab(with_added_tokens=True).values())
+        vocabulary = self.library.get_vocab(with_added_tokens=True)
+        top = max(vocabulary.values())
         self.type = np.dtype("<u2" if top < 1 << 16 else "<u4")
+        self.code = "H" if top < 1 << 16 else "I"
+        added = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, added))) if added else None
+        spec = json.loads(self.library.to_str())
+        self.plain = (spec["normalizer"], spec["pre_tokenizer"]) == WORD_RULES
         self.kept = kept
         self.known: dict[bytes, bytes] = {}
-
-    def ask(self, words: list[bytes]) -> dict[bytes, bytes]:
-        encodings = self.library.encode_batch(
-            [w.decode("utf-8") for w in words], add_special_tokens=False
-        )
-        return {
-            w: np.array(e.ids, dtype=self.type).tobytes()
-            for w, e in zip(words, encodings, strict=True)
-        }
+        self.pieces: dict[str, bytes] = {}
+
+    def pre_tokens(self, word: str) -> list[str]:
+        if self.plain and word.isascii() and word.isprintable():
+            return ASCII_WORD.findall(word.lower())
+        library = self.library
+        if library.normalizer:
+            word = library.normalizer.normalize_str(word)
+        return [p for p, _ in library.pre_tokenizer.pre_tokenize_str(word)]
+
+    def of_piece(self, piece: str) -> bytes:
+        ids = self.ids_of(t.id for t in self.library.model.tokenize(piece))
+        if len(piece) <= LONGEST_KEPT:
+            self.pieces[piece] = ids
+        return ids
+
+    def ids_of(self, numbers: Iterable[int]) -> bytes:
+        return array.array(self.code, numbers).tobytes()
+
+    def ask(self, data: bytes) -> bytes:
+        """The ids of a word that is not known."""
+        word = data.decode("utf-8")
+        if self.added and self.added.search(word):
+            return self.ids_of(self.library.encode(word, add_special_tokens=False).ids)
+        known = self.pieces
+        return b"".join([known.get(p) or self.of_piece(p) for p in self.pre_tokens(word)])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         # bytes.split() cuts at ASCII white space only.
         words = [t.encode("utf-8").split() for t in texts]
-        new = sorted(set().union(*words).difference(self.known))
-        answers = self.ask(new) if new else {}
-        out = []
-        if any(len(w) > LONGEST_KEPT for w in new):
-            table = {**self.known, **answers}
-        else:
-            self.known.update(answers)
-            table = self.known
-        for w in words:
-            out.append(b"".join(map(table.__getitem__, w)))
-        if table is not self.known:
-            self.known.update((w, i) for w, i in answers.items() if len(w) <= LONGEST_KEPT)
         if len(self.known) > self.kept:
             self.known.clear()
+        if len(self.pieces) > self.kept:
+            self.pieces.clear()
+        answers = {w: self.ask(w) for w in set().union(*words).difference(self.known)}
+        long = {w: ids for w, ids in answers.items() if len(w) > LONGEST_KEPT}
+        self.known.update(answers)
+        out = [b"".join(map(self.known.__getitem__, w)) for w in words]
+        for w in long:
+            del self.known[w]
         return out
 
 
