@@ -1,15 +1,16 @@
-"""Message landing tables: hour partitions, batch write and pruned read."""
+"""Message landing tables: hour partitions, exactly-once batches, pruned read."""
 
 from __future__ import annotations
 
 from datetime import datetime, timedelta
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from voxcart.functions.measures import instant
 from voxcart.schemas import METADATA, payload_schema
+from voxcart.sources.once import OnceTable
 
 HOUR = "publish_hour"
 
@@ -69,6 +70,15 @@ def read_hourly(
     return df.drop(HOUR)
 
 
+def identity(fields: list[str], key: str = "message_id") -> Column:
+    """What tells messages apart: the id, or the whole content where there is none.
+
+    Without an id only copies are equal in all they hold, so different messages stay apart.
+    """
+    content = F.sha2(F.to_json(F.struct(*fields)), 256)
+    return F.coalesce(F.col(key).cast("string"), F.concat(F.lit("content:"), content))
+
+
 def dedupe(messages: DataFrame, key: str = "message_id") -> DataFrame:
     """One row per message under at-least-once delivery: its earliest copy.
 
@@ -80,7 +90,50 @@ def dedupe(messages: DataFrame, key: str = "message_id") -> DataFrame:
         for f in messages.schema.fields
         if f.name not in (key, "publish_time") and not isinstance(f.dataType, T.VariantType)
     ]
-    copies = messages.groupBy(key).agg(
+    copies = messages.groupBy(identity(messages.columns, key).alias("message")).agg(
         F.min_by(F.struct("*"), F.struct("publish_time", *sortable)).alias("first")
     )
     return copies.select("first.*")
+
+
+# Names of the parts of a landed table, in order of time.
+HOUR_FORMAT, HOUR_NAME = "yyyy-MM-dd-HH", "%Y-%m-%d-%H"
+
+
+def landing_table(spark: SparkSession, path: str, landing: T.StructType) -> OnceTable:
+    """The landing table of one topic: messages by the hour of their publish time.
+
+    A message is known by its id within that hour, which all its copies share; messages
+    without a publish time share a part of their own.
+    """
+    return OnceTable(
+        spark,
+        path,
+        landing,
+        F.date_format("publish_time", HOUR_FORMAT),
+        identity(landing.fieldNames()),
+    )
+
+
+def read_landed(
+    spark: SparkSession,
+    path: str,
+    landing: T.StructType,
+    start: datetime | None = None,
+    end: datetime | None = None,
+    number: int | None = None,
+) -> DataFrame:
+    """Landed rows with ``start <= publish_time < end``; other hours are not even listed.
+
+    ``number`` reads the table as it was at that commit.
+    """
+    if start is None and end is None:
+        return landing_table(spark, path, landing).read(number=number)
+    first = start.strftime(HOUR_NAME) if start else ""
+    last = (end - timedelta(microseconds=1)).strftime(HOUR_NAME) if end else "9"
+    rows = landing_table(spark, path, landing).read(
+        lambda part: part != "none" and first <= part <= last, number
+    )
+    if start is not None:
+        rows = rows.where(F.col("publish_time") >= instant(start))
+    return rows if end is None else rows.where(F.col("publish_time") < instant(end))

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from voxcart import schemas
+from voxcart.session import materialize
+from voxcart.sources.versions import VersionedTable
 
 
 def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
@@ -29,15 +31,39 @@ def read_table(spark: SparkSession, path: str, table: str) -> DataFrame:
     return conform(spark.read.parquet(path), schemas.TABLES[table])
 
 
+def _versions(spark: SparkSession, name: str) -> VersionedTable:
+    root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    return VersionedTable(spark, f"{root}/{name}")
+
+
 def save_table(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """Create or replace table ``name`` from a query and read it back."""
-    df.write.mode("overwrite").options(**options).saveAsTable(name)
-    return df.sparkSession.table(name)
+    """Create or replace table ``name`` from a query and read it back.
+
+    The new version is written beside the old one and one commit points to it, so readers
+    never find half a table, queries that run keep the version they began with, and a table
+    may be built from itself.  In this session ``name`` is a view of the new version.
+    """
+    _versions(df.sparkSession, name).replace(df, **options)
+    return open_table(df.sparkSession, name)
+
+
+def open_table(spark: SparkSession, name: str, number: int | None = None) -> DataFrame:
+    """The current version of a saved table, or the one at a commit."""
+    table = _versions(spark, name).read(number)
+    if number is None:
+        table.createOrReplaceTempView(name)
+    return table
+
+
+def expire_versions(spark: SparkSession, name: str, keep: int = 2) -> list[str]:
+    """Delete the files of all but the last ``keep`` versions of a saved table."""
+    return _versions(spark, name).expire(keep)
 
 
 def temp_table(df: DataFrame, name: str) -> DataFrame:
-    """Session-scoped named result."""
-    df.createOrReplaceTempView(name)
+    """Session-scoped named result: computed once, however often it is used."""
+    kept = materialize(df)
+    kept.createOrReplaceTempView(name)
     return df.sparkSession.table(name)
 
 

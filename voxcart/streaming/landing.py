@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from voxcart.sources.landing import HOUR, decode, dedupe, with_hour, write_hourly
+from voxcart.sources.commits import Files
+from voxcart.sources.landing import decode, landing_table
 
 # Fixed value: how long a broker keeps an unread message.
 RETENTION = "86600 seconds"
@@ -36,35 +38,33 @@ def message_stream(
     )
 
 
-def land_new(batch: DataFrame, path: str, landing: T.StructType) -> None:
-    """Append the messages of a batch that the hour-partitioned table lacks.
+def query_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id that a streaming query keeps in its checkpoint."""
+    return json.loads(Files(spark).read(f"{checkpoint}/metadata"))["id"]
+
+
+def land_new(
+    batch: DataFrame,
+    path: str,
+    landing: T.StructType,
+    source: str | None = None,
+    batch_id: int | None = None,
+) -> None:
+    """Land the messages of a batch that the table lacks, in one commit.
 
-    A message is known by its id within the hour of its publish time, which all its
-    copies share.  Only hours that occur in the batch are read, so the check prunes to
-    their folders however long the table is.  Nothing is dropped for being late.  A batch
-    that is run again finds what it has landed before.
+    Nothing is dropped for being late.  A batch that fails before its commit leaves nothing
+    to be seen, and one that is run again after it does nothing.
     """
-    decoded = with_hour(decode(dedupe(batch), landing))
-    hours = [r[HOUR] for r in decoded.select(HOUR).distinct().collect()]
-    if not hours:
-        return
-    known = landed_ids(batch.sparkSession, path, landing, hours)
-    fresh = decoded if known is None else decoded.join(known, [HOUR, "message_id"], "left_anti")
-    write_hourly(fresh.drop(HOUR), path)
-
-
-def landed_ids(
-    spark: SparkSession, path: str, landing: T.StructType, hours: list
-) -> DataFrame | None:
-    """Hour and id of the landed messages of some hours; None before the first batch."""
-    schema = T.StructType([*landing.fields, T.StructField(HOUR, T.TimestampType())])
-    try:
-        table = spark.read.schema(schema).parquet(path)
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return None
-    return table.where(F.col(HOUR).isin(hours)).select(HOUR, "message_id")
+    landing_table(batch.sparkSession, path, landing).admit(
+        decode(batch, landing),
+        source,
+        batch_id,
+        order=[F.col("publish_time"), F.xxhash64(*_plain(landing))],
+    )
+
+
+def _plain(landing: T.StructType) -> list[str]:
+    return [f.name for f in landing if not isinstance(f.dataType, T.VariantType)]
 
 
 def land_messages(
@@ -76,8 +76,13 @@ def land_messages(
     interval: str = "1 minute",
 ) -> StreamingQuery:
     """Envelope stream to the flat landing table of one topic, one copy of each message."""
+
+    def land(batch: DataFrame, batch_id: int) -> None:
+        source = query_id(batch.sparkSession, checkpoint)
+        land_new(batch, path, landing, source, batch_id)
+
     return (
-        messages.writeStream.foreachBatch(lambda batch, _: land_new(batch, path, landing))
+        messages.writeStream.foreachBatch(land)
         .option("checkpointLocation", checkpoint)
         .trigger(**({"availableNow": True} if once else {"processingTime": interval}))
         .start()
