@@ -136,13 +136,14 @@ def hourly_usage(prompts: DataFrame) -> DataFrame:
     ).agg(F.count("*").alias("prompts"))
 
 
-def pair_with_response(
+def with_latest_response(
     prompts: DataFrame, responses: DataFrame, keys: tuple[str, ...] = ("review_id",)
 ) -> DataFrame:
-    """Every prompt with the latest response of its key, NULL if there is none.
+    """Every prompt with the latest response of its key, whichever prompt that answers.
 
     Responses are reduced to one row per key on the map side first, so a key with
-    many prompts and responses gives as many rows as it has prompts.
+    many prompts and responses gives as many rows as it has prompts.  For the response that
+    belongs to a prompt see ``operators.pairing``.
     """
     latest = aggregate_for_join(
         responses,
