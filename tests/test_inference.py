@@ -1,10 +1,21 @@
 from __future__ import annotations
 
 import os
+import re
+import time
 
 import pytest
-
-from voxcart.operators.inference import RATING, RESULT, STATUS, apply_model, embed
+from pyspark.sql import functions as F
+
+from voxcart.operators.inference import (
+    RATING,
+    RESULT,
+    STATUS,
+    AnswerStore,
+    CallControl,
+    apply_model,
+    embed,
+)
 from voxcart.session import checkpoint_root
 
 
@@ -40,12 +51,97 @@ def test_answers_status_and_options(spark, tmp_path):
     ]
 
 
-def test_each_input_is_asked_once_for_all_consumers(spark, tmp_path):
+def jobs(spark):
+    return set(spark.sparkContext.statusTracker().getJobIdsForGroup())
+
+
+def test_building_a_plan_asks_nothing(spark, tmp_path):
     log = tmp_path / "calls"
-    out = apply_model(frame(spark, [f"p{i}" for i in range(50)], 4), "prompt", logged(log))
-    assert out.count() == 50
-    assert out.selectExpr(f"max({RESULT})").collect()[0][0] == "p9/"
-    assert sorted(lines(log)) == sorted(f"p{i}" for i in range(50))
+    before = jobs(spark)
+    out = apply_model(frame(spark, ["a", "b"]), "prompt", logged(log))
+    apply_model(out, "prompt", logged(log), result_col="x", rating_col=None, status_col=None, distinct=True)
+    embed(out, {"v": ("prompt", lambda i, **o: [[1.0]] * len(i))})
+    assert jobs(spark) == before and not log.exists()
+
+
+def test_only_the_input_goes_to_python(spark):
+    df = spark.range(10).select("id", F.lit("text").alias("prompt"), F.lit("long policy").alias("policy"))
+    out = apply_model(df, "prompt", lambda i, **o: i)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"ArrowEvalPython \[run\(prompt#\d+\)", plan)
+
+
+def test_a_store_asks_once_for_all_consumers_and_runs(spark, tmp_path):
+    log, store = tmp_path / "calls", AnswerStore(spark, str(tmp_path / "store"), "m1")
+    df = frame(spark, [f"p{i}" for i in range(50)] + [None, "p1"], 4)
+    control = CallControl.counting(spark)
+    assert store.ask(df, "prompt", logged(log), control=control, batch_size=5) == 50
+    out = apply_model(df, "prompt", logged(log), store=store)
+    assert out.columns == ["id", "prompt", RESULT, RATING, STATUS]
+    assert out.count() == 52 and out.where(f"{RESULT} = 'p1/'").count() == 2
+    assert out.where(f"{STATUS} = 'null_input'").count() == 1
+    assert control.counts["inputs"].value == 50
+    # A second run makes no call; other options and another model are other questions.
+    again = CallControl.counting(spark)
+    assert store.ask(df, "prompt", logged(log), control=again) == 0
+    assert again.counts["calls"].value == 0 and len(lines(log)) == 50
+    more = frame(spark, ["p1", "new"])
+    assert store.apply(more, "prompt", logged(log)).where(f"{STATUS} = ''").count() == 2
+    assert lines(log)[50:] == ["new"]
+    assert store.attach(more, "prompt", suffix="z").where(f"{STATUS} = 'not_asked'").count() == 2
+    assert AnswerStore(spark, store.path, "m2").ask(more, "prompt", logged(log)) == 2
+
+
+def test_failed_calls_are_asked_again(spark, tmp_path):
+    switch, store = tmp_path / "down", AnswerStore(spark, str(tmp_path / "store"))
+
+    def provider(inputs, **options):
+        if switch.exists():
+            raise RuntimeError("down")
+        return inputs
+
+    switch.touch()
+    df = frame(spark, ["a", "b"])
+    first = store.apply(df, "prompt", provider).collect()
+    assert {r[STATUS] for r in first} == {"RuntimeError: down"}
+    switch.unlink()
+    assert {r[RESULT] for r in store.apply(df, "prompt", provider).collect()} == {"a", "b"}
+
+
+def test_a_lost_task_repeats_at_most_one_batch(spark, tmp_path):
+    """The task fails inside its fourth call; the next run finds the batches before it."""
+    log, store = tmp_path / "calls", AnswerStore(spark, str(tmp_path / "store"))
+
+    def provider(inputs, **options):
+        with open(log, "a") as file:
+            file.writelines(f"{text}\n" for text in inputs)
+        if len(lines(log)) == 8:
+            os._exit(1)
+        return inputs
+
+    df = frame(spark, [f"p{i}" for i in range(20)])
+    try:
+        store.ask(df, "prompt", provider, batch_size=2, parallelism=1)
+    except Exception:
+        pass
+    store.ask(df, "prompt", provider, batch_size=2, parallelism=1)
+    asked = lines(log)
+    assert len(set(asked)) == 20 and len(asked) <= 22
+    assert store.attach(df, "prompt").where(f"{STATUS} = ''").count() == 20
+
+
+def test_time_limit_retries_and_counters(spark):
+    def slow(inputs, **options):
+        time.sleep(0.0 if inputs == ["a"] else 5)
+        return inputs
+
+    control = CallControl.counting(spark, timeout=0.5, retries=1, backoff=0.01)
+    got = apply_model(frame(spark, ["a", "b"]), "prompt", slow, batch_size=1, control=control).collect()
+    by_input = {r.prompt: r[STATUS] for r in got}
+    assert by_input["a"] == "" and by_input["b"].startswith("TimeoutError")
+    counted = {n: a.value for n, a in control.counts.items()}
+    # b: two tries of its batch, and two by itself.
+    assert counted == {"calls": 5, "inputs": 5, "retries": 2, "timeouts": 4}
 
 
 def test_distinct_asks_a_repeated_input_once(spark, tmp_path):
@@ -53,9 +149,10 @@ def test_distinct_asks_a_repeated_input_once(spark, tmp_path):
     df = frame(spark, ["a"] * 30 + ["b", None], 4)
     out = apply_model(df, "prompt", logged(log), distinct=True)
     assert out.columns == ["id", "prompt", RESULT, RATING, STATUS]
-    assert out.count() == 32
+    rows = out.collect()
+    assert len(rows) == 32
     assert sorted(lines(log)) == ["a", "b"]
-    assert out.where(f"{STATUS} = 'null_input'").count() == 1
+    assert [r[STATUS] for r in rows].count("null_input") == 1
 
 
 def test_one_bad_input_fails_alone(spark):
@@ -122,5 +219,5 @@ def test_batch_size(spark, tmp_path, batch_size, calls):
             file.write("call\n")
         return inputs
 
-    apply_model(frame(spark, list("abcde")), "prompt", provider, batch_size=batch_size)
+    apply_model(frame(spark, list("abcde")), "prompt", provider, batch_size=batch_size).collect()
     assert len(lines(log)) == calls
