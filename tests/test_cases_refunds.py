@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from voxcart import schemas
-from voxcart.operators import cases, refunds
+from voxcart.operators import cases, outbox, refunds
 from voxcart.sources.landing import decode
 
 AS_OF = "2024-06-30 12:00:00"
@@ -216,3 +216,47 @@ def test_products_of_one_order(order_items, products):
     out = refunds.products_in_order(order_items, products, "o4")
     assert out.columns == ["product_id", "product_name"]
     assert [tuple(r) for r in out.collect()] == [("009", "hat")]
+
+
+def test_one_event_for_a_request_whatever_inputs_repeat(
+    spark, tmp_path, order_items, images, products, people, policy
+):
+    """Two images, names, users of an e-mail, tied policies, another product's image, a replay."""
+    requests = spark.createDataFrame(
+        [("a@x", "o1", "001", "torn")] * 2, "email string, order_id string, product_id string, review_text string"
+    )
+    more_images = images.union(
+        spark.createDataFrame([("gs://z/001.png",), ("gs://b/x1001.png",)], "uri string")
+    )
+    tied = policy.union(policy.withColumn("service_policy_text", F.concat("service_policy_text", F.lit("z"))))
+    rows = refunds.refund_eligibility(
+        requests, order_items, more_images,
+        products.union(spark.createDataFrame([("001", "zshirt")], "id string, name string")),
+        people.union(spark.createDataFrame([("u2", "a@x"), ("u1", "a@x")], "id string, email string")),
+        tied, AS_OF, strict_owner=False,
+    )
+    claims = refunds.answer_claims(
+        refunds.claim_prompts(rows, "gs://b/uploads"), lambda i, **o: ["yes"] * len(i)
+    )
+    events = refunds.refund_events(refunds.refund_decisions(claims))
+    assert [r.key for r in events.collect()] == ["a@x/o1/001"]
+    path = str(tmp_path / "outbox")
+    for batch in (0, 1, 1, 2):
+        outbox.admit(spark, path, events, "claims", batch)
+    outbox.admit(spark, path, events.union(events.withColumn("key", F.lit("b@x/o1/001"))))
+    assert sorted(r.key for r in outbox.outbox(spark, path).read().collect()) == [
+        "a@x/o1/001", "b@x/o1/001"
+    ]
+    first, number = outbox.sent_after(spark, path, 0)
+    assert first.count() == 2 and outbox.sent_after(spark, path, number)[0].count() == 0
+
+
+def test_events_without_a_key_are_known_by_what_they_say(spark, tmp_path):
+    events = spark.createDataFrame(
+        [(None, "x"), (None, "x"), (None, "y"), (None, None), ("k", "b"), ("k", "a")],
+        "key string, value string",
+    )
+    outbox.admit(spark, str(tmp_path), events)
+    outbox.admit(spark, str(tmp_path), events)
+    got = sorted(map(tuple, outbox.outbox(spark, str(tmp_path)).read().collect()), key=repr)
+    assert got == [("k", "a"), (None, "x"), (None, "y"), (None, None)]

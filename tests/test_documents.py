@@ -66,3 +66,8 @@ def test_latest_version_keeps_ties(spark):
         ("r1", "new", 2.0), ("r1", "newer", 2.0), ("r2", "new", 2.0), ("r2", "newer", 2.0)
     ]
     assert documents.attach_latest_policy(df, policy.where(F.lit(False))).count() == 0
+
+
+def test_pages_of_any_number_are_kept(spark):
+    df = pages(spark, [("a", n, f"t{n}") for n in (101, 3, 100, 99)])
+    assert documents.assemble_document(df, NOTICE).first()[0] == "t3 t99 t100 t101"

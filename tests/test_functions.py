@@ -27,14 +27,19 @@ def test_trim_set_strips_letters_not_a_phrase(spark):
 def test_capture_without_match_is_null(spark):
     rows = [("gs://b/x007.png",), ("gs://b/x7.png",), ("gs://b/x1007.png",), (None,)]
     got = values(spark, rows, "uri string", text.uri_key("uri"))
-    assert got == [("007",), (None,), ("007",), (None,)]
+    # 1007 is a key of its own, not 007.
+    assert got == [("007",), (None,), (None,), (None,)]
     assert values(spark, rows, "uri string", text.uri_key("uri", 4))[2] == ("1007",)
+    assert values(spark, rows, "uri string", text.uri_key("uri", tail=True))[2] == ("007",)
+    assert values(spark, rows, "uri string", text.uri_key("uri", None)) == [
+        ("007",), ("7",), ("1007",), (None,)
+    ]
 
 
 def test_page_number(spark):
-    rows = [("gs://b/Policy_Page_03.png",), ("gs://b/Policy_Page_3.png",)]
+    rows = [("gs://b/Policy_Page_03.png",), ("gs://b/Policy_Page_100.png",), ("gs://b/Page_x.png",)]
     got = values(spark, rows, "uri string", text.page_number(F.col("uri")))
-    assert got == [(3,), (None,)]
+    assert got == [(3,), (100,), (None,)]
 
 
 def test_apostrophes(spark):

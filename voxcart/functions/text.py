@@ -15,7 +15,7 @@ WHITESPACE = (
 )
 # File-name patterns that carry keys, and the text clean-up rules.
 KEY_DIGITS = 3
-PAGE_PATTERN = r"_Page_([0-9]{2})\.png$"
+PAGE_PATTERN = r"_Page_([0-9]+)\.png$"
 BULLETS = "[•●]"
 APOSTROPHE_ENTITY = "&#39;"
 
@@ -35,10 +35,16 @@ def capture(text: Column, pattern: str) -> Column:
     return F.when(text.rlike(pattern), F.regexp_extract(text, pattern, 1))
 
 
-def uri_key(uri: Column | str, digits: int = KEY_DIGITS) -> Column:
-    """The key a ``.png`` file name ends with: its last ``digits`` digits."""
+def uri_key(uri: Column | str, digits: int | None = KEY_DIGITS, tail: bool = False) -> Column:
+    """The key a ``.png`` file name ends with: its digits, if there are ``digits`` of them.
+
+    A longer number is another key and gives NULL, as ``1007`` is not ``007``; with ``tail``
+    its last ``digits`` count.  Without ``digits`` a number of any length is the key.
+    """
     uri = F.col(uri) if isinstance(uri, str) else uri
-    return capture(uri, rf"([0-9]{{{digits}}})\.png$")
+    if digits is None:
+        return capture(uri, r"([0-9]+)\.png$")
+    return capture(uri, rf"{'' if tail else '(?<![0-9])'}([0-9]{{{digits}}})\.png$")
 
 
 def page_number(uri: Column, pattern: str = PAGE_PATTERN) -> Column:

@@ -109,6 +109,13 @@ def latest_version(policy: DataFrame) -> DataFrame:
     return policy.where(F.col("version_number") == newest)
 
 
+def first_of_version(policy: DataFrame) -> DataFrame:
+    """One row per version: of tied texts the first."""
+    return policy.groupBy("version_number").agg(
+        F.min("service_policy_text").alias("service_policy_text")
+    ).select("service_policy_text", "version_number")
+
+
 def attach_latest_policy(df: DataFrame, policy: DataFrame) -> DataFrame:
     """Every row of ``df`` with the text and number of the latest policy version.
 

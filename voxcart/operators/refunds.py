@@ -15,7 +15,7 @@ from voxcart.functions.text import (
     unquote,
     uri_key,
 )
-from voxcart.operators.documents import attach_latest_policy
+from voxcart.operators.documents import attach_latest_policy, first_of_version
 from voxcart.operators.inference import RATING, RESULT, STATUS, Provider, apply_model, embed
 from voxcart.operators.joins import aggregate_for_join
 from voxcart.operators.messages import REFUND, REFUND_PROMPT, REFUND_RESPONSE, message
@@ -55,6 +55,19 @@ def recent_order_counts(
     )
 
 
+def _first_user(rows: DataFrame, request: list[str]) -> DataFrame:
+    """One row for each request, that of its first user by id, for all the rows it has.
+
+    Equal requests stay one row each time they are made by the same user only once: a
+    request is what its columns say.
+    """
+    rest = [c for c in rows.columns if c not in request]
+    first = rows.groupBy(*request).agg(
+        F.min_by(F.struct(*rest), F.struct("user_id", *[c for c in rest if c != "user_id"])).alias("of")
+    )
+    return first.select(*request, "of.*").select(*rows.columns)
+
+
 def refund_eligibility(
     requests: DataFrame,
     order_items: DataFrame,
@@ -73,8 +86,12 @@ def refund_eligibility(
     without a recent order, and a product without an image, give no row.
 
     ``strict_owner`` demands that the order belongs to the user of that e-mail;
-    without it any order may be paired with any known user.  If an order has several
-    lines of the product, a request is about the first by id, so it gives one row.
+    without it any order may be paired with any known user.
+
+    A request gives at most one row, whatever its inputs repeat: an order with several
+    lines of the product is about the first by id, a product with several images takes the
+    first by URI and with several names the first, an e-mail of several users the first by
+    id who may ask, and of tied policy versions the first by text counts.
     """
     now = instant(as_of)
     line = F.struct(
@@ -89,11 +106,13 @@ def refund_eligibility(
     ).select("order_id", "product_id", "owner_id", "line.sale_price", "line.shipping_date")
     if not strict_owner:
         lines = lines.drop("owner_id")
-    people = users.select(F.col("id").alias("user_id"), "email")
-    images = inventory_images.select(
-        F.col("uri").alias("inventory_image_uri"), uri_key("uri", digits).alias("product_id")
+    people = users.select(F.col("id").alias("user_id"), "email").distinct()
+    images = aggregate_for_join(
+        inventory_images.select("uri", uri_key("uri", digits).alias("product_id")),
+        {"product_id": "product_id"},
+        F.min("uri").alias("inventory_image_uri"),
     )
-    names = products.select(F.col("id").alias("product_id"), F.col("name").alias("product_name"))
+    names = aggregate_for_join(products, {"product_id": "id"}, F.min("name").alias("product_name"))
     # Counts are at most one row per user, so the request side only shrinks before
     # it meets the order lines.
     asked = requests.join(people, "email", "inner").join(
@@ -102,6 +121,7 @@ def refund_eligibility(
     rows = asked.join(lines, ["order_id", "product_id"], "inner")
     if strict_owner:
         rows = rows.where(F.col("owner_id") == F.col("user_id")).drop("owner_id")
+    rows = _first_user(rows, requests.columns)
     rows = rows.join(images, "product_id", "inner").join(names, "product_id", "inner")
     passes = (
         (F.col("orders_recent") < MAX_ORDERS)
@@ -109,7 +129,7 @@ def refund_eligibility(
         & (F.col("shipping_date") > days_before(now, WINDOW_DAYS))
     )
     extra = [c for c in requests.columns if c not in ("email", "order_id", "product_id")]
-    return attach_latest_policy(rows, policy).select(
+    return attach_latest_policy(rows, first_of_version(policy)).select(
         F.when(passes, "True").otherwise("False").alias("eligible"),
         "product_id",
         "service_policy_text",
@@ -181,9 +201,17 @@ def refund_decisions(
     )
 
 
+# What makes a refund request the one it is; an event carries it as its key.
+REQUEST = ("email", "order_id", "product_id")
+
+
 def refund_events(decisions: DataFrame) -> DataFrame:
-    """Refund messages of the decisions to refund."""
-    return message(decisions.where("decision = 'refund'"), REFUND, ("order_id", "product_id"))
+    """Refund messages of the decisions to refund, keyed by their request.
+
+    The key follows from the request alone, so an outbox (``operators.outbox``) admits one
+    event for it however often it is decided.
+    """
+    return message(decisions.where("decision = 'refund'"), REFUND, REQUEST)
 
 
 def claim_messages(

@@ -8,11 +8,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from voxcart.streaming.landing import RETENTION
+from voxcart.operators.outbox import outbox
+from voxcart.sources.landing import landing_table
+from voxcart.sources.versions import MergedTable
+from voxcart.streaming.landing import RETENTION, query_id
 
 
 def hourly_refunds(refunds: DataFrame, delay: str = RETENTION) -> DataFrame:
@@ -24,28 +28,68 @@ def hourly_refunds(refunds: DataFrame, delay: str = RETENTION) -> DataFrame:
     ).select(F.col("hour.start").alias("publish_hour"), "refunds", "amount")
 
 
+TOTALS = (
+    T.StructType()
+    .add("publish_hour", T.TimestampType())
+    .add("refunds", T.LongType())
+    .add("amount", T.DoubleType())
+)
+
+
+def totals_table(spark: SparkSession, path: str) -> MergedTable:
+    """Totals by hour, in parts of a day."""
+    day = F.date_format("publish_hour", "yyyy-MM-dd")
+    return MergedTable(spark, path, TOTALS, day, ("publish_hour",))
+
+
 def publish_totals(
     totals: DataFrame, path: str, checkpoint: str, interval: str | None = None
 ) -> StreamingQuery:
-    """Keep the current totals of a windowed stream as a Parquet table.
+    """Keep the totals of a windowed stream as a table that readers find whole.
 
-    Every micro-batch replaces the table with the complete result, which has one
-    row per window.
+    A micro-batch gives the windows that it changed; only the days of these are written
+    again, in one commit.  Windows leave the state when the watermark has passed them, and
+    what comes later than that is put right by ``correct_totals``.
     """
 
-    def replace(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(path)
+    def merge(batch: DataFrame, batch_id: int) -> None:
+        source = query_id(batch.sparkSession, checkpoint)
+        totals_table(batch.sparkSession, path).merge(batch, source, batch_id)
 
     trigger = {"processingTime": interval} if interval else {"availableNow": True}
     return (
-        totals.writeStream.outputMode("complete")
-        .foreachBatch(replace)
+        totals.writeStream.outputMode("update")
+        .foreachBatch(merge)
         .option("checkpointLocation", checkpoint)
         .trigger(**trigger)
         .start()
     )
 
 
+def correct_totals(
+    spark: SparkSession, landed: str, landing: T.StructType, path: str, after: int = 0
+) -> int:
+    """Count again the hours that landing commits after number ``after`` have touched.
+
+    The landing table takes every message however late, so its hours are what totals ought
+    to be.  Returns the number of the last commit seen, for the next call.
+    """
+    table = landing_table(spark, landed, landing)
+    state = table.log.state()
+    touched = {
+        part
+        for commit in table.log.history(after)
+        for entry in commit["add"]
+        for part in entry["rows"]
+    }
+    if touched:
+        rows = table.read(touched.__contains__, state.number).where("publish_time IS NOT NULL")
+        totals_table(spark, path).merge(
+            hourly_refunds(rows), source=f"corrected:{landed}", batch_id=state.number
+        )
+    return state.number
+
+
 def hourly_usage_stream(prompts: DataFrame, delay: str = RETENTION) -> DataFrame:
     """Prompts per hour and model version as a stream."""
     return (
@@ -97,16 +141,18 @@ def decide_refund_stream(
     checkpoint: str,
     interval: str | None = None,
 ) -> StreamingQuery:
-    """Refund requests as a stream: decide each micro-batch, append its events.
+    """Refund requests as a stream: decide each micro-batch, admit its events to the outbox.
 
-    ``decide_batch`` turns request rows into refund messages, for instance
-    eligibility, model answer and decision in a row.  Each micro-batch writes its
-    own folder by batch number, so a batch that is run again replaces its output.
+    ``decide_batch`` turns request rows into refund messages (``key``, ``value``), for
+    instance eligibility, model answer and decision in a row.  The outbox at ``path`` takes
+    one event for a key, across batches and however often one is run.
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        events = decide_batch(batch)
-        events.select("value").write.mode("overwrite").text(f"{path}/batch={batch_id}")
+        source = query_id(batch.sparkSession, checkpoint)
+        outbox(batch.sparkSession, path).admit(
+            decide_batch(batch).select("key", "value"), source, batch_id
+        )
 
     trigger = {"processingTime": interval} if interval else {"availableNow": True}
     return (
