@@ -1,8 +1,11 @@
 from __future__ import annotations
 
+import hashlib
 import math
+import random
 
 import pytest
+from pyspark.mllib.clustering import KMeans, KMeansModel
 from pyspark.sql import functions as F
 
 from voxcart.operators import campaign, customers
@@ -66,12 +69,28 @@ def test_assignment_is_the_nearest_centre(fitted):
         assert all(abs(distances[i] - d) < 1e-9 for i, d in listed)
 
 
-def test_assignment_agrees_with_the_fitted_model(fitted):
+def test_segments_agree_with_the_library_from_the_same_seeds(spark, fitted):
+    """MLlib's rounds, started at our centres, stay there and assign alike."""
     df, segmentation = fitted
     mine = {r.user_id: r.centroid_id for r in customers.assign_segments(df, segmentation).collect()}
-    cast = df.select("user_id", *[F.col(n).cast("double").alias(n) for n in customers.FEATURES])
-    theirs = {r.user_id: r.prediction + 1 for r in segmentation.model.transform(cast).collect()}
-    assert mine == theirs
+    names = list(customers.FEATURES)
+    scaled = df.select(
+        "user_id",
+        *(
+            ((F.col(n).cast("double") - segmentation.mean[n]) / segmentation.spread[n]).alias(n)
+            for n in names
+        ),
+    )
+    rows = [[r[n] for n in names] for r in scaled.collect()]
+    ids = [r.user_id for r in scaled.collect()]
+    centres = [
+        [(c.values[n] - segmentation.mean[n]) / segmentation.spread[n] for n in names]
+        for c in segmentation.centroids
+    ]
+    vectors = spark.sparkContext.parallelize(rows)
+    library = KMeans.train(vectors, 3, maxIterations=20, initialModel=KMeansModel(centres))
+    theirs = {i: library.predict(row) for i, row in zip(ids, rows)}
+    assert len({(mine[i], theirs[i]) for i in ids}) == 3
 
 
 def test_centres_are_means_of_their_rows(fitted):
@@ -90,6 +109,60 @@ def test_centres_are_means_of_their_rows(fitted):
     assert all(abs(means[k] - centres[k]) < 0.05 * spreads[k[1]] for k in means)
 
 
+def brute_force_kmeans(rows, k, seed, rounds):
+    """k-means++ and Lloyd in plain Python; rows are ``(key, values)``."""
+    def chance(key, turn):
+        digits = hashlib.md5(f"{seed}|{turn}|{key}".encode()).hexdigest()[:13]
+        return (int(digits, 16) + 0.5) / 2**52
+
+    def gap(a, b):
+        return sum((x - y) ** 2 for x, y in zip(a, b))
+
+    centres = []
+    for turn in range(k):
+        def wait(row):
+            weight = min((gap(row[1], c) for c in centres), default=1.0)
+            drawn = chance(row[0], turn)
+            return (weight <= 0, -math.log(drawn) / weight if weight > 0 else drawn, row[0])
+        centres.append(min(rows, key=wait)[1])
+    for _ in range(rounds):
+        groups = [[] for _ in centres]
+        for _, values in rows:
+            groups[min(range(k), key=lambda i: (gap(values, centres[i]), i))].append(values)
+        centres = [tuple(sum(c) / len(g) for c in zip(*g)) if g else c0 for g, c0 in zip(groups, centres)]
+    return centres
+
+
+@pytest.mark.parametrize(("k", "rounds"), [(1, 3), (3, 0), (4, 6)])
+def test_seeds_and_rounds_against_plain_python(spark, k, rounds):
+    rng = random.Random(k)
+    raw = [(f"u{i}", rng.gauss(i % 3, 0.3), float(i % 5)) for i in range(60)] + [("u7", None, 2.0)]
+    df = spark.createDataFrame(raw, "user_id string, a double, b double").repartition(3)
+    got = customers.fit_segments(df, k, ("a", "b"), seed=5, rounds=rounds)
+    columns = []
+    for i, name in ((1, "a"), (2, "b")):
+        known = [r[i] for r in raw if r[i] is not None]
+        mean = sum(known) / len(known)
+        spread = math.sqrt(sum((x - mean) ** 2 for x in known) / (len(raw) - 1))
+        assert math.isclose(got.mean[name], mean) and math.isclose(got.spread[name], spread)
+        columns.append([((mean if r[i] is None else r[i]) - mean) / spread for r in raw])
+    rows = list(zip((r[0] for r in raw), zip(*columns)))
+    expected = brute_force_kmeans(rows, k, 5, rounds)
+    for centre, wanted in zip(got.centroids, expected):
+        for name, value in zip(("a", "b"), wanted):
+            assert math.isclose(
+                (centre.values[name] - got.mean[name]) / got.spread[name], value, abs_tol=1e-9
+            )
+
+
+def test_fewer_different_rows_than_segments(spark):
+    df = spark.createDataFrame([("u1", 1.0), ("u2", 1.0), (None, 1.0)], "user_id string, a double")
+    got = customers.fit_segments(df, 3, ("a",))
+    assert [c.values["a"] for c in got.centroids] == [1.0] * 3
+    with pytest.raises(ValueError):
+        customers.fit_segments(df.where("false"), 3, ("a",))
+
+
 def test_missing_feature_counts_as_the_mean(spark):
     df = spark.createDataFrame(
         [("u", None, 10, 240)],

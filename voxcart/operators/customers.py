@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +17,8 @@ from voxcart.session import materialize
 # The clustered features and the number of segments.
 FEATURES = ("avg_spend", "count_orders", "days_since_order")
 SEGMENTS = 3
+# Rounds of moving centres.
+ROUNDS = 20
 
 PERSONA_PROMPT = (
     "You plan campaigns. Invent one persona for customer cluster {centroid_id}: "
@@ -80,38 +80,107 @@ class Segmentation:
     centroids: tuple[Centroid, ...]
     spread: dict[str, float]
     mean: dict[str, float]
-    model: PipelineModel | None = None
 
     @property
     def features(self) -> tuple[str, ...]:
         return tuple(self.spread)
 
 
+def _gap(names: Sequence[str], centre: Sequence[float]) -> Column:
+    """Squared distance to a centre in standardised units."""
+    total = F.lit(0.0)
+    for name, value in zip(names, centre, strict=True):
+        gap = F.col(name) - F.lit(float(value))
+        total = total + gap * gap
+    return total
+
+
+def chance(key: Column, seed: int, turn: int) -> Column:
+    """A number above 0 and below 1 from a key, alike in every engine."""
+    digits = F.substring(F.md5(F.concat(F.lit(f"{seed}|{turn}|"), key)), 1, 13)
+    return (F.conv(digits, 16, 10).cast("double") + 0.5) / F.lit(float(1 << 52))
+
+
+def seed_centres(
+    scaled: DataFrame, k: int, names: Sequence[str], seed: int, key: str = "user_id"
+) -> list[tuple[float, ...]]:
+    """k-means++: each centre is a row drawn with a chance like its squared distance.
+
+    The row with the smallest ``-ln(chance) / weight`` is such a draw, so each centre is one
+    aggregate over all rows, and the draw can be replayed from the keys.  Rows at a centre
+    have no weight; if there are no others, the row with the smallest chance comes again.
+    """
+    centres: list[tuple[float, ...]] = []
+    for turn in range(k):
+        drawn = chance(F.col(key), seed, turn)
+        weight = F.least(*(_gap(names, c) for c in centres)) if len(centres) > 1 else (
+            _gap(names, centres[0]) if centres else F.lit(1.0)
+        )
+        wait = F.when(weight > 0, -F.ln(drawn) / weight)
+        order = F.struct(wait.isNull().alias("none"), F.coalesce(wait, drawn).alias("wait"), key)
+        row = scaled.agg(F.min_by(F.struct(*names), order).alias("row")).first().row
+        if row is None:
+            raise ValueError("no rows to segment")
+        centres.append(tuple(row))
+    return centres
+
+
+def _nearest(names: Sequence[str], centres: Sequence[Sequence[float]]) -> Column:
+    """Number of the nearest centre; ties go to the lower one."""
+    gaps = [
+        F.struct(_gap(names, c).alias("gap"), F.lit(i).alias("number")) for i, c in enumerate(centres)
+    ]
+    return F.array_min(F.array(*gaps))["number"]
+
+
 def fit_segments(
-    features: DataFrame, k: int = SEGMENTS, names: tuple[str, ...] = FEATURES, seed: int = 42
+    features: DataFrame,
+    k: int = SEGMENTS,
+    names: tuple[str, ...] = FEATURES,
+    seed: int = 42,
+    key: str = "user_id",
+    rounds: int = ROUNDS,
 ) -> Segmentation:
-    """k-means on standardised features, missing values replaced by the mean."""
-    doubles = features.select([F.col(n).cast("double").alias(n) for n in names])
-    filled = [f"{n}_filled" for n in names]
-    stages = [
-        Imputer(strategy="mean", inputCols=list(names), outputCols=filled),
-        VectorAssembler(inputCols=filled, outputCol="assembled"),
-        StandardScaler(inputCol="assembled", outputCol="scaled", withMean=True, withStd=True),
-        KMeans(k=k, seed=seed, initMode="k-means||", featuresCol="scaled"),
-    ]
-    model = Pipeline(stages=stages).fit(materialize(doubles))
-    scaler, kmeans = model.stages[2], model.stages[3]
-    mean, spread = list(scaler.mean), [s if s > 0 else 1.0 for s in scaler.std]
-    centroids = tuple(
-        Centroid(i + 1, {n: float(c * s + m) for n, c, s, m in zip(names, centre, spread, mean)})
-        for i, centre in enumerate(kmeans.clusterCenters())
+    """k-means on standardised features, missing values replaced by the mean.
+
+    Seeds by k-means++, then at most ``rounds`` rounds of assigning rows to the nearest centre
+    and moving each centre to the mean of its rows; a centre without rows stays.  Every round
+    is one aggregate of ``k`` rows, and the rows are read from one written table.
+    """
+    doubles = materialize(
+        features.select(
+            F.coalesce(F.col(key).cast("string"), F.lit("")).alias(key),
+            *(F.col(n).cast("double").alias(n) for n in names),
+        )
     )
-    return Segmentation(
-        centroids,
-        {n: float(s) for n, s in zip(names, spread)},
-        {n: float(m) for n, m in zip(names, mean)},
-        model,
+    stats = doubles.agg(
+        F.count("*").alias("rows"),
+        *(F.avg(n).alias(f"mean_{n}") for n in names),
+        # Spread of the filled column: a mean in the place of a gap adds nothing.
+        *((F.var_pop(n) * F.count(n) / (F.count("*") - 1)).alias(f"var_{n}") for n in names),
+    ).first()
+    mean = {n: stats[f"mean_{n}"] or 0.0 for n in names}
+    spread = {n: (stats[f"var_{n}"] or 0.0) ** 0.5 or 1.0 for n in names}
+    scaled = doubles.select(
+        key, *(((F.coalesce(n, F.lit(mean[n])) - mean[n]) / spread[n]).alias(n) for n in names)
+    )
+    centres = seed_centres(scaled, k, names, seed, key)
+    for _ in range(rounds):
+        means = {
+            r.number: tuple(r)[1:]
+            for r in scaled.groupBy(_nearest(names, centres).alias("number"))
+            .agg(*(F.avg(n).alias(n) for n in names))
+            .collect()
+        }
+        moved = [means.get(i, c) for i, c in enumerate(centres)]
+        if moved == centres:
+            break
+        centres = moved
+    centroids = tuple(
+        Centroid(i + 1, {n: float(c * spread[n] + mean[n]) for n, c in zip(names, centre, strict=True)})
+        for i, centre in enumerate(centres)
     )
+    return Segmentation(centroids, spread, mean)
 
 
 def centroid_table(df: DataFrame, segmentation: Segmentation) -> DataFrame:
