@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
+import voxcart
+from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.util import PythonEvalType
 
+from voxcart.functions.repair import repair_json
 from voxcart.functions.text import trim_set, trim_space
 
+# Send the task code along with the task, so executors need no installed package.
+cloudpickle.register_pickle_by_value(voxcart)
+
 
 def node(text: Column, path: str) -> Column:
     """The node at ``path`` as a variant; NULL for bad JSON or a missing node."""
@@ -50,15 +58,21 @@ def strict_string(document: Column, path: str) -> Column:
     )
 
 
+def _repair(texts: pa.Array) -> pa.Array:
+    return pa.array([repair_json(text) for text in texts.to_pylist()], pa.string())
+
+
 def repaired(text: Column) -> Column:
-    """Model output as a variant: code fences and text around the object go."""
-    body = F.regexp_extract(text, r"(?s)(\{.*\})", 1)
-    no_trailing_comma = F.regexp_replace(body, r",(\s*[}\]])", "$1")
-    return F.coalesce(
-        F.try_parse_json(trim_space(text)),
-        F.try_parse_json(body),
-        F.try_parse_json(no_trailing_comma),
-    )
+    """Model output as a variant, whatever damage ``functions.repair`` knows.
+
+    Whole JSON, and an object with text or a code fence around it, is read where it is; only
+    what is damaged goes through the automaton, one text at a time.
+    """
+    whole = F.try_parse_json(trim_space(text))
+    inside = F.try_parse_json(F.regexp_extract(text, r"(?s)(\{.*\})", 1))
+    fix = F.arrow_udf(_repair, "string", PythonEvalType.SQL_SCALAR_ARROW_UDF)
+    damaged = F.when(whole.isNull() & inside.isNull(), text)
+    return F.coalesce(whole, inside, F.try_parse_json(fix(damaged)))
 
 
 def unwrap(document: Column) -> Column:
