@@ -7,7 +7,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from voxcart.operators import cases, customers, lineage, refunds, reviews
+from voxcart.operators import cases, customers, lineage, pairing, refunds, reviews
 from voxcart.sources.landing import dedupe
 
 
@@ -104,7 +104,7 @@ def test_pairing_splits_the_hot_review(spark, forced_skew):
         F.col("id").cast("string").alias("response"),
         F.timestamp_seconds("id").alias("publish_time"),
     )
-    df = lineage.pair_with_response(messages.drop("response"), messages)
+    df = lineage.with_latest_response(messages.drop("response"), messages)
     assert re.search(r"skew=true", final_plan(df))
     assert df.count() == 30000
     assert df.where("review_id = 'hot'").first().response == "29997"
@@ -157,3 +157,14 @@ def test_dedupe_combines_copies_on_the_map_side(spark):
     assert "partial_min_by" in out._jdf.queryExecution().executedPlan().toString()
     assert out.count() == 6001
     assert out.where("message_id = 'hot'").first().body == 0
+
+
+def test_pairing_in_order_uses_a_task_per_stretch_of_a_hot_key(spark):
+    events = spark.range(0, 40_000, 1, 8).select(
+        F.lit("hot").alias("review_id"), F.col("id").cast("string").alias("response"),
+        F.timestamp_seconds(F.col("id") * 10).alias("publish_time"),
+    )
+    out = pairing.pair_in_order(events.drop("response"), events)
+    assert out.where("response IS NULL OR response_time != publish_time").count() == 0
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"hashpartitioning\(key#\d+, stretch#\d+", plan)

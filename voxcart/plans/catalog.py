@@ -21,12 +21,16 @@ from voxcart.operators import (
     cases,
     customers,
     documents,
+    files,
     lineage,
     messages,
+    neighbours,
+    outbox,
+    pairing,
     refunds,
     reviews,
 )
-from voxcart.operators.inference import RESULT, STATUS, apply_model, embed
+from voxcart.operators.inference import RESULT, STATUS, AnswerStore, apply_model, embed
 from voxcart.plans import local_models as models
 from voxcart.plans.standins import (
     AS_OF,
@@ -40,11 +44,22 @@ from voxcart.plans.standins import (
     SEGMENTATION,
     STREAM_AS_OF,
     StandIns,
+    key,
 )
-from voxcart.session import SETTINGS, checkpoint_root
-from voxcart.sources.landing import decode, dedupe, read_hourly, with_hour, write_hourly
-from voxcart.sources.tables import run_query
+from voxcart.session import SETTINGS, checkpoint_root, materialize
+from voxcart.sources.files import list_files
+from voxcart.sources.landing import (
+    decode,
+    dedupe,
+    landing_table,
+    read_hourly,
+    read_landed,
+    with_hour,
+    write_hourly,
+)
+from voxcart.sources.tables import open_table, run_query, save_table, temp_table
 from voxcart.streaming import landing, totals
+from voxcart.streaming import pairing as stream_pairing
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -218,6 +233,37 @@ def refund_requests_repeated(s):
     return refunds.refund_decisions(claims)
 
 
+@query
+def refund_outbox(s):
+    """Events of claims that inputs repeat and that come in three batches: one for a request.
+
+    Products have a second image and name, e-mails a second user and the policy a tied version.
+    """
+    second = F.replace("uri", F.lit("gs://"), F.lit("zs://"))
+    rows = refunds.refund_eligibility(
+        s.refund_requests.unionByName(s.refund_requests),
+        s.order_items.unionByName(s.order_items.withColumn("user_id", F.concat("user_id", F.lit("z")))),
+        s.inventory_images.unionByName(s.inventory_images.select(second.alias("uri"))),
+        s.products.unionByName(s.products.withColumn("name", F.concat("name", F.lit(" again")))),
+        s.users.unionByName(s.users.withColumn("id", F.concat("id", F.lit("z")))),
+        s.policy.unionByName(
+            s.policy.withColumn("service_policy_text", F.concat("service_policy_text", F.lit(" z")))
+        ),
+        AS_OF,
+        digits=DIGITS,
+    )
+    claims = refunds.answer_claims(refunds.claim_prompts(rows, IMAGE_ROOT), models.yes_or_no)
+    events = materialize(refunds.refund_events(refunds.refund_decisions(claims)))
+    path = _scratch(s, "outbox")
+    half = F.xxhash64("key") % 2 == 0
+    for number, batch in enumerate((events.where(half), events.where(half), events)):
+        outbox.admit(s.spark, path, batch, "claims", number)
+    outbox.admit(s.spark, path, events, "claims", 1)
+    sent = outbox.outbox(s.spark, path).read()
+    landed = decode(sent.withColumnRenamed("value", "data"), schemas.REFUNDS)
+    return landed.select("product_id", "product_name", "refund_amount", "order_id", "email")
+
+
 @query
 def refund_claim_messages(s):
     """Prompt messages of refund claims, read back the same way."""
@@ -403,7 +449,17 @@ def segment_customers_kmeans(s):
     assigned = customers.assign_segments(features, customers.fit_segments(features))
     return assigned.groupBy("centroid_id").agg(
         F.count("*").alias("customers"),
-        *[F.avg(name).alias(name) for name in customers.FEATURES],
+        *[F.round(F.avg(name), 6).alias(name) for name in customers.FEATURES],
+    )
+
+
+@query
+def kmeans_seeds(s):
+    """The rows that k-means++ draws as first centres, in standardised units."""
+    features = _features(s, "item")
+    fitted = customers.fit_segments(features, rounds=0)
+    return customers.centroid_table(features, fitted).select(
+        "centroid_id", "feature", F.round("numerical_value", 6).alias("numerical_value")
     )
 
 
@@ -520,6 +576,33 @@ def clean_prompts_flat(s):
     )
 
 
+@query
+def response_originals(s):
+    """The whole message and its rating, as JSON text with sorted keys."""
+    out = lineage.clean_responses(s.response_messages, STREAM_AS_OF)
+    return out.select(
+        "message_id",
+        F.to_json("original_message").alias("original_message"),
+        F.to_json("safety_attributes").alias("safety_attributes"),
+    )
+
+
+@query
+def repaired_answers(s):
+    """Answers damaged in eight ways, and what is read out of them."""
+    return _repaired(s.damaged_answers)
+
+
+def _repaired(answers: DataFrame) -> DataFrame:
+    document = payload.repaired(F.col("answer"))
+    return answers.withColumn("document", document).select(
+        "event_id",
+        F.try_variant_get("document", "$.id", "bigint").alias("id"),
+        payload.strict_string(F.col("document"), "$.kind").alias("kind"),
+        payload.strict_string(F.col("document"), "$.note").alias("note"),
+    )
+
+
 @query
 def safety_flatten(s):
     out = lineage.flatten_safety(lineage.clean_responses(s.response_messages, STREAM_AS_OF))
@@ -587,11 +670,40 @@ def hourly_refunds(s):
 def prompt_response_pairs(s):
     prompts = lineage.clean_prompts(s.prompt_messages, STREAM_AS_OF)
     responses = lineage.clean_responses(s.response_messages, STREAM_AS_OF)
-    return lineage.pair_with_response(
+    return lineage.with_latest_response(
         prompts.select("publish_time", "review_id", "prompt"), responses
     )
 
 
+@query
+def prompts_paired(s):
+    """Each prompt with its own response, which comes some time later."""
+    prompts = lineage.clean_prompts(s.prompt_messages, STREAM_AS_OF)
+    responses = lineage.clean_responses(s.late_responses, STREAM_AS_OF)
+    return pairing.pair_in_order(
+        prompts.select("publish_time", "review_id", "prompt"),
+        responses,
+        response_tie=("message_id",),
+        answer=("message_id", "response"),
+    )
+
+
+@query
+def refund_prompts_paired(s):
+    """The same for refund claims, by order, product and user."""
+    prompts = decode(s.refund_prompt_messages, schemas.REFUNDS_PROMPTS)
+    responses = decode(s.refund_response_messages, schemas.REFUNDS_RESPONSES)
+    return pairing.pair_in_order(
+        prompts.select("message_id", "publish_time", "order_id", "product_id", "user_id"),
+        responses.withColumnRenamed("message_id", "response_id"),
+        keys=("order_id", "product_id", "user_id"),
+        prompt_tie=("message_id",),
+        response_tie=("response_id",),
+        answer=("response_id", "response"),
+        stretch="6 hours",
+    )
+
+
 @query
 def exchange_summary(s):
     return totals.exchange_summary(
@@ -629,7 +741,7 @@ def _landed(s, name: str, schema) -> DataFrame:
     landing.land_messages(
         messages.unionByName(messages), schema, f"{path}/table", f"{path}/checkpoint"
     ).awaitTermination()
-    return read_hourly(s.spark, f"{path}/table", schema=schema)
+    return read_landed(s.spark, f"{path}/table", schema)
 
 
 @query
@@ -649,16 +761,16 @@ def stream_landing_responses(s):
 
 @query
 def stream_landing_refund_prompts(s):
-    """The prompt events read by the schema of refund prompts."""
-    return _landed(s, "prompt_messages", schemas.REFUNDS_PROMPTS).select(
-        "message_id", "publish_time", "prompt", "model_version", "policy_version"
+    return _landed(s, "refund_prompt_messages", schemas.REFUNDS_PROMPTS).select(
+        "message_id", "publish_time", "order_id", "product_id", "user_id", "prompt",
+        "model_version", "policy_version", "feedback_embedding", "request_image_uri",
     )
 
 
 @query
 def stream_landing_refund_responses(s):
-    return _landed(s, "response_messages", schemas.REFUNDS_RESPONSES).select(
-        "message_id", "publish_time", "response"
+    return _landed(s, "refund_response_messages", schemas.REFUNDS_RESPONSES).select(
+        "message_id", "publish_time", "order_id", "product_id", "user_id", "response"
     )
 
 
@@ -677,7 +789,157 @@ def stream_hourly_refunds(s):
     totals.publish_totals(
         totals.hourly_refunds(refund_stream), f"{path}/table", f"{path}/checkpoint"
     ).awaitTermination()
-    return s.spark.read.parquet(f"{path}/table")
+    return totals.totals_table(s.spark, f"{path}/table").read()
+
+
+@query
+def totals_corrected(s):
+    """Totals of a first half, put right by the hours that the landing has touched since."""
+    path = _scratch(s, "corrected")
+    landed = decode(s.refund_messages, schemas.REFUNDS)
+    table = landing_table(s.spark, f"{path}/landed", schemas.REFUNDS)
+    early = F.xxhash64("message_id") % 2 == 0
+    table.admit(landed.where(early), "halves", 0)
+    seen = totals.correct_totals(s.spark, table.path, schemas.REFUNDS, f"{path}/totals")
+    table.admit(landed.where(~early), "halves", 1)
+    table.admit(landed, "replay", 0)
+    totals.correct_totals(s.spark, table.path, schemas.REFUNDS, f"{path}/totals", seen)
+    return totals.totals_table(s.spark, f"{path}/totals").read()
+
+
+@query
+def stream_pairs(s):
+    """Pairs from two streams, with state kept by key until the watermark has passed."""
+    path = _scratch(s, "pairs")
+    streams = _Streams(s.spark, s.folder)
+    prompts = decode(streams.prompt_messages, schemas.REVIEWS_PROMPTS)
+    responses = decode(streams.late_responses, schemas.REVIEWS_RESPONSES)
+    pairs = stream_pairing.pair_stream(prompts, responses, delay="0 seconds", timeout="1000 days")
+    stream_pairing.keep_pairs(pairs, path, f"{path}/checkpoint").awaitTermination()
+    done, _ = stream_pairing.exchange_tables(s.spark, path)
+    return done.read().select(
+        F.get_json_object("key", "$[0]").alias("review_id"),
+        F.col("id").alias("prompt_id"), F.col("at").alias("prompt_time"),
+        "response_id", "response_time", "kind",
+    )
+
+
+# Tables
+
+
+@query
+def raw_prompts_read(s):
+    """The landing table of prompts, landed in two batches of which one comes twice."""
+    table = landing_table(s.spark, _scratch(s, "prompts"), schemas.REVIEWS_PROMPTS)
+    rows = decode(s.prompt_messages, schemas.REVIEWS_PROMPTS)
+    early = F.xxhash64("message_id") % 2 == 0
+    for number, batch in enumerate((rows.where(early), rows, rows.where(~early))):
+        table.admit(batch, "deliveries", number)
+    return read_landed(s.spark, table.path, schemas.REVIEWS_PROMPTS)
+
+
+@query
+def landing_compacted(s):
+    """Hours that came in many small files, packed; a reader before and one after."""
+    path = _scratch(s, "compacted")
+    table = landing_table(s.spark, path, schemas.REFUNDS)
+    rows = decode(s.refund_messages, schemas.REFUNDS)
+    for number in range(3):
+        table.admit(rows.where(F.pmod(F.xxhash64("message_id"), F.lit(3)) == number), "thirds", number)
+    before = table.read()
+    table.compact()
+    after = read_landed(s.spark, path, schemas.REFUNDS)
+    hour = F.date_trunc("hour", "publish_time").alias("publish_hour")
+    counts = [
+        df.groupBy(hour).agg(F.count("*").alias(name), F.sum("refund_amount").alias(f"{name}_amount"))
+        for df, name in ((before, "before"), (after, "after"))
+    ]
+    fewer = F.lit(len(after.inputFiles()) < len(before.inputFiles())).cast("string").alias("fewer_files")
+    return counts[0].join(counts[1], "publish_hour", "full").select(
+        "publish_hour", "before", "before_amount", "after", "after_amount", fewer
+    )
+
+
+@query
+def saved_tables(s):
+    """A table built, built again from itself, and read as it was and as it is."""
+    name = f"saved_users_{uuid.uuid4().hex}"
+    people = s.users.select("id", "email", "age")
+    first = save_table(people, name)
+    second = save_table(first.withColumn("age", F.col("age") + 1), name)
+    old = first.select("id", F.col("age").alias("age_before"))
+    return open_table(s.spark, name).join(old, "id").select(
+        "id", "email", "age_before", "age", F.lit(str(first.count() == second.count()).lower()).alias("whole")
+    )
+
+
+@query
+def temp_tables(s):
+    """A session table that holds a result, read twice by SQL."""
+    name = f"order_totals_{uuid.uuid4().hex}"
+    temp_table(
+        s.order_items.groupBy("order_id").agg(F.sum("sale_price").alias("total")), name
+    )
+    return s.spark.sql(
+        f"SELECT order_id, total FROM {name} WHERE total > (SELECT avg(total) FROM {name})"
+    )
+
+
+def _images(s) -> str:
+    """Web pages as PNG files whose comment is a digest of the page; the folder."""
+    folder = f"{_scratch(s, 'images')}/pages"
+    png = F.arrow_udf(models.png_files, "binary")
+    files.write_files(
+        s.table("pages").select(
+            F.concat(F.lit(f"{folder}/"), key("page_id"), F.lit(".png")).alias("uri"),
+            png(F.md5("html")).alias("content"),
+        )
+    )
+    return folder
+
+
+@query
+def image_embeddings(s):
+    """PNG files written, listed and embedded by their content: 1408 numbers each."""
+    listing = list_files(s.spark, _images(s))
+    out = files.embed_files(listing, models.image_vector)
+    return out.select(
+        text.uri_key("uri", DIGITS).alias("page_id"),
+        F.size("embedding").cast("bigint").alias("numbers"),
+        F.aggregate("embedding", F.lit(0.0), lambda total, x: total + x).alias("total"),
+        "status",
+    )
+
+
+@query
+def image_texts(s):
+    """The same files read by a model of text in images, and cleaned."""
+    found = files.map_files(list_files(s.spark, _images(s)), models.image_text)
+    return found.select(
+        text.uri_key("uri", DIGITS).alias("page_id"),
+        text.clean_page_text(payload.scalar(F.col("answer"), documents.PAGE_TEXT)).alias("page_text"),
+    )
+
+
+@query
+def nearest_vectors(s):
+    """The ten nearest vectors of every hundredth one, by all lists of the index."""
+    vectors = s.table("embeddings")
+    index = neighbours.build_index(vectors, "vec_id", "embedding")
+    return neighbours.search(index, vectors.where("vec_id % 100 = 0"), "vec_id", "embedding")
+
+
+@query
+def nearest_vectors_recall(s):
+    """How many of them half of the lists find."""
+    vectors = s.table("embeddings")
+    index = neighbours.build_index(vectors, "vec_id", "embedding")
+    asked = vectors.where("vec_id % 100 = 0")
+    exact = neighbours.search(index, asked, "vec_id", "embedding")
+    some = neighbours.search(index, asked, "vec_id", "embedding", probes=neighbours.LISTS // 2)
+    return neighbours.recall(some, exact).select(
+        "queries", (F.col("recall") >= 0.9).cast("string").alias("recall_of_nine_tenths")
+    )
 
 
 # Models
@@ -691,6 +953,23 @@ def apply_model_local(s):
     )
 
 
+@query
+def answers_kept(s):
+    """Answers of a first run, and what a second one over more rows still had to ask."""
+    store = AnswerStore(s.spark, _scratch(s, "answers"), "m1")
+    docs = s.table("documents")
+    half = F.xxhash64("text") % 2 == 0
+    first = store.ask(docs.where(half), "text", models.echo_digest)
+    second = store.ask(docs, "text", models.echo_digest)
+    third = store.ask(docs, "text", models.echo_digest)
+    out = apply_model(docs, "text", models.echo_digest, store=store)
+    return out.select(
+        "doc_id", F.col(RESULT).alias("answer"), F.col(STATUS).alias("status"),
+        F.lit(first + second).cast("bigint").alias("asked"),
+        F.lit(third).cast("bigint").alias("asked_again"),
+    )
+
+
 @query
 def apply_model_distinct(s):
     """The same with every distinct text asked once and joined back."""
@@ -727,7 +1006,7 @@ def uri_functions(s):
     return s.inventory_images.select(
         "uri",
         text.uri_key("uri", DIGITS).alias("product_id"),
-        text.uri_key("uri").alias("three_digits"),
+        text.uri_key("uri", tail=True).alias("three_digits"),
         text.join_uri(IMAGE_ROOT, "/", text.uri_key("uri", DIGITS), "_refund_request.png").alias(
             "photo"
         ),

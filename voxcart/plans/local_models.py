@@ -8,6 +8,10 @@ from __future__ import annotations
 
 import hashlib
 import json
+import struct
+import zlib
+
+import pyarrow as pa
 
 
 def digest(text: str) -> str:
@@ -100,3 +104,33 @@ def page_text(inputs: list[str], **options) -> list[str]:
 
 def length_vector(inputs: list[str], **options) -> list[list[float]]:
     return [[float(len(text)), 0.5] for text in inputs]
+
+
+def _chunk(kind: bytes, data: bytes) -> bytes:
+    return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+
+
+def png_files(comments: pa.Array) -> pa.Array:
+    """PNG files of one grey pixel that carry a comment."""
+    head = b"\x89PNG\r\n\x1a\n" + _chunk(b"IHDR", struct.pack(">IIBBBBB", 1, 1, 8, 0, 0, 0, 0))
+    tail = _chunk(b"IDAT", zlib.compress(b"\x00\x80")) + _chunk(b"IEND", b"")
+    return pa.array(
+        [head + _chunk(b"tEXt", b"Comment\x00" + c.encode()) + tail for c in comments.to_pylist()],
+        pa.binary(),
+    )
+
+
+def png_comment(content: bytes) -> str:
+    at = content.index(b"tEXt")
+    (size,) = struct.unpack(">I", content[at - 4 : at])
+    return content[at + 4 : at + 4 + size].partition(b"\x00")[2].decode()
+
+
+def image_vector(contents: list[bytes], **options) -> list[list[float]]:
+    """1408 numbers from the digest of an image's comment."""
+    digests = [digest(png_comment(c)) for c in contents]
+    return [[int(d[i % 32], 16) / 16 for i in range(1408)] for d in digests]
+
+
+def image_text(contents: list[bytes], **options) -> list[str]:
+    return detected_text([png_comment(c) for c in contents])

@@ -7,6 +7,7 @@ lists what it needs and gets it as common table expressions.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from string import Formatter
 
 from voxcart.functions.text import MISSING, WHITESPACE
@@ -171,11 +172,106 @@ def rating(quote: str) -> str:
     return "'[' || " + " || ',' || ".join(parts) + " || ']'"
 
 
-def envelope(body: str) -> str:
+LATER = "ts + to_minutes(CAST(floor(value) AS INTEGER))"
+
+
+def envelope(body: str, time: str = "ts", wanted: str = "true") -> str:
     return f"""
-        SELECT CAST(event_id AS VARCHAR) AS message_id, ts AS publish_time,
+        SELECT CAST(event_id AS VARCHAR) AS message_id, {time} AS publish_time,
                'write-' || event_type AS subscription_name, props AS attributes, {body} AS data
-        FROM events"""
+        FROM events WHERE {wanted}"""
+
+
+def response_body() -> str:
+    return f"""'{{"review_id":"' || CAST(user_id AS VARCHAR) || '","response":'
+        || CASE WHEN event_type = 'click' THEN '[' || CAST(value AS VARCHAR) || ']'
+                ELSE '"[answer] ' || CAST(value AS VARCHAR) || '"' END
+        || ',"safety_attributes":'
+        || CASE WHEN event_type = 'view' THEN '"' || {rating(chr(92) + '"')} || '"'
+                ELSE {rating('"')} END
+        || CASE WHEN event_type = 'error' THEN ''
+                ELSE ',"embedding":"[[' || CAST(value AS VARCHAR) || ']]"' END || '}}'"""
+
+
+def paired(prompts: str, responses: str, keys: list[str]) -> str:
+    """Numbers of prompts and of the prompts that responses are for: a queue by running sums.
+
+    ``prompts`` and ``responses`` have ``id, moment``; the result ``prompt_id, response_id``.
+    """
+    by = ", ".join(keys)
+    order = f"PARTITION BY {by} ORDER BY moment, step DESC, id ROWS UNBOUNDED PRECEDING"
+    before = f"PARTITION BY {by} ORDER BY moment, step DESC, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+    return f"""
+        (WITH both_sides AS (
+           SELECT {by}, id, moment, 1 AS step FROM ({prompts}) UNION ALL
+           SELECT {by}, id, moment, -1 FROM ({responses})),
+         levels AS (
+           SELECT *, sum(step) OVER ({order}) AS level,
+                  count(*) FILTER (step = 1) OVER ({order}) AS asked,
+                  count(*) FILTER (step = -1) OVER ({order}) AS given FROM both_sides),
+         lows AS (
+           SELECT *, least(min(level) OVER ({order}), 0) AS low,
+                  least(coalesce(min(level) OVER ({before}), 0), 0) AS low_before FROM levels),
+         turns AS (
+           SELECT *, CASE WHEN step = 1 THEN asked WHEN low = low_before THEN given + low END AS turn
+           FROM lows)
+         SELECT p.id AS prompt_id, r.id AS response_id
+         FROM turns p JOIN turns r ON p.step = 1 AND r.step = -1 AND p.turn = r.turn
+          AND {" AND ".join(f"p.{k} = r.{k}" for k in keys)})"""
+
+
+def kmeans(rounds: int, seed: int = 42) -> tuple[str, Callable[[str], str]]:
+    """Common table expressions: ``scaled`` rows, and the centres ``c0`` to ``c<rounds>``."""
+    names = customers.FEATURES
+    stats = ", ".join(
+        f"avg(CAST({n} AS DOUBLE)) AS m_{n}, sqrt(var_pop(CAST({n} AS DOUBLE)) * count({n}) "
+        f"/ (count(*) - 1)) AS s_{n}" for n in names
+    )
+    scaled = ", ".join(
+        f"(CAST({n} AS DOUBLE) - m_{n}) / CASE WHEN s_{n} > 0 THEN s_{n} ELSE 1 END AS {n}" for n in names
+    )
+
+    def gap(centre: str) -> str:
+        return " + ".join(f"(s.{n} - {centre}.{n}) * (s.{n} - {centre}.{n})" for n in names)
+
+    parts = [
+        f"stats AS MATERIALIZED (SELECT {stats} FROM features_item)",
+        f"scaled AS MATERIALIZED (SELECT user_id, {scaled} FROM features_item, stats)",
+    ]
+    for turn in range(customers.SEGMENTS):
+        drawn = (
+            f"(CAST('0x' || substr(md5('{seed}|{turn}|' || user_id), 1, 13) AS BIGINT) + 0.5::DOUBLE)"
+            f" / {float(1 << 52)!r}::DOUBLE"
+        )
+        if turn:
+            source = "scaled s, " + ", ".join(f"seed{i}" for i in range(turn))
+            weight = "least(" + ", ".join(gap(f"seed{i}") for i in range(turn)) + ")"
+            wait = f"CASE WHEN {weight} > 0 THEN -ln({drawn}) / {weight} END"
+        else:
+            source, wait = "scaled s", f"-ln({drawn})"
+        parts.append(
+            f"seed{turn} AS MATERIALIZED (SELECT {', '.join(f's.{n}' for n in names)} FROM {source} "
+            f"ORDER BY {wait} NULLS LAST, {drawn}, user_id LIMIT 1)"
+        )
+    parts.append(
+        "c0 AS MATERIALIZED ("
+        + " UNION ALL ".join(
+            f"SELECT {i + 1} AS cid, * FROM seed{i}" for i in range(customers.SEGMENTS)
+        )
+        + ")"
+    )
+    for r in range(1, rounds + 1):
+        parts.append(
+            f"a{r} AS (SELECT s.*, c.cid FROM scaled s, c{r - 1} c QUALIFY row_number() OVER "
+            f"(PARTITION BY user_id ORDER BY {gap('c')}, c.cid) = 1)"
+        )
+        means = ", ".join(f"coalesce(any_value(m.{n}), any_value(c.{n})) AS {n}" for n in names)
+        sums = ", ".join(f"avg({n}) AS {n}" for n in names)
+        parts.append(
+            f"c{r} AS MATERIALIZED (SELECT c.cid, {means} FROM c{r - 1} c LEFT JOIN "
+            f"(SELECT cid, {sums} FROM a{r} GROUP BY cid) m ON m.cid = c.cid GROUP BY c.cid)"
+        )
+    return ", ".join(parts), gap
 
 
 CLEAN_PAGE = r"regexp_replace(replace(page_text, chr(10), ' '), '[•●]', '', 'g')"
@@ -366,14 +462,19 @@ VIEWS = {
         || CASE WHEN event_type = 'error' THEN ''
                 ELSE ',"text_embed":"[[' || CAST(value AS VARCHAR) || ', 0.5]]"' END
         || ',"review_embed":"[[0.25]]","image_embed":"[0.125]"}'"""),
-    "fx_responses": envelope(f"""'{{"review_id":"' || CAST(user_id AS VARCHAR) || '","response":'
-        || CASE WHEN event_type = 'click' THEN '[' || CAST(value AS VARCHAR) || ']'
-                ELSE '"[answer] ' || CAST(value AS VARCHAR) || '"' END
-        || ',"safety_attributes":'
-        || CASE WHEN event_type = 'view' THEN '"' || {rating(chr(92) + '"')} || '"'
-                ELSE {rating('"')} END
-        || CASE WHEN event_type = 'error' THEN ''
-                ELSE ',"embedding":"[[' || CAST(value AS VARCHAR) || ']]"' END || '}}'"""),
+    "fx_responses": envelope(response_body()),
+    "fx_late_responses": envelope(response_body(), LATER, "event_type <> 'view'"),
+    "fx_claim_prompts": f"""
+        SELECT CAST(event_id AS VARCHAR) AS message_id, ts AS publish_time,
+               {key('user_id % 16')} AS order_id, event_type AS product_id,
+               {key('user_id')} AS user_id, 'Is it broken? ' || event_type AS prompt,
+               {literal(IMAGE_ROOT + '/')} || {key('event_id')} || '.png' AS request_image_uri
+        FROM events""",
+    "fx_claim_responses": f"""
+        SELECT CAST(event_id AS VARCHAR) AS message_id, {LATER} AS publish_time,
+               {key('user_id % 16')} AS order_id, event_type AS product_id,
+               {key('user_id')} AS user_id, 'answer ' || CAST(event_id AS VARCHAR) AS response
+        FROM events WHERE event_type <> 'error'""",
     "cleaned_prompts": f"""
         SELECT message_id, publish_time, {scalar('data', '$.review_id')} AS review_id,
                {trim_space(scalar('data', '$.prompt'))} AS prompt,
@@ -390,6 +491,10 @@ VIEWS = {
                attributes, {hours_since('publish_time')} AS hours_since_prompt,
                {vector('data', 'embedding')} AS response_embedding, data
         FROM fx_responses WHERE {vector('data', 'embedding')} IS NOT NULL""",
+    "cleaned_late_responses": f"""
+        SELECT message_id, publish_time, {scalar('data', '$.review_id')} AS review_id,
+               {scalar('data', '$.response')} AS response
+        FROM fx_late_responses WHERE {vector('data', 'embedding')} IS NOT NULL""",
     "fx_refunds": f"""
         SELECT CAST(event_id AS VARCHAR) AS message_id, ts AS publish_time,
                {key('user_id')} AS product_id,
@@ -449,6 +554,54 @@ def _vector_text(expression: str) -> str:
     return f"'[' || CAST(length({expression}) AS VARCHAR) || '.0,0.5]'"
 
 
+def _kmeans_seeds() -> str:
+    parts, _ = kmeans(0)
+    values = " UNION ALL ".join(
+        f"SELECT CAST(cid AS BIGINT) AS centroid_id, '{n}' AS feature, "
+        f"round({n} * CASE WHEN s_{n} > 0 THEN s_{n} ELSE 1 END + m_{n}, 6) AS numerical_value "
+        "FROM c0, stats"
+        for n in customers.FEATURES
+    )
+    return f"SELECT * FROM (WITH {parts} {values})"
+
+
+def _kmeans_segments() -> str:
+    parts, gap = kmeans(customers.ROUNDS)
+    means = ", ".join(f"round(avg(f.{n}), 6) AS {n}" for n in customers.FEATURES)
+    return f"""SELECT * FROM (WITH {parts},
+      last AS (SELECT s.user_id, c.cid FROM scaled s, c{customers.ROUNDS} c QUALIFY row_number() OVER
+               (PARTITION BY user_id ORDER BY {gap('c')}, c.cid) = 1)
+      SELECT CAST(cid AS BIGINT) AS centroid_id, count(*) AS customers, {means}
+      FROM last JOIN features_item f ON f.user_id = last.user_id GROUP BY cid)"""
+
+
+def _originals() -> str:
+    # Numbers come out without a zero behind the point.
+    def ordered(place: int) -> str:
+        at = f"'$[{place}].{{}}'"
+        blocked, probability, severity = (
+            f"json_extract_string(safety, {at.format(n)})"
+            for n in ("blocked", "probability_score", "severity_score")
+        )
+        return (
+            f"""'{{"blocked":' || {blocked} || ',"probability_score":' """
+            f"""|| regexp_replace({probability}, '\\.0$', '') || ',"severity_score":' || {severity} || '}}'"""
+        )
+
+    ratings = "'[' || " + " || ',' || ".join(ordered(i) for i in range(4)) + " || ']'"
+    rating_text = f"CASE WHEN is_text THEN CAST(safety AS VARCHAR) ELSE {ratings} END"
+    return f"""
+        SELECT message_id, '{{"embedding":' || CAST(json_extract(data, '$.embedding') AS VARCHAR)
+               || ',"response":'
+               || regexp_replace(CAST(json_extract(data, '$.response') AS VARCHAR), '\\.0\\]$', ']')
+               || ',"review_id":' || CAST(json_extract(data, '$.review_id') AS VARCHAR)
+               || ',"safety_attributes":' || {rating_text} || '}}' AS original_message,
+               {rating_text} AS safety_attributes
+        FROM (SELECT *, json_extract(data, '$.safety_attributes') AS safety,
+                     json_type(data, '$.safety_attributes') = 'VARCHAR' AS is_text
+              FROM cleaned_responses)"""
+
+
 _RESOLUTION_BODY = (
     "'Here it is:' || chr(10) || '```json' || chr(10) || '{\"issue_resolution\": \"Replace ' "
     "|| md5(prompt) || '\", \"response_user_language\": \"Salut ' || substr(md5(prompt), 1, 4) "
@@ -599,6 +752,87 @@ BODIES = {
                  row_number() OVER (PARTITION BY review_id ORDER BY publish_time DESC,
                                     response DESC NULLS LAST) AS rn
           FROM cleaned_responses) l ON l.review_id = p.review_id AND l.rn = 1""",
+    "prompts_paired": f"""
+        SELECT p.publish_time, p.review_id, p.prompt, r.publish_time AS response_time, r.message_id,
+               r.response
+        FROM cleaned_prompts p
+        LEFT JOIN {paired('SELECT review_id, message_id AS id, publish_time AS moment FROM cleaned_prompts',
+                          'SELECT review_id, message_id AS id, publish_time AS moment FROM cleaned_late_responses',
+                          ['review_id'])} m ON m.prompt_id = p.message_id
+        LEFT JOIN cleaned_late_responses r ON r.message_id = m.response_id""",
+    "refund_prompts_paired": f"""
+        SELECT p.message_id, p.publish_time, p.order_id, p.product_id, p.user_id,
+               r.publish_time AS response_time, r.message_id AS response_id, r.response
+        FROM fx_claim_prompts p
+        LEFT JOIN {paired('SELECT *, message_id AS id, publish_time AS moment FROM fx_claim_prompts',
+                          'SELECT *, message_id AS id, publish_time AS moment FROM fx_claim_responses',
+                          ['order_id', 'product_id', 'user_id'])} m ON m.prompt_id = p.message_id
+        LEFT JOIN fx_claim_responses r ON r.message_id = m.response_id""",
+    "stream_pairs": f"""
+        SELECT {scalar('p.data', '$.review_id')} AS review_id, p.message_id AS prompt_id,
+               p.publish_time AS prompt_time, r.message_id AS response_id,
+               r.publish_time AS response_time, 'pair' AS kind
+        FROM fx_prompts p
+        JOIN {paired("SELECT json_extract_string(data, '$.review_id') AS review_id, message_id AS id, "
+                     "publish_time AS moment FROM fx_prompts",
+                     "SELECT json_extract_string(data, '$.review_id') AS review_id, message_id AS id, "
+                     "publish_time AS moment FROM fx_late_responses",
+                     ['review_id'])} m ON m.prompt_id = p.message_id
+        JOIN fx_late_responses r ON r.message_id = m.response_id
+        WHERE r.publish_time < (SELECT date_trunc('milliseconds', max(publish_time)) FROM (
+          SELECT publish_time FROM fx_prompts UNION ALL SELECT publish_time FROM fx_late_responses))""",
+    "raw_prompts_read": f"""
+        SELECT message_id, publish_time, {scalar('data', '$.review_id')} AS review_id,
+               {scalar('data', '$.prompt')} AS prompt, 'm1' AS model_version,
+               CAST(1 AS DOUBLE) AS policy_version, subscription_name, attributes,
+               CAST(NULL AS VARCHAR) AS prompt_embedding, CAST(NULL AS VARCHAR) AS review_embedding,
+               CAST(NULL AS VARCHAR) AS image_embedding
+        FROM fx_prompts""",
+    "landing_compacted": """
+        SELECT date_trunc('hour', publish_time) AS publish_hour, count(*) AS before,
+               sum(refund_amount) AS before_amount, count(*) AS after,
+               sum(refund_amount) AS after_amount, 'true' AS fewer_files
+        FROM fx_refunds GROUP BY 1""",
+    "totals_corrected": "SELECT date_trunc('hour', publish_time) AS publish_hour, "
+    "count(*) AS refunds, sum(refund_amount) AS amount FROM fx_refunds GROUP BY ALL",
+    "saved_tables": "SELECT id, email, age AS age_before, age + 1 AS age, 'true' AS whole FROM fx_users",
+    "temp_tables": """
+        SELECT order_id, total FROM (
+          SELECT order_id, sum(sale_price) AS total, avg(sum(sale_price)) OVER () AS mean
+          FROM fx_order_items GROUP BY order_id) WHERE total > mean""",
+    "image_embeddings": f"""
+        SELECT {key('page_id')} AS page_id, CAST(1408 AS BIGINT) AS numbers,
+               44.0::DOUBLE * list_sum(list_transform(range(1, 33),
+                 lambda i: instr('0123456789abcdef', substr(md5(md5(html)), i, 1)) - 1)) / 16 AS total,
+               '' AS status
+        FROM pages""",
+    "image_texts": f"""
+        SELECT {key('page_id')} AS page_id, ' Page ' || md5(md5(html)) AS page_text FROM pages""",
+    "nearest_vectors": """
+        SELECT query_id, CAST(row_number() OVER (
+                 PARTITION BY query_id ORDER BY similarity DESC, id) AS INTEGER) AS rank,
+               id, similarity
+        FROM (SELECT q.vec_id AS query_id, v.vec_id AS id,
+                     round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]),
+                                                  CAST(v.embedding AS DOUBLE[])), 9) AS similarity
+              FROM embeddings q, embeddings v WHERE q.vec_id % 100 = 0)
+        QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) <= 10""",
+    "nearest_vectors_recall": "SELECT count(*) AS queries, 'true' AS recall_of_nine_tenths "
+    "FROM embeddings WHERE vec_id % 100 = 0",
+    "refund_outbox": "SELECT product_id, product_name, refund_amount, order_id, email "
+    f"FROM ({_decision(False)}) WHERE decision = 'refund'",
+    "kmeans_seeds": _kmeans_seeds(),
+    "segment_customers_kmeans": _kmeans_segments(),
+    "response_originals": _originals(),
+    "repaired_answers": """
+        SELECT event_id, event_id AS id, event_type AS kind,
+               CASE event_id % 8 WHEN 3 THEN 'it''s ' || CAST(event_id AS VARCHAR) || chr(10)
+                 WHEN 6 THEN NULL WHEN 7 THEN NULL
+                 ELSE 'it''s ' || CAST(event_id AS VARCHAR) END AS note
+        FROM events""",
+    "answers_kept": "SELECT doc_id, md5(text) AS answer, '' AS status, "
+    "(SELECT count(DISTINCT text) FROM documents) AS asked, CAST(0 AS BIGINT) AS asked_again "
+    "FROM documents",
     "exchange_summary": """
         SELECT review_id, date_trunc('hour', publish_time) AS publish_hour,
                count(*) FILTER (is_prompt) AS prompts, count(*) FILTER (NOT is_prompt) AS responses,
@@ -620,12 +854,14 @@ BODIES = {
         SELECT message_id, publish_time, {scalar('data', '$.review_id')} AS review_id,
                json_extract_string(data, '$.response') AS response
         FROM fx_responses""",
-    "stream_landing_refund_prompts": f"""
-        SELECT message_id, publish_time, {scalar('data', '$.prompt')} AS prompt,
-               'm1' AS model_version, CAST(1 AS DOUBLE) AS policy_version FROM fx_prompts""",
+    "stream_landing_refund_prompts": """
+        SELECT message_id, publish_time, order_id, product_id, user_id, prompt,
+               'm1' AS model_version, CAST(1 AS DOUBLE) AS policy_version,
+               '[0.25]' AS feedback_embedding, request_image_uri
+        FROM fx_claim_prompts""",
     "stream_landing_refund_responses": """
-        SELECT message_id, publish_time, json_extract_string(data, '$.response') AS response
-        FROM fx_responses""",
+        SELECT message_id, publish_time, order_id, product_id, user_id, response
+        FROM fx_claim_responses""",
     "stream_landing_refunds": """
         SELECT message_id, publish_time, product_id, refund_amount, order_id, email
         FROM fx_refunds""",

@@ -56,6 +56,9 @@ def email(custkey: Column) -> Column:
     return F.concat(F.lit("customer"), key(custkey), F.lit("@example.com"))
 
 
+# Time of a response: the event's value is its delay in minutes.
+LATER = "CAST(ts AS TIMESTAMP) + make_dt_interval(0, 0, CAST(floor(value) AS INT), 0)"
+
 # Column types of the test tables, read from the files once.
 _SCHEMAS: dict[tuple[str, str], T.StructType] = {}
 
@@ -276,10 +279,13 @@ class StandIns:
             ),
         )
 
-    def _envelope(self, body: Column) -> DataFrame:
-        return self.table("events").select(
+    def _envelope(
+        self, body: Column, time: str = "CAST(ts AS TIMESTAMP)", wanted: Column | None = None
+    ) -> DataFrame:
+        events = self.table("events")
+        return (events if wanted is None else events.where(wanted)).select(
             F.col("event_id").cast("string").alias("message_id"),
-            F.col("ts").cast("timestamp").alias("publish_time"),
+            F.expr(time).alias("publish_time"),
             F.concat(F.lit("write-"), "event_type").alias("subscription_name"),
             F.col("props").alias("attributes"),
             body.alias("data"),
@@ -310,6 +316,9 @@ class StandIns:
         Views carry the rating as JSON text inside the body, errors no embedding
         and clicks a response that is no scalar.
         """
+        return self._envelope(self._response_body())
+
+    def _response_body(self) -> Column:
         value = F.col("value").cast("string")
 
         def rating(quote: str) -> Column:
@@ -332,20 +341,80 @@ class StandIns:
         response = F.when(
             F.col("event_type") == "click", F.concat(F.lit("["), value, F.lit("]"))
         ).otherwise(F.concat(F.lit('"[answer] '), value, F.lit('"')))
-        return self._envelope(
-            F.concat(
-                F.lit('{"review_id":"'),
-                F.col("user_id").cast("string"),
-                F.lit('","response":'),
-                response,
-                F.lit(',"safety_attributes":'),
-                safety,
-                F.when(F.col("event_type") == "error", "").otherwise(
-                    F.concat(F.lit(',"embedding":"[['), value, F.lit(']]"'))
+        return F.concat(
+            F.lit('{"review_id":"'),
+            F.col("user_id").cast("string"),
+            F.lit('","response":'),
+            response,
+            F.lit(',"safety_attributes":'),
+            safety,
+            F.when(F.col("event_type") == "error", "").otherwise(
+                F.concat(F.lit(',"embedding":"[['), value, F.lit(']]"'))
+            ),
+            F.lit("}"),
+        )
+
+    @cached_property
+    def late_responses(self) -> DataFrame:
+        """The responses after as many minutes as the event's value says; views have none."""
+        return self._envelope(self._response_body(), LATER, F.col("event_type") != "view")
+
+    @cached_property
+    def refund_prompt_messages(self) -> DataFrame:
+        """Events as prompts of refund claims; few orders share many of them."""
+        body = F.to_json(
+            F.struct(
+                F.lit("[0.25]").alias("feedback_embedding"),
+                F.concat(F.lit("Is it broken? "), F.col("event_type")).alias("prompt"),
+                F.lit("[0.5, 1.5]").alias("prompt_embedding"),
+                F.concat(F.lit(f"{IMAGE_ROOT}/"), key("event_id"), F.lit(".png")).alias(
+                    "request_image_uri"
                 ),
-                F.lit("}"),
+                F.lit("m1").alias("model_version"),
+                F.lit(1.0).alias("policy_version"),
+                key("user_id").alias("user_id"),
+                key(F.col("user_id") % 16).alias("order_id"),
+                F.col("event_type").alias("product_id"),
             )
         )
+        return self._envelope(body)
+
+    @cached_property
+    def refund_response_messages(self) -> DataFrame:
+        """Their responses after as many minutes as the event's value says; errors have none."""
+        body = F.to_json(
+            F.struct(
+                key(F.col("user_id") % 16).alias("order_id"),
+                F.col("event_type").alias("product_id"),
+                key("user_id").alias("user_id"),
+                F.concat(F.lit("answer "), F.col("event_id").cast("string")).alias("response"),
+            )
+        )
+        return self._envelope(body, LATER, F.col("event_type") != "error")
+
+    @cached_property
+    def damaged_answers(self) -> DataFrame:
+        """Model answers with one kind of damage each, by the number of the event."""
+        number = F.col("event_id").cast("string")
+        note = F.concat(F.lit("it's "), number)
+
+        def text(template: str) -> Column:
+            return F.format_string(template, number, "event_type", note)
+
+        templates = (
+            '```json\n{"id": %s, "kind": "%s", "note": "%s",}\n```',
+            "{'id': %s, 'kind': '%s', 'note': '%s'}",
+            '{id: %s, kind: "%s", note: "%s"}',
+            '{"id": %s, "kind": "%s", "note": "%s\n"}',
+            '{"id": %s "kind": "%s" "note": "%s"}',
+            '{"id": %s, "kind": "%s", "note": "%s',
+            '{"id": %1$s, "kind": "%2$s", "more": {"list": [1, 2, ',
+            'Sure! {"id": %1$s, "kind": "%2$s", "ok": True, "note": None, Hope this helps.',
+        )
+        answer = F.lit(None).cast("string")
+        for place, template in enumerate(templates):
+            answer = F.when(F.col("event_id") % len(templates) == place, text(template)).otherwise(answer)
+        return self.table("events").select("event_id", answer.alias("answer"))
 
     @cached_property
     def refund_messages(self) -> DataFrame:
