@@ -42,6 +42,27 @@ def test_sums_over_all_segmentations(vocabulary):
     assert np.allclose(langid.expected_uses(vocabulary, words, counts, model[:, 0]), uses)
 
 
+def test_long_runs_are_summed_whole(vocabulary, monkeypatch):
+    """The pass over windows gives what the pass over many words gives, and whole runs."""
+    rng = np.random.default_rng(2)
+    model = (rng.random((vocabulary.size, 2)) + 1e-4) / 1000
+    words = ["house", "dasistkeinwort", "été一x", "z" * 70, "langeswort" * 9]
+    monkeypatch.setattr(langid, "SHORT", 1000)
+    scores = langid.word_scores(vocabulary, words, model)
+    counts = np.array([3.0, 1.0, 2.0, 5.0, 1.0])
+    uses = langid.expected_uses(vocabulary, words, counts, model[:, 0])
+    for short, window in ((0, 7), (5, 64), (0, 1 << 16)):
+        monkeypatch.setattr(langid, "SHORT", short)
+        monkeypatch.setattr(langid, "WINDOW", window)
+        assert np.allclose(langid.word_scores(vocabulary, words, model), scores)
+        assert np.allclose(langid.expected_uses(vocabulary, words, counts, model[:, 0]), uses)
+    # No cut: two halves with a word's beginning each are another text.
+    whole, halves = langid.words_of("ab" * 100), langid.words_of("ab" * 50 + " " + "ab" * 50)
+    assert [len(w) for w in whole] == [200] and [len(w) for w in halves] == [100, 100]
+    very_long = langid.word_scores(vocabulary, ["x" * 20_000], model)
+    assert np.isfinite(very_long).all() and (very_long < -10_000).all()
+
+
 def test_held_out_accuracy(spark, folder):
     docs = spark.read.parquet(folder.replace("sf0.001", "sf0.01") + "/documents.parquet")
     got = {r.doc_id: r for r in langid.identify(docs, PATH).collect()}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -10,6 +11,8 @@ from collections import Counter, defaultdict
 import pytest
 
 from voxcart.llm import exact_dedup, mixing, quality_rules, sharding
+from voxcart.llm.common import scratch_scope, written
+from voxcart.session import checkpoint_root
 
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -135,6 +138,87 @@ def test_mixing_meets_target_and_budget(spark):
     assert max(Counter(r.doc_id for r in out.collect()).values()) == 1
 
 
+def test_budget_holds_without_ids_and_with_repeated_ones(spark):
+    rows = [(None, f"{'w ' * (i % 20)}x{i}", "en", f"s{i % 3}") for i in range(1000)]
+    rows += [(i % 40, "a b c " * (i % 7), "en", "s1") for i in range(400)]
+    df = frame(spark, rows)
+    plan = mixing.plan(df, budget_share=0.5, repeat_limit=1.0).collect()
+    planned = sum(r.copies * r.n_tokens for r in plan)
+    total = sum(r.n_tokens for r in plan)
+    out = mixing.realise(df, budget_share=0.5, repeat_limit=1.0).collect()
+    taken = sum(len((r.text or "").split()) for r in out)
+    assert len(plan) == len(rows) and taken == planned <= 0.5 * total
+    assert taken > 0.4 * total
+    given = Counter((i, t, s) for i, t, _, s in rows)
+    assert all(n <= given[k] for k, n in Counter((r.doc_id, r.text, r.source) for r in out).items())
+
+
+def test_mix_of_columns_with_clashing_names(spark):
+    df = frame(spark, [(i, "a b", "en", f"s{i % 2}") for i in range(50)]).selectExpr(
+        "*", "1 AS block", "2 AS of_block", "3 AS of_source", "4 AS last_place", "5 AS rounds", "6 AS tokens"
+    )
+    out = mixing.realise(df, budget_share=0.5, repeat_limit=1.0)
+    assert out.columns == df.columns
+    assert {tuple(r)[-6:] for r in out.collect()} == {(1, 2, 3, 4, 5, 6)}
+
+
+def test_written_shards_hold_each_row_once(spark, tmp_path):
+    rows = [(1, "a", "en", "s"), (None, "b", "en", "s"), (2, "c", "en", "s"), (2, "d", None, None)]
+    rows += [(None, None, "en", "s"), (3, "a", "en", "s")]
+    df = frame(spark, rows).selectExpr("*", "'mine' AS shard", "7 AS size", "8 AS place")
+    folder = sharding.write_shards(df, str(tmp_path / "shards"), shards=3)
+    back = spark.read.parquet(folder)
+    kept = Counter(tuple(r) for r in back.select(df.columns).collect())
+    assert kept == Counter(tuple(r) for r in df.collect())
+    shards = {}
+    for r in sharding.assign(df, shards=3).collect():
+        shards.setdefault((r.doc_id, r.text_crc32), set()).add(r.shard)
+    for r in back.collect():
+        assert r._shard in shards[r.doc_id, zlib.crc32((r.text or "").encode())]
+    assert sharding.write_shards(df.drop("shard").limit(0), str(tmp_path / "none"), shards=3)
+
+
+def test_shards_against_plain_sums(spark):
+    rows = ROWS + [(100 + i, f"text {i % 40} " * (1 + i % 7), "en", "s") for i in range(300)]
+    rows += [(5000 + i, "hot " * 20, "en", "s") for i in range(200)]
+    order = sorted(
+        ((hashlib.md5((t or "").encode()).hexdigest(), i is not None, i or 0, i, len((t or "").encode()) + 16)
+         for i, t, *_ in rows),
+    )
+    total, start, slots, wanted = sum(o[4] for o in order), 0, Counter(), []
+    for *_, doc_id, size in order:
+        shard = min(start * 7 // total, 6)
+        wanted.append((doc_id, size, shard, slots[shard], start))
+        slots[shard] += 1
+        start += size
+    got = [
+        (r.doc_id, r.size, r.shard, r.slot, r.start)
+        for r in sharding.assign(frame(spark, rows), shards=7).collect()
+    ]
+    assert sorted(got, key=repr) == sorted(wanted, key=repr)
+
+
+def test_scratch_tables_go_with_their_scope(spark):
+    root = checkpoint_root(spark).removeprefix("file:")
+
+    def folders():
+        return {f for f in os.listdir(root) if f.startswith("voxcart-scoped")}
+
+    before = folders()
+    with scratch_scope(spark) as outer:
+        first = written(spark.range(3), "scoped")
+        with scratch_scope(spark) as inner:
+            written(spark.range(4), "scoped")
+            kept = inner.keep(written(spark.range(5), "scoped"))
+        assert kept.count() == 5 and len(folders() - before) == 2
+        with pytest.raises(ValueError), scratch_scope(spark):
+            written(spark.range(6), "scoped")
+            raise ValueError
+        assert first.count() == 3 and len(folders() - before) == 2
+        outer.keep(first)
+    assert len(folders() - before) == 1 and first.count() == 3
+
+
 def test_exponent_is_the_largest_that_is_even_enough(spark):
     import math
 

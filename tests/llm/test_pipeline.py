@@ -40,3 +40,26 @@ def test_stages(spark, folder):
     assert last == {r.doc_id: encoded(library, r.text) for r in mixed.collect()}
     run = {r.doc_id: tuple(r)[1:] for r in corpus_pipeline.run(spark, folder).collect()}
     assert run == last
+
+
+def test_rows_without_ids_repeated_ids_and_clashing_names(spark, tmp_path):
+    """Rows without doc_id are decided by their text and never lost to another's copy."""
+    good = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(60).collect()]
+    rows = [(i, t, "en", f"s{i % 3}", 1, 2) for i, t in enumerate(good)]
+    rows += [(None, good[0], "en", "s1", 1, 2), (None, None, None, None, 1, 2), (5, good[7], "en", "s1", 1, 2)]
+    rows += [(900, "", "en", None, 1, 2), (901, "w " * 30_000, None, "s1", 1, 2)]
+    df = spark.createDataFrame(
+        rows, "doc_id long, text string, lang string, source string, label int, node int"
+    )
+    folder = str(tmp_path)
+    df.write.parquet(f"{folder}/documents.parquet")
+    out = corpus_pipeline.run(spark, folder)
+    assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+    given = {r[0] for r in rows}
+    assert {r.doc_id for r in out.collect()} <= given and out.count() > 10
+
+
+def test_empty_table(spark, tmp_path):
+    df = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []

@@ -1,6 +1,9 @@
 from __future__ import annotations
 
+import math
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
 
@@ -45,6 +48,74 @@ def test_held_out_accuracy(spark, folder):
     assert right > 0.95 and kept > 0.98 and bad > 0.8
 
 
+def plain_features(text):
+    """The features one by one, without arrays."""
+    white = "[ \\t\\n\\x0b\\x0c\\r]+"
+    words = [w for w in re.split(white, text) if w]
+    n, data = len(words) or 1, [b for b in text.encode() if b not in b"\t\n\x0b\x0c\r "]
+    chars = len(data) or 1
+    sizes = [len(w.encode()) for w in words]
+    counts, octets = Counter(words), Counter(data)
+    lines = [line.encode() for line in text.split("\n") if re.sub(white, "", line)]
+    runs = [tuple(words[i : i + 5]) for i in range(len(words) - 4)] if len(words) > 5 else []
+
+    def ascii_upper(w):
+        letters = [c for c in w if c.isascii() and c.isalpha()]
+        return bool(letters) and all(c.isupper() for c in letters)
+
+    return {
+        "words": math.log1p(len(words)),
+        "length": sum(sizes) / n,
+        "long": sum(s > 12 for s in sizes) / n,
+        "different": len(counts) / n,
+        "commonest": max(counts.values(), default=0) / n,
+        "doubled": sum(a == b for a, b in zip(words, words[1:])) / n,
+        "repeated": 1 - len(set(runs)) / len(runs) if runs else 0.0,
+        "entropy": -sum(c / chars * math.log2(c / chars) for c in octets.values()),
+        "per_line": len(words) / (len(lines) or 1),
+        "same_lines": 1 - len(set(lines)) / len(lines) if lines else 0.0,
+        "ended": sum(line.rstrip(b" \t\n\x0b\x0c\r")[-1:] in (b".", b"!", b"?") for line in lines) / (len(lines) or 1),
+        "shouted": sum(ascii_upper(w) and len(w.encode()) > 1 for w in words) / n,
+        "marked": sum(w[-1] in "#*$%&|<>!" for w in words) / n,
+    }
+
+
+def test_features_against_plain_python(spark, folder):
+    texts = ["", " \n\t", "A b A b. A b A b A b", "x", "é É ÉÉ AB a! b# c\nc\n\nd. \r\n", "a a a a a a a"]
+    texts += [r.text for r in spark.read.parquet(f"{folder}/documents.parquet").limit(100).collect()]
+    classes = len(quality_gam._IN)
+    for text in texts:
+        got = quality_gam.features(text)
+        plain = list(plain_features(text).values())
+        assert np.allclose(got[:7], plain[:7]) and np.allclose(got[7 + classes :], plain[7:]), text
+        data = [b for b in text.encode() if b not in b"\t\n\x0b\x0c\r "]
+        for share, chosen in zip(got[7 : 7 + classes], quality_gam._IN.values()):
+            inside = set(np.arange(256)[chosen].tolist())
+            assert np.isclose(share, sum(b in inside for b in data) / (len(data) or 1))
+
+
+def test_ties_repeated_rows_and_the_query(spark, folder):
+    """Scores of the whole query are those of a model fitted by hand on the same rows."""
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    chosen = sorted(
+        (r.doc_id, float(r.quality)) for r in labels.collect()
+        if r.doc_id in texts and zlib.crc32(str(r.doc_id).encode()) % 5
+    )
+    model = quality_gam.fit(
+        np.array([quality_gam.features(texts[i]) for i, _ in chosen]), np.array([y for _, y in chosen])
+    )
+    names = list(texts)
+    wanted = dict(zip(names, model.scores(np.array([quality_gam.features(texts[i]) for i in names]))))
+    rows = quality_gam.classify(docs.repartition(5), labels).collect()
+    assert len(rows) == len(names)
+    for r in rows:
+        assert np.isclose(r.score, wanted[r.doc_id]) and r.predicted == int(r.score >= 0.3)
+    twice = quality_gam.score(docs.union(docs.limit(20)), model).collect()
+    assert len(twice) == len(names) + 20 and len(set(map(tuple, twice))) == len(names)
+
+
 def test_defined_results(spark):
     docs = spark.createDataFrame(
         [(1, None, 0), (2, "", 1), (3, "a " * 20000, 0), (None, "a b", 1), (3, "x", 0)],

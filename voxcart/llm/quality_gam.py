@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from voxcart.llm.common import written
+
 TRAIN_ROWS = 20_000
 BINS = 32
 COARSE_BINS = 8
@@ -285,13 +287,13 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
         .orderBy(F.xxhash64("doc_id"), "doc_id", "label")
         .limit(rows)
     )
-    table = (
+    # Written, as ordering by ranges would make the features twice.
+    sampled = written(
         with_features(docs.join(F.broadcast(sample.select("doc_id").distinct()), "doc_id", "left_semi"))
-        .join(F.broadcast(sample), "doc_id")
-        .orderBy("doc_id", "label")
-        .select("features", "label")
-        .toArrow()
+        .join(F.broadcast(sample), "doc_id"),
+        "quality-sample",
     )
+    table = sampled.orderBy("doc_id", "label").select("features", "label").toArrow()
     x = np.array(table.column(0).to_pylist(), dtype=float).reshape(-1, len(FEATURES))
     return fit(x, np.array(table.column(1).to_pylist(), dtype=float))
 
