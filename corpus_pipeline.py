@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from voxcart.llm import bpe, exact_dedup, mixing, near_dedup, quality_rules
-from voxcart.llm.common import documents, written
+from voxcart.llm.common import documents, scratch_scope, written
 
 # No document is taken twice after duplicates have gone, so the mix is smaller than what
 # comes in.
@@ -56,7 +56,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; working tables go with the stage that made them."""
     docs = documents(spark, sf_dir)
-    for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), name)
-    return docs
+    with scratch_scope(spark) as whole:
+        for name, stage in STAGES:
+            with scratch_scope(spark) as own:
+                docs = own.keep(written(stage(spark, docs, sf_dir), name))
+        return whole.keep(docs)
