@@ -75,15 +75,21 @@ def feel(inputs, **options):
 
 def test_build_all(spark, folder):
     s = StandIns(spark, folder)
+    requests = s.refund_requests.where("order_id < '000000000100'")
     inputs = Inputs(
         s.raw_reviews, s.order_items, s.languages, s.review_images, s.inventory_images,
-        s.policy_pages.where("document_id = 3").select("uri"),
+        s.policy_pages.where("document_id = 3").select("uri"), s.users, s.products, requests,
     )
-    built = build_all(
-        inputs,
-        Models(translate, feel, detect, models.persona, models.resolution),
-        Settings(*RANGE, AS_OF, NOTICE, DIGITS, PAGE_PATTERN, prefix="built_"),
+    settings = Settings(
+        *RANGE, AS_OF, NOTICE, DIGITS, PAGE_PATTERN, prefix="built_", product_1="product 7",
+        product_2="product 11", image_root="gs://b/uploads",
     )
+    embedders = {"text": models.length_vector, "image": models.length_vector}
+    providers = Models(
+        translate, feel, detect, models.persona, models.resolution, models.echo_digest,
+        models.email, models.yes_or_no, embedders,
+    )
+    built = build_all(inputs, providers, settings)
     assert spark.table("built_cleaned_reviews").count() == s.table("documents").count()
     assert built["customer_personas"].count() == 3
     assert built["complete_service_policy"].first()[0].startswith("be fair")
@@ -92,3 +98,14 @@ def test_build_all(spark, folder):
     resolved = built["review_resolutions"]
     assert 0 < resolved.count() <= expected.count()
     assert {r.parse_status for r in resolved.collect()} == {""}
+    asked = built["answered_cases"].count()
+    for name in ("prompts", "responses"):
+        assert built[f"reviews_{name}"].count() == asked == built[f"cleaned_{name}"].count()
+    copies = built["campaign_context"].count()
+    assert built["product_descriptions"].count() == copies == built["emails"].count()
+    assert built["emails"].where("email_english IS NULL").count() == 0
+    refunded = built["refund_decisions"].where("decision = 'refund'").count()
+    assert built["refunds"].count() == refunded
+    # Run again: landed messages and events stay as they are, tables get a new version.
+    again = build_all(inputs, providers, settings)
+    assert again["reviews_prompts"].count() == asked and again["refunds"].count() == refunded

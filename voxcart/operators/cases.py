@@ -78,7 +78,10 @@ def case_prompts(inputs: DataFrame, company: str = "our shop") -> DataFrame:
 
 
 def answer_cases(prompts: DataFrame, provider: Provider, **options) -> DataFrame:
-    """Ask the model once per case; the answers are kept for every consumer."""
+    """Ask the model once per case.
+
+    This is lazy: a result with several consumers is to be saved first, or kept in a store.
+    """
     defaults = {"max_output_tokens": 2048, "temperature": 0.7, "top_k": 32, "top_p": 1.0}
     return apply_model(prompts, "prompt", provider, **{**defaults, **options})
 
