@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxcart.llm.common import fresh, written
+from voxcart.llm.common import arrow_rows, fresh, scratch_scope, written
 
 SHINGLE = 5
 BANDS = 64
@@ -56,6 +56,10 @@ SEED = 20240229
 FREQUENT = 16
 # Set sizes that are hashed at once; longer sets go in several steps.
 STEP = 512
+# Rows with whole texts that go to Python at once.
+TEXT_ROWS = 256
+# Sets that a task remembers while it compares.
+KNOWN = 64
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _BASE = np.uint64(0x100000001B3)
@@ -205,16 +209,17 @@ def _linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[int, np.ndarray] = {}
         for batch in batches:
             kept: list[bool] = []
-            known: dict[int, np.ndarray] = {}
-            for a, b, text_a, text_b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for row in range(batch.num_rows):
                 sides = []
-                for node, text in ((a, text_a), (b, text_b)):
+                for side in (0, 1):
+                    node = batch.column(side)[row].as_py()
                     if node not in known:
-                        if len(known) > 64:
+                        if len(known) >= KNOWN:
                             known.clear()
-                        known[node] = shingles(text)
+                        known[node] = shingles(batch.column(2 + side)[row].as_py())
                     sides.append(known[node])
                 both = len(np.intersect1d(*sides, assume_unique=True))
                 kept.append(100 * both >= 75 * (len(sides[0]) + len(sides[1]) - both))
@@ -312,12 +317,11 @@ def _differences(groups: DataFrame, texts: DataFrame) -> DataFrame:
         for batch in batches:
             rows: list[tuple] = []
             held = 0
-            for hub, node, label, hub_label, text, hub_text in zip(
-                *(c.to_pylist() for c in batch.columns), strict=True
-            ):
+            longs = zip(*(c.to_pylist() for c in batch.columns[:4]), strict=True)
+            for row, (hub, node, label, hub_label) in enumerate(longs):
                 if hub_set is None or hub != last:
-                    last, hub_set = hub, shingles(hub_text)
-                own = shingles(text)
+                    last, hub_set = hub, shingles(batch.column(5)[row].as_py())
+                own = shingles(batch.column(4)[row].as_py())
                 new = np.setdiff1d(own, hub_set, assume_unique=True)
                 gone = np.setdiff1d(hub_set, own, assume_unique=True)
                 items = np.concatenate([new, gone]).view(np.int64)
@@ -363,6 +367,8 @@ def _prefixes(differences: DataFrame) -> DataFrame:
         .agg(F.sort_array(F.collect_list(F.struct("item", "n"))).alias("counts"))
         .select("hub", F.col("counts.item").alias("frequent"), F.col("counts.n").alias("n"))
     )
+    # A table of its own, so that the join below can split the members of a hot hub.
+    frequent = written(frequent, "frequent")
     names = ["hub", "node", "label", "hub_size", "q", "n_items"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -470,35 +476,26 @@ def components(links: DataFrame) -> DataFrame:
     return stars.union(roots)
 
 
-def mark(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` per document."""
-    sketches = written(sketch(docs), "minhash")
-    usable = sketches.where("doc_id IS NOT NULL AND n_shingles > 0")
-    classes = usable.groupBy("set_digest").agg(F.min("doc_id").alias("class_id"))
-    # One row per class; a class's rows differ in nothing but doc_id.
-    nodes = written(
-        usable.join(classes, "set_digest")
-        .where("doc_id = class_id")
-        .groupBy(F.col("doc_id").alias("node"), "set_digest")
-        .agg(*(F.first(c).alias(c) for c in ("bands", "signature", "n_shingles"))),
-        "classes",
-    )
+def _links(nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """The linked pairs ``a, b`` of classes: enough of them to connect all components."""
+    spark = nodes.sparkSession
     buckets = written(_buckets(nodes), "buckets")
-    texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         close = written(_agree(written(pairs, "pairs"), nodes), "close-pairs")
-        return written(_linked(close, texts), "links")
+        with arrow_rows(spark, TEXT_ROWS):
+            return written(_linked(close, texts), "links")
 
     links = confirmed(_hub_pairs(buckets))
     labels = written(components(links), "labels")
     rest = written(_apart(buckets, labels), "apart")
     groups = written(_groups(rest.where(F.col("size") > SMALL_BUCKET), labels), "groups")
-    # Dealt by member, so that the members of a hot hub lie in many tasks.
-    differences = written(
-        _differences(groups, texts).repartition("hub", "node"), "differences"
-    )
-    prefixes = written(_prefixes(differences).repartition("hub", "node"), "prefixes")
+    with arrow_rows(spark, TEXT_ROWS):
+        # Dealt by member, so that the members of a hot hub lie in many tasks.
+        differences = written(
+            _differences(groups, texts).repartition("hub", "node"), "differences"
+        )
+        prefixes = written(_prefixes(differences).repartition("hub", "node"), "prefixes")
     hub_links = differences.where("q <= hub_size").select(
         F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")
     )
@@ -506,9 +503,27 @@ def mark(docs: DataFrame) -> DataFrame:
         rest.where(F.col("size") <= SMALL_BUCKET), nodes.select("node", "n_shingles")
     )
     pairs = small.union(_difference_pairs(prefixes)).distinct()
-    links = links.union(hub_links)
-    links = links.union(confirmed(pairs))
-    labels = written(components(links), "labels")
+    return links.union(hub_links).union(confirmed(pairs))
+
+
+def mark(docs: DataFrame) -> DataFrame:
+    """``doc_id, n_shingles, component_id, kept`` per document."""
+    spark = docs.sparkSession
+    with arrow_rows(spark, TEXT_ROWS):
+        sketches = written(sketch(docs), "minhash")
+    usable = sketches.where("doc_id IS NOT NULL AND n_shingles > 0")
+    classes = usable.groupBy("set_digest").agg(F.min("doc_id").alias("class_id"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text")
+    with scratch_scope(spark) as scope:
+        # One row per class; a class's rows differ in nothing but doc_id.
+        nodes = written(
+            usable.join(classes, "set_digest")
+            .where("doc_id = class_id")
+            .groupBy(F.col("doc_id").alias("node"), "set_digest")
+            .agg(*(F.first(c).alias(c) for c in ("bands", "signature", "n_shingles"))),
+            "classes",
+        )
+        labels = scope.keep(written(components(_links(nodes, texts)), "labels"))
 
     doc_classes = sketches.select("doc_id", "n_shingles", "set_digest").join(
         classes, "set_digest", "left"
