@@ -68,7 +68,7 @@ def test_only_the_input_goes_to_python(spark):
     df = spark.range(10).select("id", F.lit("text").alias("prompt"), F.lit("long policy").alias("policy"))
     out = apply_model(df, "prompt", lambda i, **o: i)
     plan = out._jdf.queryExecution().executedPlan().toString()
-    assert re.search(r"ArrowEvalPython \[run\(prompt#\d+\)", plan)
+    assert "policy" not in re.search(r"ArrowEvalPython \[run\((.*?)\)", plan)[1]
 
 
 def test_a_store_asks_once_for_all_consumers_and_runs(spark, tmp_path):
