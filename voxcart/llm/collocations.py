@@ -17,8 +17,11 @@ phrases of the one before by a bit table of fixed size.  A wrong hit there costs
 that counting then finds to be rare; nothing frequent is ever missed.
 
 Tasks count whole portions of text by numbers of words, so a stripe leaves a task once per
-portion.  A stripe is split by a hash of the next word, so that a hot prefix (and the empty
-one) is merged in many tasks; split stripes hold different words and never meet.
+portion; stripes of one first word travel in one row.  Where a first word has more than one
+in ``SPLIT`` of all words, its rows are split by a hash of their entries, in as many parts as
+keep each below that share, and so are those of the empty prefix.  Parts hold different
+entries and never meet.  When a part is merged, entries that are too rare for a phrase go
+into the one that is not told apart, so tables hold frequent phrases and totals alone.
 
 Defined results: a NULL text counts as empty, a NULL lang as ``und``; repeated rows and rows
 without doc_id count like others; an empty table gives no rows; further columns are not
@@ -39,25 +42,32 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxcart.llm.common import written
+from voxcart.llm.common import arrow_rows, written
 
 LONGEST_PHRASE = 4
 LEAST = 30
 TOP = 2000
 SUBSUMED = 80
 SCALE = 2_000_000
-# Parts of a stripe; the empty prefix has one stripe per language.
-PARTS = {0: 1024, 1: 64, 2: 16, 3: 16}
+# A part of a first word's stripes has about this share of all words, or less; at most so
+# many words can have more than one part.
+SPLIT = 4096
+# Parts of the empty prefix's stripe of a language, and the most that a first word has.
+PARTS = 1024
 # Bits of the table of frequent phrases; it is sent to all tasks.
 BITS = 1 << 24
 # Bytes of text that a task counts at once.
-PORTION = 1 << 24
+PORTION = 6 << 20
+# Rows that go to Python at once.
+TEXT_ROWS = 1000
+# Bytes of text that are cut into words at once.
+CUT = 1 << 20
 
-# Lower case for A-Z, line feed for signs that end a piece, blank for tab.
+# Lower case for A-Z, a byte that no text has for signs that end a piece.
 _TABLE = bytes(
-    c + 32 if 65 <= c <= 90 else 10 if c in b".,;:!?\n\x0b\x0c\r" else 32 if c == 9 else c
-    for c in range(256)
+    c + 32 if 65 <= c <= 90 else 255 if c in b".,;:!?\n\x0b\x0c\r" else c for c in range(256)
 )
+_BORDER = b"\xff"
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -114,83 +124,107 @@ def _bits(frequent: DataFrame) -> np.ndarray:
 
 def _numbered(texts: list[bytes]) -> tuple[list[bytes], np.ndarray]:
     """The different words and, for all texts in a row, the number of each word; -1 at borders."""
-    data = b"\n".join(texts).translate(_TABLE).replace(b"\n", b" \n ")
     numbers: defaultdict[bytes, int] = defaultdict(itertools.count().__next__)
-    numbers[b"\n"], numbers[b""]
-    flat = np.fromiter(map(numbers.__getitem__, data.split(b" ")), dtype=np.int64)
-    flat = flat[flat != 1]
-    return list(numbers)[2:], np.where(flat == 0, -1, flat - 2)
+    numbers[_BORDER]
+    flats: list[np.ndarray] = []
+    waiting: list[bytes] = []
+
+    def cut() -> None:
+        data = b"\n".join(waiting).translate(_TABLE).replace(_BORDER, b" \xff ") + b" \xff"
+        # What is left of ASCII white space is blanks and tabs.
+        flats.append(np.fromiter(map(numbers.__getitem__, data.split()), dtype=np.int32))
+        waiting.clear()
+
+    held = 0
+    for text in texts:
+        waiting.append(text)
+        held += len(text)
+        if held > CUT:
+            cut()
+            held = 0
+    cut()
+    return list(numbers)[1:], np.concatenate(flats) - 1
 
 
 def _stripes(
-    words: list[bytes], flat: np.ndarray, length: int, table: BitTable | None
+    hashes: np.ndarray, flat: np.ndarray, length: int, table: BitTable | None
 ) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     """Prefixes (one array of word numbers for each place), next words (-1: any) and counts."""
     if length == 0:
-        count = np.bincount(flat[flat >= 0], minlength=len(words))
-        return [], np.arange(len(words)), count
-    hashes = _word_hashes(words)
-    flat = np.concatenate([flat, np.full(length, -1)])
+        count = np.bincount(flat[flat >= 0], minlength=len(hashes))
+        return [], np.arange(len(hashes)), count
+    flat = np.concatenate([flat, np.full(length, -1, dtype=np.int32)])
     # Hash and frequency of the phrase of ``length`` words at each place.
     whole = np.ones(len(flat) - length, dtype=bool)
     for i in range(length):
         whole &= flat[i : len(flat) - length + i] >= 0
     starts = np.flatnonzero(whole)
+    phrase = hashes[flat[starts]]
+    for i in range(1, length):
+        phrase = _joined(phrase, hashes[flat[starts + i]])
+    starts = starts[table.holds(phrase)]
     columns = [flat[starts + i] for i in range(length)]
-    phrase = hashes[columns[0]]
-    for c in columns[1:]:
-        phrase = _joined(phrase, hashes[c])
-    held = table.holds(phrase)
-    starts = starts[held]
-    columns = [c[held] for c in columns]
     # The next word counts by itself if the phrase without the first word is frequent too.
     frequent_at = np.zeros(len(flat), dtype=bool)
     frequent_at[starts] = True
-    following = np.where(frequent_at[starts + 1], flat[starts + length], -1)
-    base = len(words) + 1
-    keys = columns[0]
+    following = np.where(frequent_at[starts + 1], flat[starts + length], np.int32(-1))
+    base = len(hashes) + 1
+    keys = columns[0].astype(np.int64)
     for c in columns[1:]:
         # Numbers of phrases stay below the number of places.
         _, keys = np.unique(keys * base + c, return_inverse=True)
-    pairs, place, count = np.unique(
+    _, place, count = np.unique(
         keys * base + following + 1, return_index=True, return_counts=True
     )
     return [c[place] for c in columns], following[place], count
 
 
-def _as_rows(lang: str, words: list[bytes], stripes, parts: int) -> pa.RecordBatch | None:
-    """One row per prefix and part: ``lang, prefix, part, following, counts``."""
+def _as_rows(
+    lang: str, words: list[bytes], hashes: np.ndarray, stripes, parts: dict[str, int]
+) -> pa.RecordBatch | None:
+    """One row per first word and part: ``lang, head, part, entries, counts``.
+
+    An entry has the other words of a prefix and the next word, empty for any; entries of a
+    row are lines of one text.
+    """
     prefix, following, counts = stripes
     if not len(following):
         return None
-    part = np.where(
-        following >= 0,
-        (_mix(_word_hashes(words)) % np.uint64(parts)).astype(np.int64)[following],
-        0,
-    )
-    order = np.lexsort([part, *prefix[::-1]])
-    prefix = [p[order] for p in prefix]
-    following, counts, part = following[order], counts[order], part[order]
-    new = np.ones(len(order), dtype=bool)
-    new[1:] = np.any([c[1:] != c[:-1] for c in (*prefix, part)], axis=0)
-    starts = np.flatnonzero(new)
-    names = pa.array([w.decode("utf-8") for w in words], pa.string())
+    entry = np.zeros(len(following), dtype=np.uint64)
+    for c in (*prefix[1:], following):
+        entry = _joined(entry, np.where(c >= 0, hashes[c], np.uint64(0)))
     if prefix:
-        columns = [names.take(pa.array(p[starts])) for p in prefix]
-        text = columns[0] if len(columns) == 1 else pc.binary_join_element_wise(*columns, " ")
+        head = prefix[0].astype(np.int64)
+        many = np.ones(len(words), dtype=np.uint64)
+        for i, word in enumerate(words):
+            n = parts.get(word)
+            if n:
+                many[i] = n
+        part = (entry % many[head]).astype(np.int64)
     else:
-        text = pa.array([""] * len(starts), pa.string())
+        head = np.zeros(len(following), dtype=np.int64)
+        part = (entry % np.uint64(PARTS)).astype(np.int64)
+    keys = head * PARTS + part
+    order = np.argsort(keys, kind="stable")
+    keys, following, counts = keys[order], following[order], counts[order]
+    starts = np.flatnonzero(np.diff(keys, prepend=-1))
     offsets = pa.array(np.append(starts, len(order)).astype(np.int32))
-    entries = names.take(pa.array(following, mask=following < 0))
+    names = pa.array([w.decode("utf-8") for w in words] + [""], pa.string())
+    columns = [
+        names.take(pa.array(np.where(c >= 0, c, len(words))))
+        for c in (*(p[order] for p in prefix[1:]), following)
+    ]
+    entries = columns[0] if len(columns) == 1 else pc.binary_join_element_wise(*columns, " ")
+    heads = names.take(pa.array(keys[starts] // PARTS if prefix else np.full(len(starts), len(words))))
     return pa.RecordBatch.from_arrays(
         [
             pa.array([lang] * len(starts), pa.string()),
-            text,
-            pa.array(part[starts].astype(np.int32)),
-            pa.ListArray.from_arrays(offsets, entries),
+            heads,
+            pa.array((keys[starts] % PARTS).astype(np.int32)),
+            pc.binary_join(pa.ListArray.from_arrays(offsets, entries), "\n"),
             pa.ListArray.from_arrays(offsets, pa.array(counts.astype(np.int64))),
         ],
-        ["lang", "prefix", "part", "following", "counts"],
+        ["lang", "head", "part", "entries", "counts"],
     )
 
 
@@ -204,46 +238,93 @@ def _portions(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[str, list[byt
             waiting[lang.as_py()].append(data)
             held += len(data) + 64
             if held > PORTION:
-                yield from waiting.items()
-                waiting.clear()
+                while waiting:
+                    yield waiting.popitem()
                 held = 0
-    yield from waiting.items()
+    while waiting:
+        yield waiting.popitem()
 
 
-def stripes(docs: DataFrame, length: int, table: np.ndarray | None) -> DataFrame:
-    """``lang, prefix, part, following, n``: merged stripes of prefixes of ``length`` words.
+def stripes(
+    docs: DataFrame,
+    length: int,
+    least: int,
+    table: np.ndarray | None = None,
+    parts: dict[str, dict[bytes, int]] | None = None,
+) -> DataFrame:
+    """``lang, prefix, following, n``: merged stripes of prefixes of ``length`` words.
 
-    ``following`` is NULL for all that is not told apart.
+    ``following`` is NULL for all that is not told apart, which a prefix has once per part.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(table)
+    shared = docs.sparkSession.sparkContext.broadcast((table, parts or {}))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent = None if shared.value is None else BitTable(shared.value)
-        for lang, texts in _portions(batches):
+        bits, many = shared.value
+        frequent = None if bits is None else BitTable(bits)
+
+        # A function of its own, so that nothing of a portion is held while the next is counted.
+        def rows_of(lang: str, texts: list[bytes]) -> pa.RecordBatch | None:
             words, flat = _numbered(texts)
-            found = _as_rows(lang, words, _stripes(words, flat, length, frequent), PARTS[length])
+            hashes = _word_hashes(words)
+            counted = _stripes(hashes, flat, length, frequent)
+            return _as_rows(lang, words, hashes, counted, many.get(lang, {}))
+
+        for portion in _portions(batches):
+            found = rows_of(*portion)
+            del portion
             if found is not None:
-                yield from (found.slice(at, 4096) for at in range(0, found.num_rows, 4096))
+                yield from (found.slice(at, 2048) for at in range(0, found.num_rows, 2048))
+            del found
 
     rows = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text").mapInArrow(
-        run,
-        "lang string, prefix string, part int, following array<string>, counts array<long>",
+        run, "lang string, head string, part int, entries string, counts array<long>"
     )
     # Stripes travel whole; their elements are merged where all of a part have met.
-    return (
-        rows.repartition("lang", "prefix", "part")
-        .select("lang", "prefix", "part", F.explode(F.arrays_zip("following", "counts")).alias("e"))
-        .groupBy("lang", "prefix", "part", F.col("e.following").alias("following"))
+    entries = F.arrays_zip(F.split("entries", "\n", -1).alias("entry"), "counts")
+    keys = ["lang", "head", "part"]
+    merged = (
+        rows.repartition(*keys)
+        .select(*keys, F.explode(entries).alias("e"))
+        .groupBy(*keys, F.col("e.entry").alias("entry"))
         .agg(F.sum("e.counts").alias("n"))
     )
+    following = F.substring_index("entry", " ", -1)
+    rest = F.expr("left(entry, length(entry) - length(substring_index(entry, ' ', -1)))")
+    told_apart = (F.col("n") >= least) & (following != "")
+    return (
+        merged.select(
+            *keys,
+            F.rtrim(F.concat("head", F.lit(" "), rest)).alias("prefix"),
+            F.when(told_apart, following).alias("following"),
+            "n",
+        )
+        .groupBy(*keys, "prefix", "following")
+        .agg(F.sum("n").alias("n"))
+        .select("lang", "prefix", "following", "n")
+    )
+
+
+def _parts(words: DataFrame) -> dict[str, dict[bytes, int]]:
+    """Parts of the first words that need several; fewer than ``SPLIT`` words do."""
+    total = words.agg(F.sum("n")).first()[0] or 0
+    many: dict[str, dict[bytes, int]] = {}
+    for row in words.where(
+        F.col("following").isNotNull() & (F.col("n").cast("decimal(38,0)") * SPLIT > total)
+    ).collect():
+        n = min(PARTS, -(-row.n * SPLIT // total))
+        many.setdefault(row.lang, {})[row.following.encode("utf-8")] = n
+    return many
 
 
 def merged_stripes(docs: DataFrame, longest: int, least: int) -> list[DataFrame]:
     """The stripes of prefixes of 0 to ``longest - 1`` words, each level in a table."""
     levels: list[DataFrame] = []
-    table = None
+    table, parts = None, None
     for length in range(longest):
-        levels.append(written(stripes(docs, length, table), f"stripes-{length}"))
+        with arrow_rows(docs.sparkSession, TEXT_ROWS):
+            levels.append(written(stripes(docs, length, least, table, parts), f"stripes-{length}"))
+        if length == 0:
+            parts = _parts(levels[0])
         if length + 1 < longest:
             table = _bits(extensions(levels[length], length, least))
     return levels
