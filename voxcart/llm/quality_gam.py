@@ -301,14 +301,16 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """``doc_id, score`` of every text."""
     (id_type,) = [f.dataType for f in docs.schema if f.name == "doc_id"]
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    # Plain values, which need no package on the executors.
+    shared = docs.sparkSession.sparkContext.broadcast(dict(vars(model)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Model(**shared.value)
         for batch in batches:
             if batch.num_rows:
                 x = np.array([features(t.as_py() or "") for t in batch.column(1)], dtype=float)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(shared.value.scores(x), pa.float64())],
+                    [batch.column(0), pa.array(own.scores(x), pa.float64())],
                     ["doc_id", "score"],
                 )
 
