@@ -50,3 +50,15 @@ def test_embeddings_have_the_right_length(spark, tmp_path):
     assert {(len(r.embedding), r.status) for r in good} == {(1408, "")}
     bad = files.embed_files(listing, lambda c, **o: [[1.0]] * len(c)).collect()
     assert {(r.embedding, r.status) for r in bad} == {(None, "1 numbers")}
+
+
+def test_batches_have_a_bound_in_files_and_packs_stay_apart(spark, tmp_path):
+    """Small files with large answers: neither batches nor tasks may take all of them."""
+    write(spark, str(tmp_path), [10] * 200)
+    listing = list_files(spark, str(tmp_path)).select("uri", "size")
+    out = files.map_files(
+        listing, lambda contents, **o: [str(len(contents))] * len(contents), pack_bytes=32 << 20
+    ).withColumn("task", F.spark_partition_id())
+    rows = out.collect()
+    assert len(rows) == 200 and max(int(r.answer) for r in rows) <= files.BATCH_FILES
+    assert len({r.task for r in rows}) > 1

@@ -2,7 +2,8 @@
 
 Files are packed into tasks by their sizes, so a task reads about as many bytes as any
 other, however the sizes differ.  A task opens its files one after another and hands them to
-the provider in batches of a bounded number of bytes; content never travels between tasks.
+the provider in batches of a bounded number of bytes and of files, as answers may be far
+larger than what they answer; content never travels between tasks.
 
 A provider is ``provider(contents: list[bytes], **options) -> list``.  The files have to be
 on a file system that pyarrow reaches from every executor.
@@ -21,6 +22,7 @@ from voxcart.operators.inference import CallControl, Provider, _ask_part, _file_
 
 PACK_BYTES = 256 << 20
 BATCH_BYTES = 32 << 20
+BATCH_FILES = 64
 # What opening a file counts for.
 OPEN_BYTES = 1 << 20
 # Fixed value: numbers of an image embedding.
@@ -53,6 +55,7 @@ def map_files(
     kind: str = "string",
     pack_bytes: int = PACK_BYTES,
     batch_bytes: int = BATCH_BYTES,
+    batch_files: int = BATCH_FILES,
     control: CallControl = CallControl(),
     **options: Any,
 ) -> DataFrame:
@@ -83,7 +86,7 @@ def map_files(
         held = 0
         for batch in batches:
             for uri, size in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if waiting and held + size > batch_bytes:
+                if waiting and (held + size > batch_bytes or len(waiting) >= batch_files):
                     yield answered(waiting)
                     waiting, held = [], 0
                 try:
@@ -96,7 +99,9 @@ def map_files(
         if waiting:
             yield answered(waiting)
 
-    dealt = packed(listing, pack_bytes).repartition("pack").select("uri", "size")
+    # With a number of its own the shuffle is not coalesced by the few bytes of the listing.
+    tasks = int(listing.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = packed(listing, pack_bytes).repartition(tasks, "pack").select("uri", "size")
     return dealt.mapInArrow(
         run, f"uri string, size long, answer {kind}, rating string, status string"
     )
