@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from voxcart.functions import payload
+from voxcart.functions import payload, repair
 from voxcart.functions.repair import repair_json
 
 CASES = [
@@ -79,3 +79,12 @@ def test_only_damaged_rows_reach_the_automaton(spark):
 def test_very_long_text(spark):
     text = '{"a": "' + "x\n" * 200_000 + '", "b": 1'
     assert json.loads(repair_json(text))["b"] == 1
+
+
+def test_plain_text_is_taken_in_runs(monkeypatch):
+    calls = []
+    dumps = repair.json.dumps
+    monkeypatch.setattr(repair.json, "dumps", lambda *a, **k: calls.append(a) or dumps(*a, **k))
+    body = "it's é plain " * 100
+    assert repair.repair_json("{'a': '" + body + "'}") == '{"a":"' + body + '"}'
+    assert len(calls) <= body.count("'")
