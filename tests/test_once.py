@@ -261,3 +261,37 @@ def test_merges_rewrite_only_changed_parts(spark, tmp_path):
     t.merge(rows(), "s", 2)
     t.merge(rows(("b1", 4)), "s", 3)
     assert t.expire(keep=1) and sorted(r.v for r in t.read().collect()) == [2, 4, 10, 90]
+
+
+def test_compaction_gives_a_pack_a_task_of_its_own(spark, tmp_path, monkeypatch):
+    """Packs meet in no task: neither by their hash nor as packs of one large part."""
+    t = table(spark, tmp_path / "t")
+    for batch in range(2):
+        rows = [(f"{batch}-{i}", f"2024-01-01 {min(i // 40, 9):02d}:00:00", "o") for i in range(800)]
+        t.admit(refunds(spark, rows), "s", batch)
+    before = got(t.read())
+    folders = [f for f, e in t.log.state().live.items() if e["kind"] == once.DATA]
+    total = 120_000
+    monkeypatch.setattr(once.OnceTable, "_small", lambda *a: (folders, total))
+    t.compact(target_bytes=total // 12)
+    counts = [r["count"] for r in t.read().groupBy(F.input_file_name()).count().collect()]
+    assert got(t.read()) == before and len(counts) >= 10 and max(counts) <= 240
+
+
+def test_probe_finds_hits_by_part_and_slot():
+    hashes = np.arange(100, dtype=np.int64)
+    rows = [("a", 0, None, once.bloom(hashes[:50])), ("a", 0, None, once.bloom(hashes[50:60]))]
+    rows += [("a", 0, int(h), None) for h in hashes] + [("b", 0, int(h), None) for h in hashes]
+    rows += [("b", 1, None, once.bloom(hashes[:1])), ("b", 1, 0, None)]
+    names = ["part", "slot", "h", "bits"]
+    types = [once.pa.string(), once.pa.int32(), once.pa.int64(), once.pa.binary()]
+    for size in (1, 7, 300):
+        batches = [
+            once.pa.RecordBatch.from_arrays(
+                [once.pa.array(c, t) for c, t in zip(zip(*rows[i : i + size]), types, strict=True)], names
+            )
+            for i in range(0, len(rows), size)
+        ]
+        found = [(r["part"], r["h"]) for b in once._probe(iter(batches)) for r in b.to_pylist()]
+        assert {("a", h) for h in range(60)} | {("b", 0)} <= set(found) and len(found) == len(set(found))
+        assert len(found) <= 65

@@ -119,20 +119,19 @@ def _probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = pa.RecordBatch.from_arrays(batch.columns[:3], batch.schema.names[:3])
         is_filter = known.is_valid().to_numpy(zero_copy_only=False)
         parts, slots = batch.column(0), batch.column(1)
-        place = 0
-        while place < batch.num_rows:
+        # Runs of hashes of one part and slot; each filter is a run of its own.
+        codes = parts.dictionary_encode().indices.to_numpy().astype(np.int64) * SLOTS + slots.to_numpy()
+        changes = np.diff(codes, prepend=-1) != 0
+        changes |= is_filter
+        changes[1:] |= is_filter[:-1]
+        starts = np.flatnonzero(changes).tolist()
+        for place, end in zip(starts, [*starts[1:], batch.num_rows], strict=True):
             key = parts[place].as_py(), slots[place].as_py()
             if key != at:
                 at, filters = key, []
             if is_filter[place]:
                 filters.append(known[place].as_py())
-                place += 1
                 continue
-            end = place
-            while end < batch.num_rows and not is_filter[end] and (
-                end == place or (parts[end].as_py(), slots[end].as_py()) == key
-            ):
-                end += 1
             hashes = rows.column(2).slice(place, end - place).to_numpy(zero_copy_only=False)
             hit = np.zeros(len(hashes), dtype=bool)
             for known_bits in filters:
@@ -145,7 +144,6 @@ def _probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     ],
                     ["part", "h"],
                 )
-            place = end
 
 
 @dataclass(frozen=True)
@@ -276,7 +274,8 @@ class OnceTable(PartedTable):
                 self._rows(chosen)
                 .join(places, PART)
                 .withColumn("pack", F.col("first") + spread)
-                .repartition(len({(f, n) for _, f, n in packs}), "pack")
+                # The pack is the task: by its hash several packs would meet in one.
+                .repartitionById(max(f + n for _, f, n in packs), F.col("pack"))
                 .sortWithinPartitions("pack", PART)
             )
             entry = self._write_sorted(packed.select(*columns, PART))
