@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 from datetime import datetime, timedelta
 
 import pytest
@@ -138,3 +139,12 @@ def test_stream_is_the_queue_and_restarts_count_once(spark, tmp_path):
     done, late, _ = run_stream(spark, tmp_path, steps, "0 seconds", "1 day")
     assert not late
     assert {r.id: r.response_id for r in done} == queue(prompts, responses)
+
+
+def test_rows_are_shuffled_once_per_turn(spark):
+    """Prompts and responses of a turn meet in one shuffle of rows, without a second pass."""
+    asked, given = frame(spark, [("a", 1, "p")], "prompt"), frame(spark, [("a", 2, "r")], "response")
+    out = pairing.pair_in_order(asked, given)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"Exchange hashpartitioning\(key#\d+, turn#", plan)) == 1
+    assert [r.response for r in out.collect()] == ["response r"]

@@ -93,10 +93,8 @@ def pair_in_order(
     events of one side that share a time.  A prompt without a response has NULLs, as has one
     with a NULL in its key or without a time.
     """
-    known = [F.col(k).isNotNull() for k in (*keys, time)]
-    usable = known[0]
-    for condition in known[1:]:
-        usable = usable & condition
+    # One condition and not a chain of them, in which each would parse its message anew.
+    usable = F.least(*(F.col(k).isNotNull() for k in (*keys, time)))
     asked = _events(prompts.where(usable), list(keys), time, list(prompt_tie), 1)
     given = _events(
         responses.where(usable).select(*{*keys, time, *answer, *response_tie}),
@@ -111,14 +109,17 @@ def pair_in_order(
     numbered = _numbered(
         both.select("key", "at", "step", "tie", F.struct("asked", "given").alias("row")), stretch
     )
-    turns = numbered.where("step > 0").select("key", "turn", F.col("row.asked").alias("asked"))
-    takes = numbered.where("step < 0 AND turn IS NOT NULL").select(
-        "key", "turn", F.col("row.given").alias("given")
-    )
-    paired = turns.join(takes, ["key", "turn"], "left").select(
-        *(F.col(f"asked.`{c}`") for c in prompts.columns),
-        F.col(f"given.`{time}`").alias("response_time"),
-        *(F.col(f"given.`{c}`") for c in answer),
+    # A turn has one prompt and at most one response, which comes behind it.
+    of_turn = Window.partitionBy("key", "turn").orderBy(F.desc("step"))
+    paired = (
+        numbered.where("turn IS NOT NULL")
+        .select("step", F.col("row.asked").alias("asked"), F.lead("row.given").over(of_turn).alias("given"))
+        .where("step > 0")
+        .select(
+            *(F.col(f"asked.`{c}`") for c in prompts.columns),
+            F.col(f"given.`{time}`").alias("response_time"),
+            *(F.col(f"given.`{c}`") for c in answer),
+        )
     )
     unusable = prompts.where(~F.coalesce(usable, F.lit(False))).select(
         "*",
