@@ -260,3 +260,25 @@ def test_events_without_a_key_are_known_by_what_they_say(spark, tmp_path):
     outbox.admit(spark, str(tmp_path), events)
     got = sorted(map(tuple, outbox.outbox(spark, str(tmp_path)).read().collect()), key=repr)
     assert got == [("k", "a"), (None, "x"), (None, "y"), (None, None)]
+
+
+def test_requests_are_distinct_as_numbers_and_shuffled_once_for_users_and_counts(spark, folder):
+    from voxcart.plans import catalog
+    from voxcart.plans.standins import StandIns
+
+    plan = StandIns(spark, folder).refund_requests._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate(keys=[l_orderkey" in plan and "asker#" in plan
+    assert not any("example.com" in line for line in plan.split("\n") if "Generate" in line)
+    threshold = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(threshold)
+    spark.conf.set(threshold, "-1")
+    try:
+        df = catalog.QUERIES["refund_eligibility"](spark, folder)
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.set(threshold, before)
+    # The counts of recent orders meet users, below the join of requests by e-mail.
+    depth = lambda text: min(
+        len(line) - len(line.lstrip(" :+-")) for line in plan.split("\n") if text in line
+    )
+    assert depth("Join Inner, (user_id") > depth("Join Inner, (email")

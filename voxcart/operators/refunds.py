@@ -113,11 +113,10 @@ def refund_eligibility(
         F.min("uri").alias("inventory_image_uri"),
     )
     names = aggregate_for_join(products, {"product_id": "id"}, F.min("name").alias("product_name"))
-    # Counts are at most one row per user, so the request side only shrinks before
-    # it meets the order lines.
-    asked = requests.join(people, "email", "inner").join(
-        recent_order_counts(order_items, now), "user_id", "inner"
-    )
+    # Counts are at most one row per user and meet the users first, so requests are shuffled
+    # once for both, and only shrink before they meet the order lines.
+    counted = people.join(recent_order_counts(order_items, now), "user_id", "inner")
+    asked = requests.join(counted, "email", "inner")
     rows = asked.join(lines, ["order_id", "product_id"], "inner")
     if strict_owner:
         rows = rows.where(F.col("owner_id") == F.col("user_id")).drop("owner_id")
