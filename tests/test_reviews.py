@@ -1,6 +1,8 @@
 from __future__ import annotations
 
+import re
 
+import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -78,6 +80,70 @@ def test_matches_brute_force(spark, review_rows, line_rows):
     assert sorted(got) == sorted(row for _, row in expected.values())
 
 
+def test_null_keys_keep_their_own_text_and_image(spark):
+    rows = [
+        review(r, order=o, product=p, user=u, name=name, text=f"{r}{o}{p}{u}{text}")
+        for r in ("001", None) for o in ("o1", None) for p in ("p1", None)
+        for u in ("u2", None) for name, text in (("n", "b"), ("n", "a"), (None, "c"), (None, None))
+    ]
+    lines = [("o1", "u2", "p1", "2024-01-01 00:00:00"), ("o1", None, "p1", "2025-01-01 00:00:00"),
+             (None, None, None, "2025-01-01 00:00:00")]
+    got = snapshot(spark, rows, lines, ["gs://b/001.png", "gs://b/x.png"])
+    # Only the known order line has a time; elsewhere the missing user comes first.
+    expected = {
+        (r, o, "u2" if (o, p) == ("o1", "p1") else None, p, None, "5",
+         f"{r}{o}{p}{'u2' if (o, p) == ('o1', 'p1') else None}None", r and "gs://b/001.png")
+        for r in ("001", None) for o in ("o1", None) for p in ("p1", None)
+    }
+    assert len(got) == 8 and set(got) == expected
+
+
+@pytest.fixture
+def shuffle_joins(spark):
+    changed = ["spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"]
+    before = {name: spark.conf.get(name, None) for name in changed}
+    for name in changed:
+        spark.conf.set(name, "-1")
+    yield
+    for name, value in before.items():
+        spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
+def shuffles_with(df, column, capsys) -> int:
+    df.explain("formatted")
+    inputs = re.findall(r"Exchange *\nInput \[\d+\]: \[(.*)\]", capsys.readouterr().out)
+    return sum(bool(re.search(rf"\b{column}#", columns)) for columns in inputs)
+
+
+def test_texts_are_shuffled_once(spark, shuffle_joins, capsys):
+    review_df = spark.createDataFrame([review("001")], schemas.RAW_REVIEWS)
+    images = spark.createDataFrame([("gs://b/001.png",)], "uri string")
+    df = reviews.latest_review_snapshot(
+        review_df, order_items(spark, [("o1", "u1", "p1", "2024-01-01 00:00:00")]), images
+    )
+    assert shuffles_with(df, "review_text", capsys) == 1
+
+
+def test_lines_that_no_review_names_are_shuffled_once(spark, shuffle_joins, capsys):
+    number = F.col("id").cast("string")
+    lines = spark.range(0, 5000, 1, 4).select(
+        number.alias("id"), F.lit("u1").alias("user_id"), F.lit("p1").alias("product_id"),
+        F.timestamp_seconds("id").alias("created_at"),
+    )
+    review_df = spark.createDataFrame(
+        [review(f"{i:03d}", order=str(i)) for i in range(50)], schemas.RAW_REVIEWS
+    )
+    df = reviews.latest_review_snapshot(
+        review_df, lines, spark.createDataFrame([], "uri string")
+    )
+    df._jdf.queryExecution().executedPlan().execute().count()
+    df.explain("formatted")
+    final = capsys.readouterr().out
+    stages = re.findall(r"ShuffleQueryStage .*rowCount=([0-9.E+]+)", final)
+    assert sum(float(rows) >= 5000 for rows in stages) == 1
+    assert df.count() == 50
+
+
 def test_sentiment_covers_every_score(spark):
     def answer(score):
         return f'{{"document_sentiment":{{"score":{score},"magnitude":1.5}}}}'

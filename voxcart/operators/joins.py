@@ -14,8 +14,9 @@ def aggregate_for_join(
     Grouped by the plain columns, the aggregate and the join would share a shuffle,
     and AQE splits a hot key only in a shuffle that feeds the join directly.  Grouped
     by a struct of them, the reduced rows are shuffled once more and the join can be
-    split.
+    split.  Without aggregates the rows are the distinct keys.
     """
     parts = [(F.col(c) if isinstance(c, str) else c).alias(name) for name, c in keys.items()]
-    grouped = df.groupBy(F.struct(*parts).alias("join_key")).agg(*aggregates)
+    key = F.struct(*parts).alias("join_key")
+    grouped = df.groupBy(key).agg(*aggregates) if aggregates else df.select(key).distinct()
     return grouped.select("join_key.*", *[c for c in grouped.columns if c != "join_key"])

@@ -43,12 +43,16 @@ def latest_review_snapshot(
     last; ties go to the smallest user, name, rating and text.  ``item_key`` is
     the order-line column the review's ``order_id`` refers to.
 
-    Order lines are first reduced to one creation time per join key, so the join
-    never multiplies reviews.  ``row_number() = 1`` gives Spark a group limit before
-    the shuffle: a group of many copies leaves each task as one row.
+    Order lines that a review names are reduced to one creation time per join key, so
+    the join never multiplies reviews.  A review's time depends on its keys alone: the
+    newest user of a group is found without names and texts, which are shuffled once
+    and meet the winners at the end.  ``row_number() = 1`` gives Spark a group limit
+    before either shuffle: a group of many copies leaves each task as one row.
     """
+    keys = ["review_id", "order_id", "product_id"]
+    reviewed = aggregate_for_join(reviews, {"reviewed": "order_id"})
     lines = aggregate_for_join(
-        order_items,
+        order_items.join(reviewed, F.col(item_key) == F.col("reviewed"), "left_semi"),
         {
             "order_id": item_key,
             "user_id": "user_id",
@@ -56,25 +60,34 @@ def latest_review_snapshot(
         },
         F.max("created_at").alias("created_at"),
     )
-    newest = W.partitionBy("review_id", "order_id", "product_id").orderBy(
-        F.desc_nulls_last("created_at"), "user_id", "name", "review_rating", "review_text"
-    )
+    newest = W.partitionBy(*keys).orderBy(F.desc_nulls_last("created_at"), "user_id")
+    smallest = W.partitionBy("review_key").orderBy("name", "review_rating", "review_text")
     images = review_images.select("uri", uri_key("uri", digits).alias("review_id"))
-    return (
-        reviews.join(lines, ["user_id", "product_id", "order_id"], "left")
+    # A struct, as keys may be NULL and a join on the plain columns would lose those rows.
+    review_key = F.struct(*keys, "user_id").alias("review_key")
+    winners = (
+        reviews.select(*keys, "user_id")
+        .join(lines, ["user_id", "product_id", "order_id"], "left")
         .withColumn("rank", F.row_number().over(newest))
         .where("rank = 1")
         .join(images, "review_id", "left")
-        .select(
-            "review_id",
-            "order_id",
-            "user_id",
-            "product_id",
-            "name",
-            "review_rating",
-            "review_text",
-            "uri",
-        )
+        .select(review_key, "uri")
+    )
+    texts = (
+        reviews.select(review_key, "name", "review_rating", "review_text")
+        .withColumn("rank", F.row_number().over(smallest))
+        .where("rank = 1")
+        .drop("rank")
+    )
+    return winners.join(texts, "review_key").select(
+        "review_key.review_id",
+        "review_key.order_id",
+        "review_key.user_id",
+        "review_key.product_id",
+        "name",
+        "review_rating",
+        "review_text",
+        "uri",
     )
 
 
