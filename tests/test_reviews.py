@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from voxcart import schemas
 from voxcart.operators import reviews
 from voxcart.operators.inference import RESULT
+from voxcart.plans.standins import StandIns
 
 ORDERS = "id string, user_id string, product_id string, created_at string"
 
@@ -124,6 +125,10 @@ def test_texts_are_shuffled_once(spark, shuffle_joins, capsys):
     assert shuffles_with(df, "review_text", capsys) == 1
 
 
+def test_stand_in_shuffles_a_text_once_for_both_copies(spark, folder, shuffle_joins, capsys):
+    assert shuffles_with(StandIns(spark, folder).raw_reviews, "text", capsys) == 1
+
+
 def test_lines_that_no_review_names_are_shuffled_once(spark, shuffle_joins, capsys):
     number = F.col("id").cast("string")
     lines = spark.range(0, 5000, 1, 4).select(
