@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -282,3 +284,77 @@ def test_requests_are_distinct_as_numbers_and_shuffled_once_for_users_and_counts
         len(line) - len(line.lstrip(" :+-")) for line in plan.split("\n") if text in line
     )
     assert depth("Join Inner, (user_id") > depth("Join Inner, (email")
+
+
+def test_requests_of_an_outbox_are_shuffled_once_and_only_those_of_users_with_recent_orders(spark, folder):
+    from voxcart.plans.standins import AS_OF as now, DIGITS, StandIns
+
+    s = StandIns(spark, folder)
+    threshold = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(threshold)
+    spark.conf.set(threshold, "-1")
+    try:
+        df = refunds.refund_eligibility(
+            s.refund_requests.unionByName(s.refund_requests), s.order_items, s.inventory_images,
+            s.products, s.users, s.policy, now, digits=DIGITS,
+        )
+        plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    finally:
+        spark.conf.set(threshold, before)
+    exchanges = [line for line in plan.split("\n") if "Exchange hashpartitioning(" in line]
+    # Requests and what may be asked meet on one key; no other shuffle is by e-mail or request.
+    assert sum("(email_order_product#" in line for line in exchanges) == 2
+    assert not any(re.search(r"\(email#|review_text#", line) for line in exchanges)
+    # Requests of either copy and order lines meet the bits first.
+    assert len(re.findall(r"BroadcastHashJoin \[.*LeftSemi", plan)) >= 3
+
+
+def test_rows_that_may_match_are_all_kept(spark, monkeypatch):
+    from voxcart.operators import joins
+
+    rows = spark.range(4000).select(F.when(F.col("id") % 9 > 0, F.concat(F.lit("k"), F.col("id") % 2000)).alias("k"))
+    known = spark.range(100).select(F.concat(F.lit("k"), F.col("id") * 7).alias("k"))
+    exact = rows.join(known, "k", "left_semi").count()
+    kept = joins.may_match(rows, "k", known)
+    assert kept.join(known, "k", "left_semi").count() == exact and kept.count() <= exact + 10
+    monkeypatch.setattr(joins, "WORDS", 1)
+    full = joins.may_match(rows, "k", known)
+    assert full.join(known, "k", "left_semi").count() == exact and full.count() > exact + 10
+    assert joins.may_match(rows, "k", known.limit(0)).count() == 0
+    # Keys of other types may be equal without equal bits.
+    assert joins.may_match(rows, "k", spark.range(3).withColumnRenamed("id", "k")).count() == 4000
+
+
+def test_owners_who_share_an_email_and_missing_keys(spark, images, products, policy):
+    """Of owners of one order the first by id counts with that owner's first line; NULL meets nothing."""
+    lines = spark.createDataFrame(
+        [
+            ("2", "o1", "001", "u2", 3.0), ("1", "o1", "001", "u2", 60.0), ("0", "o1", "001", "u1", 7.0),
+            ("3", "o2", "001", "u2", 8.0), ("4", None, "001", "u1", 9.0), ("5", "o3", "001", "u3", 9.0),
+            ("6", "o4", None, "u1", 9.0), ("7", "o5", "001", None, 9.0), ("8", "o6", "001", "u2", None),
+        ],
+        "id string, order_id string, product_id string, user_id string, sale_price double",
+    ).withColumn("created_at", F.lit("2024-06-29").cast("timestamp")).withColumn("shipped_at", F.col("created_at"))
+    people = spark.createDataFrame(
+        [("u1", "a@x"), ("u2", "a@x"), ("u2", "b@x"), ("u3", None), (None, "a@x"), ("u1", "a@x")],
+        "id string, email string",
+    )
+    asked = [
+        ("a@x", "o1", "001", "n"), ("a@x", "o1", "001", "n"), ("a@x", "o1", "001", None),
+        ("a@x", "o1", "001", None), ("b@x", "o1", "001", "n"), ("a@x", "o2", "001", "n"),
+        ("a@x", None, "001", "n"), (None, "o3", "001", "n"), ("a@x", "o4", None, "n"),
+        ("a@x", "o5", "001", "n"), ("a@x", "o6", "001", "n"), ("c@x", "o1", "001", "n"),
+    ]
+    requests = spark.createDataFrame(asked, "email string, order_id string, product_id string, review_text string")
+    out = refunds.refund_eligibility(requests, lines, images, products, people, policy, AS_OF)
+    got = sorted(
+        ((r.email, r.order_id, r.review_text, r.user_id, r.sale_price, r.eligible) for r in out.collect()), key=repr
+    )
+    assert got == sorted(
+        [
+            ("a@x", "o1", "n", "u1", 7.0, "True"), ("a@x", "o1", None, "u1", 7.0, "True"),
+            ("b@x", "o1", "n", "u2", 60.0, "False"), ("a@x", "o2", "n", "u2", 8.0, "True"),
+            ("a@x", "o6", "n", "u2", None, "False"),
+        ],
+        key=repr,
+    )

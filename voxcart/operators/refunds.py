@@ -17,7 +17,7 @@ from voxcart.functions.text import (
 )
 from voxcart.operators.documents import attach_latest_policy, first_of_version
 from voxcart.operators.inference import RATING, RESULT, STATUS, Provider, apply_model, embed
-from voxcart.operators.joins import aggregate_for_join
+from voxcart.operators.joins import aggregate_for_join, may_match
 from voxcart.operators.messages import REFUND, REFUND_PROMPT, REFUND_RESPONSE, message
 
 # The limits of the eligibility rule.
@@ -25,6 +25,9 @@ WINDOW_DAYS = 90
 MAX_ORDERS = 50
 MAX_PRICE = 50
 
+# What makes a refund request the one it is; an event carries it as its key.
+REQUEST = ("email", "order_id", "product_id")
+
 CLAIM_PROMPT = (
     "You check defect claims for {company}. Our service policy says: {policy} "
     "The customer wrote: {review_text} The customer's photo is {request_image_uri} and the "
@@ -68,6 +71,45 @@ def _first_user(rows: DataFrame, request: list[str]) -> DataFrame:
     return first.select(*request, "of.*").select(*rows.columns)
 
 
+def _asked_by_owner(
+    requests: DataFrame, order_items: DataFrame, counted: DataFrame, line: Column
+) -> DataFrame:
+    """Requests with their first owner by id who may ask, and the first line of that owner.
+
+    Lines take the e-mails of their owners and are reduced to one row for what may be asked.
+    That and the requests meet on one key, the e-mail with the order and the product: a
+    request is shuffled once, and equal requests lie in one place to become one row.
+    """
+    lines = order_items.select("user_id", "order_id", "product_id", line.alias("line"))
+    # Shuffled on their own, so that the lines of a hot owner can be split.
+    owners = aggregate_for_join(counted, {c: c for c in counted.columns})
+    owned = lines.join(owners, "user_id", "inner").where(
+        F.col("email").isNotNull() & F.col("order_id").isNotNull() & F.col("product_id").isNotNull()
+    )
+    first = F.min(F.struct("user_id", "orders_recent", "line")).alias("of")
+    askable = aggregate_for_join(owned, {c: c for c in REQUEST}, first)
+    key, rest = "email_order_product", [c for c in requests.columns if c not in REQUEST]
+    rows = requests.select(F.struct(*REQUEST).alias(key), *rest).join(
+        askable.select(F.struct(*REQUEST).alias(key), "of"), key, "inner"
+    )
+    return rows.groupBy(key, *rest).agg(F.first("of").alias("of")).select(
+        f"{key}.*", *rest, "of.user_id", "of.orders_recent", "of.line.sale_price", "of.line.shipping_date"
+    )
+
+
+def _asked_by_anyone(
+    requests: DataFrame, order_items: DataFrame, counted: DataFrame, line: Column
+) -> DataFrame:
+    """Requests with their first user by id who may ask, and a line of the order, whoever owns it."""
+    lines = aggregate_for_join(
+        order_items,
+        {"order_id": "order_id", "product_id": "product_id", "owner_id": "user_id"},
+        F.min(line).alias("line"),
+    ).select("order_id", "product_id", "line.sale_price", "line.shipping_date")
+    asked = requests.join(counted, "email", "inner")
+    return _first_user(asked.join(lines, ["order_id", "product_id"], "inner"), requests.columns)
+
+
 def refund_eligibility(
     requests: DataFrame,
     order_items: DataFrame,
@@ -99,29 +141,23 @@ def refund_eligibility(
         "sale_price",
         F.col("shipped_at").alias("shipping_date"),
     )
-    lines = aggregate_for_join(
-        order_items,
-        {"order_id": "order_id", "product_id": "product_id", "owner_id": "user_id"},
-        F.min(line).alias("line"),
-    ).select("order_id", "product_id", "owner_id", "line.sale_price", "line.shipping_date")
-    if not strict_owner:
-        lines = lines.drop("owner_id")
     people = users.select(F.col("id").alias("user_id"), "email").distinct()
-    images = aggregate_for_join(
-        inventory_images.select("uri", uri_key("uri", digits).alias("product_id")),
-        {"product_id": "product_id"},
-        F.min("uri").alias("inventory_image_uri"),
+    images = inventory_images.groupBy(uri_key("uri", digits).alias("product_id")).agg(
+        F.min("uri").alias("inventory_image_uri")
     )
-    names = aggregate_for_join(products, {"product_id": "id"}, F.min("name").alias("product_name"))
-    # Counts are at most one row per user and meet the users first, so requests are shuffled
-    # once for both, and only shrink before they meet the order lines.
-    counted = people.join(recent_order_counts(order_items, now), "user_id", "inner")
-    asked = requests.join(counted, "email", "inner")
-    rows = asked.join(lines, ["order_id", "product_id"], "inner")
+    names = products.groupBy(F.col("id").alias("product_id")).agg(F.min("name").alias("product_name"))
+    shown = images.join(names, "product_id", "inner")
+    shown = aggregate_for_join(shown, {c: c for c in shown.columns})
+    # Counts are at most one row per user and meet the users first.  What is not of a user
+    # with recent orders is dropped before requests and order lines are shuffled.
+    counts = recent_order_counts(order_items, now)
+    counted = people.join(counts, "user_id", "inner")
+    requests = may_match(requests, "email", counted)
     if strict_owner:
-        rows = rows.where(F.col("owner_id") == F.col("user_id")).drop("owner_id")
-    rows = _first_user(rows, requests.columns)
-    rows = rows.join(images, "product_id", "inner").join(names, "product_id", "inner")
+        rows = _asked_by_owner(requests, may_match(order_items, "user_id", counts), counted, line)
+    else:
+        rows = _asked_by_anyone(requests, order_items, counted, line)
+    rows = rows.join(shown, "product_id", "inner")
     passes = (
         (F.col("orders_recent") < MAX_ORDERS)
         & (F.col("sale_price") < MAX_PRICE)
@@ -200,10 +236,6 @@ def refund_decisions(
     )
 
 
-# What makes a refund request the one it is; an event carries it as its key.
-REQUEST = ("email", "order_id", "product_id")
-
-
 def refund_events(decisions: DataFrame) -> DataFrame:
     """Refund messages of the decisions to refund, keyed by their request.
 
